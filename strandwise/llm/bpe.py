@@ -36,8 +36,9 @@ class Vocabulary:
     """Tokens, merges and special tokens of a ``tokenizers`` file of the byte-level BPE kind; it is sent to executors."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            said = json.load(file)
+        with open(path, "rb") as file:
+            raw = file.read()
+        self.key, said = sha256(raw).hexdigest(), json.loads(raw)
         of, ids = byte_of_char(), said["model"]["vocab"]
         self.special = {x["content"]: x["id"] for x in said["added_tokens"]}
         size = 1 + max([*ids.values(), *self.special.values()])
@@ -134,7 +135,7 @@ class MergeTrees:
 class Bpe:
     """Encoder and decoder of one vocabulary; holds a worker's store of pieces."""
 
-    _made: dict[int, Bpe] = {}
+    _made: dict[str, Bpe] = {}
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -149,9 +150,10 @@ class Bpe:
     @classmethod
     def of(cls, broadcast) -> Bpe:
         """The worker's encoder for a broadcast vocabulary."""
-        if broadcast.id not in cls._made:
-            cls._made[broadcast.id] = cls(broadcast.value)
-        return cls._made[broadcast.id]
+        vocabulary = broadcast.value
+        if vocabulary.key not in cls._made:
+            cls._made[vocabulary.key] = cls(vocabulary)
+        return cls._made[vocabulary.key]
 
     def merge_all(self, words: list[bytes]) -> list[bytes]:
         """Little-endian ids of each word by the segment trees; words of like lengths share an array."""
