@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash
+from . import bpe, chat, media, simhash
 from .common import read_table
 
 
@@ -15,6 +15,12 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted and read back, and one of control strings."""
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.format_chat(turns.unionByName(chat.control_conversation(spark))))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.op6_simhash_near_dedup(read_table(spark, sf_dir, "documents"))
@@ -25,6 +31,19 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
-QUERIES = {f.__name__: f for f in (op6_simhash_near_dedup, op7_bpe)}
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as WAV, read back and fingerprinted."""
+    return media.features(media.store(read_table(spark, sf_dir, "documents")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op4_chat_format,
+        op6_simhash_near_dedup,
+        op7_bpe,
+        op10_media,
+    )
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_chat_format": chat.ORACLE_SQL}
