@@ -17,12 +17,17 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = np.int64(1) << 60
 KEPT = 600_000
+#: Fewer words than this are merged one by one.
+FEW = 32
+#: A bound between pieces.
+BOUND = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
 def byte_of_char() -> dict[str, int]:
@@ -132,6 +137,38 @@ class MergeTrees:
         return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
+def merge_one(ranks: dict[int, int], merged: list[int], ids: list[int]) -> list[int]:
+    """Ids of one word after its merges: the same tree as in MergeTrees, for a word on its own."""
+    n = len(ids)
+    width = 1 << (n - 1).bit_length()
+    top = width << 32  # above any leaf
+    after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+
+    def leaf(i: int) -> int:
+        rank = ranks.get(ids[i] << 32 | ids[after[i]]) if after[i] >= 0 else None
+        return top if rank is None else rank * width + i
+
+    tree = [top] * width + [leaf(i) for i in range(n)] + [top] * (width - n)
+    for k in range(width - 1, 0, -1):
+        tree[k] = min(tree[2 * k], tree[2 * k + 1])
+    while tree[1] < top:
+        rank, i = divmod(tree[1], width)
+        gone = after[i]
+        ids[i], after[i] = merged[rank], after[gone]
+        if after[i] >= 0:
+            before[after[i]] = i
+        tree[width + gone], ids[gone] = top, -1
+        for k in (gone, i, before[i]):
+            if k >= 0:
+                if k != gone:
+                    tree[width + k] = leaf(k)
+                k = (width + k) >> 1
+                while k:
+                    tree[k] = min(tree[2 * k], tree[2 * k + 1])
+                    k >>= 1
+    return [x for x in ids if x >= 0]
+
+
 class Bpe:
     """Encoder and decoder of one vocabulary; holds a worker's store of pieces."""
 
@@ -140,12 +177,12 @@ class Bpe:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.pattern = regex.compile(PATTERN)
-        self.odd = re.compile(r"\s\s|^\s|\s$")
+        self.odd = re.compile(r"\s\s|^\s|\s\Z")
         special = sorted(vocabulary.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.pieces: dict[str, bytes] = {}
+        self.ranks: dict[int, int] | None = None
         self.table = np.array(vocabulary.tokens, object)
-        self.feed = self.encode_words(["\n"])[0]
 
     @classmethod
     def of(cls, broadcast) -> Bpe:
@@ -157,6 +194,12 @@ class Bpe:
 
     def merge_all(self, words: list[bytes]) -> list[bytes]:
         """Little-endian ids of each word by the segment trees; words of like lengths share an array."""
+        if len(words) < FEW:
+            if self.ranks is None:
+                self.ranks = dict(zip(self.v.keys.tolist()[:-1], self.v.rank_of.tolist()[:-1], strict=True))
+                self.merged, self.byte_ids = self.v.merged.tolist(), self.v.byte_ids.tolist()
+            one = (merge_one(self.ranks, self.merged, [self.byte_ids[b] for b in w]) if w else [] for w in words)
+            return [np.array(ids, "<u4").tobytes() for ids in one]
         out: list[bytes] = [b""] * len(words)
         classes: dict[int, list[int]] = {}
         for i, word in enumerate(words):
@@ -170,63 +213,50 @@ class Bpe:
                         out[i] = ids
         return out
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of words that the pattern has cut."""
-        known = list(dict.fromkeys(words))
-        ids = dict(zip(known, self.merge_all([w.encode() for w in known]), strict=True))
-        return [ids[w] for w in words]
-
     def _encode_pieces(self, pieces: list[str]) -> None:
         """Adds the ids of pieces to the store."""
-        cut = [self.pattern.findall(p) for p in pieces]
-        known = list(dict.fromkeys(w for words in cut for w in words))
-        ids = dict(zip(known, self.merge_all([w.encode() for w in known]), strict=True))
+        cut = [self._words(p) for p in pieces]
+        known = list(dict.fromkeys(w for words in cut for w in words if isinstance(w, str)))
+        ids = {i: np.uint32(i).tobytes() for i in self.v.special.values()}
+        ids |= dict(zip(known, self.merge_all([w.encode() for w in known]), strict=True))
         for piece, words in zip(pieces, cut, strict=True):
             self.pieces[piece] = b"".join([ids[w] for w in words])
 
-    def segments(self, text: str) -> list[str | int]:
-        """The text between special tokens, and these as ids."""
-        if self.cut is None or not any(s in text for s in self.v.special):
-            return [text] if text else []
-        return [self.v.special.get(x, x) for x in self.cut.split(text) if x]
+    def _words(self, piece: str) -> list[str | int]:
+        """Words of a piece, special tokens as ids."""
+        if self.cut is None or not self.cut.search(piece):
+            return self.pattern.findall(piece)
+        parts = (x for x in self.cut.split(piece) if x)
+        return [y for x in parts for y in ([self.v.special[x]] if x in self.v.special else self.pattern.findall(x))]
+
+    def cut_pieces(self, text: str) -> list[str]:
+        """Pieces of a text: it is cut before each single space or line feed between two that aren't white space."""
+        if self.odd.search(text):
+            return BOUND.split(text)
+        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if "\0" not in text else BOUND.split(text)
+
+    def prepare(self, texts: list[str | None]) -> list[list[str]]:
+        """Pieces of each text; the store holds the ids of them all. Null counts as empty."""
+        laid, known = [self.cut_pieces(text or "") for text in texts], self.pieces
+        new = {p: None for part in laid for p in part if p not in known}
+        if len(known) + len(new) > KEPT:
+            known.clear()
+            new = dict.fromkeys(p for part in laid for p in part)
+        self._encode_pieces(list(new))
+        return laid
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each whole text; null counts as empty."""
-        laid: list[list] = []
-        need: dict[str, None] = {}
-        for text in texts:
-            parts: list = []
-            for segment in self.segments(text or ""):
-                if isinstance(segment, int):
-                    parts.append(np.uint32(segment).tobytes())
-                elif self.odd.search(segment):
-                    parts.append(self.pattern.findall(segment))
-                    need.update(dict.fromkeys(parts[-1]))
-                else:
-                    lines = []
-                    for line in segment.split("\n"):
-                        lines.append(line.replace(" ", "\0 ").split("\0"))
-                        need.update(dict.fromkeys(lines[-1]))
-                    parts.append(tuple(lines))
-            laid.append(parts)
-        pieces = self.pieces
-        new = [p for p in need if p not in pieces]
-        if len(pieces) + len(new) > KEPT:
-            pieces.clear()
-            new = list(need)
-        self._encode_pieces(new)
-        out = []
-        for parts in laid:
-            done = []
-            for part in parts:
-                if isinstance(part, bytes):
-                    done.append(part)
-                elif isinstance(part, list):
-                    done.append(b"".join([pieces[p] for p in part]))
-                else:
-                    done.append(self.feed.join([b"".join([pieces[p] for p in line]) for line in part]))
-            out.append(b"".join(done))
-        return out
+        """Little-endian 32-bit ids of each whole text."""
+        get = self.pieces.__getitem__
+        return [b"".join(map(get, part)) for part in self.prepare(texts)]
+
+    def pieces_ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that end where the pattern always cuts; the store keeps what prepare() has put there."""
+        known = self.pieces
+        new = [p for p in dict.fromkeys(pieces) if p not in known]
+        if new:
+            self._encode_pieces(new)
+        return [known[p] for p in pieces]
 
     def decode(self, ids: bytes) -> str:
         """Text of ids; bytes that are no UTF-8 become replacement characters."""
@@ -240,7 +270,7 @@ def load(spark, path: str):
 
 def slices(column: pa.Array, most: int = 1 << 22):
     """Lists of values of a string column, of about ``most`` bytes each."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0))
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0))
     ends = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
     for a, b in zip([0, *ends], [*ends, len(column)], strict=True):
         yield column.slice(a, b - a).to_pylist()

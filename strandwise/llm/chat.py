@@ -13,6 +13,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,9 +45,9 @@ def unescape_role(role: bytes) -> bytes:
 
 def column_bytes(column: pa.Array, hide) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column, nulls as empty; ``hide`` rewrites the values that need it."""
-    column = pa.compute.fill_null(column.cast(pa.large_binary()), b"")
-    odd = pa.compute.match_substring_regex(column, r"[<%\n]" if hide is escape_role else r"<\\*\|")
-    if pa.compute.any(odd).as_py():
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    odd = pc.match_substring_regex(column, r"[<%\n]" if hide is escape_role else r"<\\*\|")
+    if pc.any(odd).as_py():
         values = [hide(x) if o else x for x, o in zip(column.to_pylist(), odd.to_pylist(), strict=True)]
         column = pa.array(values, pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
@@ -92,7 +93,7 @@ def format_chat(turns: DataFrame, learn: str = "assistant") -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(whole.column("text")), 0), np.int64)
+            sizes = np.asarray(pc.fill_null(pc.binary_length(whole.column("text")), 0), np.int64)
             cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // PIECE)) + 1
             for a, b in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
                 batch = whole.slice(a, b - a)
@@ -100,11 +101,11 @@ def format_chat(turns: DataFrame, learn: str = "assistant") -> DataFrame:
                     continue
                 out, offsets, spans = assemble(batch.column("role"), batch.column("text"))
                 ids = batch.column("conv_id")
-                filled = np.asarray(pa.compute.fill_null(ids, 0))
-                null = np.asarray(pa.compute.is_null(ids))
+                filled = np.asarray(pc.fill_null(ids, 0))
+                null = np.asarray(pc.is_null(ids))
                 first = np.concatenate([[0], np.flatnonzero((np.diff(filled) != 0) | np.diff(null)) + 1])
                 edges = offsets[np.append(first, len(batch))]
-                mine = np.flatnonzero(np.asarray(pa.compute.fill_null(pa.compute.equal(batch.column("role"), learn), False)))
+                mine = np.flatnonzero(np.asarray(pc.fill_null(pc.equal(batch.column("role"), learn), False)))
                 piece = np.searchsorted(first, mine, "right") - 1
                 lists = pa.array(np.concatenate([[0], np.cumsum(np.bincount(piece, minlength=len(first)))]), pa.int32())
                 starts, ends = (pa.array(spans[mine, k] - edges[piece]) for k in (0, 1))
