@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, media, simhash
+from . import bpe, chat, media, simhash, token_counts
 from .common import read_table
 
 
@@ -21,6 +21,11 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chat(turns.unionByName(chat.control_conversation(spark))))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document before and after three edits."""
+    return token_counts.count_edits(read_table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.op6_simhash_near_dedup(read_table(spark, sf_dir, "documents"))
@@ -40,6 +45,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op4_chat_format,
+        op5_token_counts,
         op6_simhash_near_dedup,
         op7_bpe,
         op10_media,
