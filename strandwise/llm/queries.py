@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, media, simhash, token_counts
+from . import bpe, chat, media, mixing, simhash, token_counts
 from .common import read_table
 
 
@@ -15,6 +15,11 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return mixing.op3_mix_sources(read_table(spark, sf_dir, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted and read back, and one of control strings."""
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -44,6 +49,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op3_mix_sources,
         op4_chat_format,
         op5_token_counts,
         op6_simhash_near_dedup,
@@ -52,4 +58,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_chat_format": chat.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_mix_sources": mixing.ORACLE_SQL, "op4_chat_format": chat.ORACLE_SQL}
