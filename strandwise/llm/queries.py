@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, media, mixing, simhash, token_counts
+from . import bpe, chat, fingerprints, media, mixing, simhash, token_counts
 from .common import read_table
 
 
@@ -15,6 +15,11 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.op1_document_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     return mixing.op3_mix_sources(read_table(spark, sf_dir, "documents"))
@@ -49,6 +54,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_document_fingerprints,
         op3_mix_sources,
         op4_chat_format,
         op5_token_counts,
