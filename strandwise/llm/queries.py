@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprints, media, mixing, simhash, token_counts
+from . import bpe, chat, fingerprints, media, mixing, simhash, token_counts, toxicity
 from .common import read_table
 
 
@@ -46,6 +46,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.op9_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as WAV, read back and fingerprinted."""
     return media.features(media.store(read_table(spark, sf_dir, "documents")))
@@ -60,6 +65,7 @@ QUERIES = {
         op5_token_counts,
         op6_simhash_near_dedup,
         op7_bpe,
+        op9_toxicity,
         op10_media,
     )
 }
