@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprints, media, mixing, simhash, token_counts, toxicity
+from . import bpe, chat, fingerprints, media, mixing, pii, simhash, token_counts, toxicity
 from .common import read_table
 
 
@@ -46,6 +46,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with surrogates for personal data."""
+    return pii.replace(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     return toxicity.op9_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -65,6 +70,7 @@ QUERIES = {
         op5_token_counts,
         op6_simhash_near_dedup,
         op7_bpe,
+        op8_pii,
         op9_toxicity,
         op10_media,
     )
