@@ -277,21 +277,27 @@ def slices(column: pa.Array, most: int = 1 << 22):
 
 
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Adds ``ids`` (array<int>) to each row: the ids of its whole text. Null and empty texts have none."""
-    vocabulary = load(docs.sparkSession, path)
+    """Adds ``ids`` (array<int>), the ids of each row's whole text, and ``lossless``, whether they decode to it again.
+
+    Null and empty texts have no ids; repeated rows are repeated; columns of these names are replaced, others kept.
+    """
+    vocabulary, made = load(docs.sparkSession, path), ("ids", "lossless")
 
     def run(batches):
         bpe = Bpe.of(vocabulary)
         for batch in batches:
-            ids = [x for part in slices(batch.column(text)) for x in bpe.encode(part)]
-            at = np.cumsum([0, *map(len, ids)]) // 4
-            values = pa.array(np.frombuffer(b"".join(ids), "<u4").view("<i4"))
-            column = pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
-            rest = [(n, batch.column(n)) for n in batch.schema.names if n != "ids"]
-            yield pa.RecordBatch.from_arrays([c for _, c in rest] + [column], [n for n, _ in rest] + ["ids"])
-
-    kept = docs.drop("ids")
-    return kept.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "ids array<int>"]))
+            parts, same = [], []
+            for part in slices(batch.column(text)):
+                parts += (encoded := bpe.encode(part))
+                same += [bpe.decode(ids) == (x or "") for ids, x in zip(encoded, part, strict=True)]
+            at = np.cumsum([0, *map(len, parts)]) // 4
+            values = pa.array(np.frombuffer(b"".join(parts), "<u4").view("<i4"))
+            ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
+            names = [n for n in batch.schema.names if n not in made]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids, pa.array(same, pa.bool_())], [*names, *made])
+
+    kept = docs.drop(*made)
+    return kept.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "ids array<int>, lossless boolean"]))
 
 
 def decode(docs: DataFrame, path: str, name: str = "decoded") -> DataFrame:

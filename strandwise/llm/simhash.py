@@ -144,6 +144,17 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, blocks: in
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """The document of least doc_id of each component; columns as they came.
+
+    Of rows of one id, one stays. Rows without id can't be told apart and all stay. An empty table gives an empty table.
+    """
+    known = docs.where("doc_id is not null")
+    kept = near_duplicates(known, **how).where("doc_id = component_id").select("doc_id").distinct()
+    rows = known.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return rows.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
 def op6_simhash_near_dedup(docs: DataFrame) -> DataFrame:
     """The query: fingerprints as hex digits and components of all documents."""
     return near_duplicates(docs).select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
