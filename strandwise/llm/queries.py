@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprints, media, mixing, pii, simhash, token_counts, toxicity
+from . import bpe, chat, fingerprints, media, mixing, passages, pii, simhash, token_counts, toxicity
 from .common import read_table
 
 
@@ -20,6 +20,11 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.op1_document_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that nearly repeat one of another document."""
+    return passages.near_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     return mixing.op3_mix_sources(read_table(spark, sf_dir, "documents"))
@@ -65,6 +70,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_document_fingerprints,
+        op2_substring_dedup,
         op3_mix_sources,
         op4_chat_format,
         op5_token_counts,
