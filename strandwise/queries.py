@@ -1,6 +1,500 @@
-"""Registered queries of the sequence operators and the SQL that checks them."""
+"""Registered queries of the sequence operators over the fixture views, and DuckDB SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import seq as S
+from .operators import align, counting, design, distill, intervals, library, mapping, mismatch, report, scan
+from .plans.fixtures import LEFT, RIGHT, duckdb_ctes, view
+
+PAM, LENGTH = "NGG", 20
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, needs: tuple[str, ...] = ()):
+    """Registers a query, and its SQL over the named fixtures."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            body = sql.strip()
+            ctes = duckdb_ctes(*needs)
+            ORACLE_SQL[f.__name__] = f"{ctes}, {body[5:]}" if body.startswith("WITH ") else f"{ctes} {body}"
+        return f
+
+    return put
+
+
+RC = "reverse(translate({0}, 'ATCGN', 'TAGCN'))"
+
+
+def rc(x: str) -> str:
+    return RC.format(x)
+
+
+#: Windows of 20 bases with 3 on either side: '-' stands for what lies off a line.
+WINDOWS = f"""padded AS (
+  SELECT chr, len, circular, CASE WHEN circular THEN right(seq, 3) || seq || left(seq, 22) ELSE '---' || seq || repeat('-', 22) END AS p,
+    CASE WHEN circular THEN len ELSE len - 19 END AS n FROM chrom),
+cut AS (SELECT chr, len, circular, unnest(range(n)) AS s, p FROM padded),
+win AS (SELECT chr, len, circular, CAST(s AS INT) AS s, substring(p, s + 1, 3) AS bef, substring(p, s + 4, 20) AS w, substring(p, s + 24, 3) AS aft FROM cut)"""
+
+#: Alignments of guides with at most one mismatch; both halves are tried as seeds.
+ALIGNED = f"""{WINDOWS},
+g AS (SELECT spacer, 'F' AS strand, spacer AS r FROM guide UNION ALL SELECT spacer, 'R', {rc("spacer")} FROM guide),
+aln AS (
+  SELECT spacer, chr, len, s, s + 20 AS e, strand, hamming(w, r) AS nm, CASE WHEN strand = 'F' THEN w ELSE {rc("w")} END AS target, bef, aft
+  FROM (SELECT win.*, g.* FROM win JOIN g ON left(w, 10) = left(r, 10)
+    UNION SELECT win.*, g.* FROM win JOIN g ON right(w, 10) = right(r, 10)) x
+  WHERE hamming(w, r) <= 1),
+norm AS (
+  SELECT *, CASE WHEN e % len < s % len THEN s % len - len ELSE s % len END AS tar_start, e % len AS tar_end,
+    CASE WHEN strand = 'F' THEN aft ELSE reverse(translate(bef, 'ATCG', 'TAGC')) END AS pam FROM aln)"""
+
+#: Sites that keep their PAM, the rest of each guide demoted to one row of nulls, genes joined.
+MAPPED = f"""{ALIGNED},
+site AS (SELECT DISTINCT spacer, chr, len, target, nm, tar_start, tar_end, strand AS sp_dir, pam FROM norm WHERE pam LIKE '_GG' AND pam NOT LIKE '%-%'),
+untargeted AS (SELECT spacer FROM guide WHERE spacer NOT IN (SELECT spacer FROM site)),
+mapped AS (
+  SELECT s.*, CASE WHEN f.locus_tag IS NOT NULL THEN coalesce(nullif(f.gene, ''), f.locus_tag) END AS gene, f.locus_tag,
+    CASE WHEN f.strand = 1 THEN s.tar_start - f.feature_start WHEN f.strand = -1 THEN f.feature_end - s.tar_end END AS "offset",
+    CASE WHEN f.locus_tag IS NOT NULL THEN greatest(0, least(s.tar_end, f.feature_end) - greatest(s.tar_start, f.feature_start)) END AS overlap,
+    CASE WHEN f.strand = 1 THEN 'F' WHEN f.strand = -1 THEN 'R' END AS tar_dir
+  FROM site s LEFT JOIN feature f ON f.chr = s.chr AND s.tar_start < f.feature_end AND f.feature_start < s.tar_end
+  UNION ALL SELECT spacer, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM untargeted),
+noted AS (
+  SELECT spacer, count(DISTINCT CASE WHEN target IS NOT NULL THEN chr || '_' || CAST(tar_start AS VARCHAR) || '_' || CAST(tar_end AS VARCHAR) END) AS sites,
+    count(*) FILTER (locus_tag IS NOT NULL) AS genes, count(*) FILTER (locus_tag IS NULL AND target IS NOT NULL) AS intergenic
+  FROM mapped GROUP BY spacer),
+full_map AS (SELECT mapped.*, n.sites, n.genes, n.intergenic FROM mapped JOIN noted n USING (spacer))"""
+
+
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chrom, feature = view(spark, sf_dir, "chrom"), spark.table("feature")
+    return mapping.map_targets(spark.table("guide"), chrom, feature, LENGTH, PAM, 1)
+
+
+@query(f"SELECT chr, md5({rc('seq')}) AS rc_md5, round((len - length(translate(seq, 'GC', ''))) / len, 6) AS gc FROM chrom", ("chrom",))
+def revcomp_gc(spark, sf_dir):
+    """Reverse complement and GC content of each chromosome."""
+    return view(spark, sf_dir, "chrom").select("chr", F.md5(S.rev_comp("seq")).alias("rc_md5"), F.round(S.gc_content("seq"), 6).alias("gc"))
+
+
+@query(
+    f"""WITH {WINDOWS} SELECT DISTINCT spacer FROM (
+  SELECT w AS spacer FROM win WHERE right(aft, 2) = 'GG' AND aft NOT LIKE '%-%'
+  UNION ALL SELECT {rc("w")} FROM win WHERE left(bef, 2) = 'CC' AND bef NOT LIKE '%-%') x""",
+    ("chrom",),
+)
+def guide_scan_downstream(spark, sf_dir):
+    """Distinct guides in front of a PAM on either strand."""
+    return scan.guides(view(spark, sf_dir, "chrom"), LENGTH, PAM)
+
+
+@query(
+    f"""WITH {WINDOWS} SELECT DISTINCT spacer FROM (
+  SELECT w AS spacer FROM win WHERE left(bef, 3) = 'TTA' AND (circular OR s <= len - 23)
+  UNION ALL SELECT {rc("w")} FROM win WHERE left(aft, 3) = 'TAA' AND (circular OR s >= 3)) x""",
+    ("chrom",),
+)
+def guide_scan_upstream(spark, sf_dir):
+    """Distinct guides behind a PAM on either strand."""
+    return scan.guides(view(spark, sf_dir, "chrom"), LENGTH, "TTA", "upstream")
+
+
+@query(
+    f"""WITH {ALIGNED} SELECT spacer, chr, s AS "start", strand, CASE WHEN pam NOT LIKE '%-%' THEN pam END AS downstream,
+  CASE WHEN up NOT LIKE '%-%' THEN up END AS upstream
+FROM (SELECT *, CASE WHEN strand = 'F' THEN bef ELSE reverse(translate(aft, 'ATCG', 'TAGC')) END AS up FROM norm WHERE nm = 0) x""",
+    ("chrom", "guide"),
+)
+def pam_extract(spark, sf_dir):
+    """PAMs on both sides of each perfect site."""
+    found = align.align(view(spark, sf_dir, "guide"), spark.table("chrom"), LENGTH, 0, 3)
+    pam = lambda d: S.extract_pam("before", "after", "strand", d)
+    shown = lambda d: F.when(~pam(d).contains("-"), pam(d)).alias(d)
+    return found.select("spacer", "chr", "start", "strand", shown("downstream"), shown("upstream"))
+
+
+COORDS = """CASE WHEN ts > te1 THEN '(' || ts || '..' || len || ', 0..' || te || ')' ELSE ts || '..' || te1 END AS coords"""
+
+
+@query(
+    f"""WITH {ALIGNED}, c AS (SELECT *, ((tar_start % len) + len) % len AS ts, tar_end AS te, CASE WHEN tar_end = 0 THEN len ELSE tar_end END AS te1 FROM norm WHERE nm = 0)
+SELECT spacer, chr, CAST(tar_start AS INT) AS tar_start, CAST(tar_end AS INT) AS tar_end, strand AS sp_dir, {COORDS} FROM c""",
+    ("chrom", "guide"),
+)
+def exact_targets(spark, sf_dir):
+    """Perfect sites of all guides with their coordinates."""
+    found = mapping.sites(align.align(view(spark, sf_dir, "guide"), spark.table("chrom"), LENGTH))
+    return found.select("spacer", "chr", "tar_start", "tar_end", "sp_dir", "coords")
+
+
+@query(
+    f"""WITH {ALIGNED} SELECT spacer, chr, CAST(tar_start AS INT) AS tar_start, strand AS sp_dir, CAST(nm AS INT) AS nm, target,
+  CASE WHEN nm > 0 THEN (SELECT string_agg(substring(target, i, 1) || i || substring(spacer, i, 1), ',' ORDER BY i)
+    FROM range(1, 21) t(i) WHERE substring(target, i, 1) <> substring(spacer, i, 1)) END AS diff FROM norm""",
+    ("chrom", "guide"),
+)
+def mismatch_targets(spark, sf_dir):
+    """Sites of all guides with at most one mismatch and their differences."""
+    found = mapping.sites(align.align(view(spark, sf_dir, "guide"), spark.table("chrom"), LENGTH, 1))
+    return found.select("spacer", "chr", "tar_start", "sp_dir", "nm", "target", "diff")
+
+
+OVERLAP = """SELECT a.chr, a.locus_tag AS a, b.locus_tag AS b, least(a.feature_end, b.feature_end) - greatest(a.feature_start, b.feature_start) AS overlap
+FROM feature a JOIN feature b ON a.chr = b.chr AND a.feature_start < b.feature_end AND b.feature_start < a.feature_end AND a.locus_tag < b.locus_tag"""
+
+
+@query(OVERLAP, ("feature",))
+def gene_overlap_join(spark, sf_dir):
+    """Pairs of overlapping features."""
+    f = view(spark, sf_dir, "feature")
+    a = f.select("chr", F.col("locus_tag").alias("a"), F.col("feature_start").alias("s1"), F.col("feature_end").alias("e1"))
+    b = f.select("chr", F.col("locus_tag").alias("b"), F.col("feature_start").alias("s2"), F.col("feature_end").alias("e2"))
+    both = intervals.overlap_join(a, b, ("s1", "e1"), ("s2", "e2")).where("a < b")
+    return both.select("chr", "a", "b", S.overlap("s1", "e1", "s2", "e2").alias("overlap"))
+
+
+@query(
+    f"""WITH {ALIGNED}, u AS (SELECT *, CASE WHEN strand = 1 THEN feature_start - 205 ELSE feature_end + 95 END AS ws,
+  CASE WHEN strand = 1 THEN feature_start + 95 ELSE feature_end + 205 END AS we FROM feature)
+SELECT n.spacer, n.chr, CAST(tar_start AS INT) AS tar_start, n.strand AS sp_dir, u.locus_tag AS downstream_locus
+FROM norm n JOIN u ON u.chr = n.chr AND tar_start < we AND ws < tar_end WHERE nm = 0""",
+    ("chrom", "guide", "feature"),
+)
+def upstream_window_join(spark, sf_dir):
+    """Perfect sites within the promoter windows of features."""
+    found = mapping.sites(align.align(view(spark, sf_dir, "guide"), spark.table("chrom"), LENGTH))
+    windows = intervals.promoter_windows(spark.table("feature")).select("chr", "locus_tag", "window_start", "window_end")
+    both = intervals.overlap_join(found, windows, ("tar_start", "tar_end"), ("window_start", "window_end"))
+    return both.select("spacer", "chr", "tar_start", "sp_dir", F.col("locus_tag").alias("downstream_locus"))
+
+
+@query(
+    f"""WITH {ALIGNED} SELECT spacer, chr, strand AS sp_dir, CAST(CASE WHEN strand = 'F' THEN (tar_end + 49) % len
+  ELSE ((tar_start - 49) % len + len) % len END AS INT) AS ins_site FROM norm WHERE nm = 0""",
+    ("chrom", "guide"),
+)
+def insertion_sites(spark, sf_dir):
+    """Insertion site of each perfect site."""
+    found = mapping.sites(align.align(view(spark, sf_dir, "guide"), spark.table("chrom"), LENGTH))
+    site = S.insertion_site("sp_dir", "tar_start", "tar_end", "len")
+    return found.select("spacer", "chr", "sp_dir", site.cast("int").alias("ins_site"))
+
+
+@query(
+    f"WITH {MAPPED} SELECT spacer, chr, CAST(tar_start AS INT) AS tar_start, sp_dir, pam FROM site UNION ALL SELECT spacer, NULL, NULL, NULL, NULL FROM untargeted",
+    ("chrom", "guide", "feature"),
+)
+def pam_demote_filter(spark, sf_dir):
+    """Sites with a PAM, and one empty row for each guide that has none."""
+    found = mapping.sites(align.align(view(spark, sf_dir, "guide"), spark.table("chrom"), LENGTH, 1, 3))
+    rows = mapping.drop_untargeted(mapping.gate_by_pam(found, PAM).dropDuplicates())
+    return rows.select("spacer", "chr", "tar_start", "sp_dir", "pam")
+
+
+NOTE = """CASE WHEN sites = 0 THEN 'non-targeting' ELSE concat_ws(', ', sites || ' site' || CASE WHEN sites = 1 THEN '' ELSE 's' END,
+  CASE WHEN genes > 0 THEN genes || ' gene' || CASE WHEN genes = 1 THEN '' ELSE 's' END END,
+  CASE WHEN intergenic > 0 THEN intergenic || ' intergenic' END) END"""
+
+
+@query(f"WITH {MAPPED} SELECT spacer, sites, genes, intergenic, {NOTE} AS note FROM noted", ("chrom", "guide", "feature"))
+def target_notes(spark, sf_dir):
+    """Sites, genes and intergenic targets of each guide."""
+    return _mapped(spark, sf_dir).select("spacer", "sites", "genes", "intergenic", "note").distinct()
+
+
+@query(
+    f"""WITH {MAPPED} SELECT spacer, chr, CAST(tar_start AS INT) AS tar_start, CAST(tar_end AS INT) AS tar_end, CAST(nm AS INT) AS nm, target, sp_dir, pam,
+  gene, locus_tag, CAST("offset" AS INT) AS "offset", CAST(overlap AS INT) AS overlap, tar_dir, {NOTE} AS note FROM full_map""",
+    ("chrom", "guide", "feature"),
+)
+def target_map(spark, sf_dir):
+    """The whole mapping: every target with every gene and the guide's note."""
+    rows = _mapped(spark, sf_dir).withColumns({"offset": F.col("offset").cast("int"), "overlap": F.col("overlap").cast("int")})
+    return rows.select(
+        "spacer", "chr", "tar_start", "tar_end", "nm", "target", "sp_dir", "pam", "gene", "locus_tag", "offset", "overlap", "tar_dir", "note"
+    )
+
+
+@query(
+    f"""WITH {MAPPED}, m(metric, value) AS (
+  SELECT 'chromosomes_targeted', count(DISTINCT chr) FROM full_map UNION ALL SELECT 'genes_targeted', count(DISTINCT locus_tag) FROM full_map
+  UNION ALL SELECT 'overlapping_genes_targeted', count(DISTINCT locus_tag) FROM full_map WHERE genes > 1
+  UNION ALL SELECT 'barcodes', count(DISTINCT spacer) FROM full_map UNION ALL SELECT 'barcodes_perfect', count(DISTINCT spacer) FROM full_map WHERE nm = 0
+  UNION ALL SELECT 'barcodes_1_mismatch', count(DISTINCT spacer) FROM full_map WHERE nm = 1
+  UNION ALL SELECT 'barcodes_2_mismatches', count(DISTINCT spacer) FROM full_map WHERE nm = 2
+  UNION ALL SELECT 'barcodes_intergenic', count(DISTINCT spacer) FROM full_map WHERE target IS NOT NULL AND locus_tag IS NULL
+  UNION ALL SELECT 'barcodes_non_targeting', count(DISTINCT spacer) FROM full_map WHERE target IS NULL
+  UNION ALL SELECT 'barcodes_off_targeting', count(*) FROM (SELECT spacer FROM full_map WHERE target IS NOT NULL GROUP BY spacer
+    HAVING count(DISTINCT tar_start || '_' || tar_end || '_' || CASE WHEN tar_start < 0 OR tar_end = 0 THEN len ELSE 0 END) > 1) x
+  UNION ALL SELECT 'genes', count(*) FROM feature UNION ALL SELECT 'chromosomes', count(*) FROM chrom
+  UNION ALL SELECT 'circular_chromosomes', count(*) FROM chrom WHERE circular)
+SELECT metric, CAST(value AS BIGINT) AS value FROM m""",
+    ("chrom", "guide", "feature"),
+)
+def mapping_report(spark, sf_dir):
+    """Figures of the whole mapping."""
+    rows = _mapped(spark, sf_dir)
+    return report.mapping_report(rows, spark.table("chrom"), spark.table("feature"))
+
+
+@query(
+    """SELECT chr, count(*) AS bases FROM (SELECT chr, pos FROM (SELECT chr, unnest(range(feature_start, feature_end)) AS pos FROM feature) p
+  GROUP BY chr, pos HAVING count(*) > 1) x GROUP BY chr""",
+    ("feature",),
+)
+def ambiguous_coordinates(spark, sf_dir):
+    """Bases under more than one feature."""
+    return intervals.ambiguous_coordinates(view(spark, sf_dir, "feature"))
+
+
+@query(
+    f"WITH {MAPPED} SELECT spacer, locus_tag, chr, CAST(tar_start AS INT) AS tar_start FROM full_map WHERE sp_dir = tar_dir AND sites = 1 AND nm = 0 AND intergenic = 0 AND spacer IN (SELECT spacer FROM full_map WHERE overlap = 20 AND sp_dir = tar_dir AND sites = 1 AND nm = 0 AND intergenic = 0)",
+    ("chrom", "guide", "feature"),
+)
+def design_filters(spark, sf_dir):
+    """Guides in the gene's direction with one perfect site that some gene covers."""
+    rows = design.orientation(_mapped(spark, sf_dir), "forward")
+    rows = design.filters(rows, omit_offtargets=True, mismatches=1, full_overlap=LENGTH)
+    return rows.select("spacer", "locus_tag", "chr", "tar_start")
+
+
+#: Every feature as a site of its own on its chromosome, so that genes hold many candidate guides.
+CANDIDATES = """cand AS (SELECT b.locus_tag, a.locus_tag AS spacer, a.chr, a.feature_start AS tar_start, a.feature_start - b.feature_start AS "offset"
+  FROM feature a JOIN feature b ON a.chr = b.chr AND a.feature_start >= b.feature_start AND a.feature_start < b.feature_end AND a.locus_tag <> b.locus_tag)"""
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = view(spark, sf_dir, "feature")
+    a = f.select("chr", F.col("locus_tag").alias("spacer"), F.col("feature_start").alias("tar_start"), (F.col("feature_start") + 1).alias("tar_end"))
+    b = f.select("chr", "locus_tag", "feature_start", "feature_end")
+    both = intervals.overlap_join(a, b, ("tar_start", "tar_end"), ("feature_start", "feature_end")).where("spacer != locus_tag")
+    return both.select("locus_tag", "spacer", "chr", "tar_start", (F.col("tar_start") - F.col("feature_start")).alias("offset"))
+
+
+@query(
+    f"""WITH RECURSIVE {CANDIDATES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY locus_tag ORDER BY "offset", spacer) AS n FROM cand),
+walk AS (SELECT locus_tag, spacer, "offset" AS last, n FROM ranked WHERE n = 1
+  UNION ALL SELECT w.locus_tag, r.spacer, CASE WHEN r."offset" >= w.last + 40 THEN r."offset" ELSE w.last END, r.n
+  FROM walk w JOIN ranked r ON r.locus_tag = w.locus_tag AND r.n = w.n + 1),
+taken AS (SELECT DISTINCT w.spacer FROM walk w LEFT JOIN walk p ON p.locus_tag = w.locus_tag AND p.n = w.n - 1 WHERE p.n IS NULL OR w.last > p.last)
+SELECT locus_tag, spacer, "offset" FROM cand WHERE spacer IN (SELECT spacer FROM taken)""",
+    ("feature",),
+)
+def design_tiling(spark, sf_dir):
+    """Candidates at least 40 bases apart along each gene."""
+    rows = _candidates(spark, sf_dir).withColumn("overlap", F.lit(LENGTH))
+    return design.tile(rows, 40).select("locus_tag", "spacer", "offset")
+
+
+ORACLE_SQL["design_tiling"] = ORACLE_SQL["design_tiling"].replace("WITH ", "WITH RECURSIVE ", 1).replace(", RECURSIVE cand", ", cand", 1)
+
+
+@query(
+    f"""WITH {CANDIDATES}, top AS (SELECT spacer FROM (SELECT spacer, row_number() OVER (PARTITION BY locus_tag ORDER BY "offset", spacer, chr, tar_start) AS n FROM cand) x WHERE n <= 2)
+SELECT locus_tag, spacer, "offset" FROM cand WHERE spacer IN (SELECT spacer FROM top)""",
+    ("feature",),
+)
+def design_keep_top(spark, sf_dir):
+    """All rows of the two candidates nearest to the beginning of each gene."""
+    return design.keep_top(_candidates(spark, sf_dir), 2).select("locus_tag", "spacer", "offset")
+
+
+def _library(spark: SparkSession, sf_dir: str) -> library.GuideLibrary:
+    found = align.align(view(spark, sf_dir, "guide"), spark.table("chrom"), LENGTH, 0, 3)
+    genes = spark.table("feature").withColumn("type", F.lit("gene"))
+    source = spark.table("chrom").select(
+        "chr", F.lit("source").alias("locus_tag"), F.lit("").alias("gene"), F.lit(0).alias("feature_start"), F.col("len").alias("feature_end"), F.lit(1).alias("strand"), F.lit("source").alias("type")
+    )
+    return library.GuideLibrary(found.select("spacer", "chr", "start", "end", "strand", "before", "after", "nm"), genes.unionByName(source), PAM)
+
+
+LIB = f"""WITH {ALIGNED}, hit AS (SELECT * FROM norm WHERE nm = 0 AND pam LIKE '_GG' AND pam NOT LIKE '%-%'),
+lib AS (SELECT h.spacer, h.chr, h.s AS "start", f.locus_tag, f.feature_start, f.feature_end, h.e AS "end",
+    CASE WHEN f.strand = 1 THEN h.s - f.feature_start ELSE f.feature_end - h.e END AS "offset"
+  FROM hit h JOIN feature f ON f.chr = h.chr AND h.s < f.feature_end AND f.feature_start < h.e)"""
+
+
+@query(f'{LIB} SELECT spacer, chr, "start", locus_tag, CAST("offset" AS INT) AS "offset" FROM lib', ("chrom", "guide", "feature"))
+def library_unique(spark, sf_dir):
+    """Targeting sites within genes of guides that target a chromosome."""
+    return _library(spark, sf_dir).unique().select("spacer", "chr", "start", "locus_tag", F.col("offset").cast("int").alias("offset"))
+
+
+@query(
+    f"""{LIB} SELECT spacer, chr, "start", locus_tag FROM (SELECT *, row_number() OVER (PARTITION BY spacer
+  ORDER BY chr, "start", "end", feature_start, feature_end, locus_tag) AS n FROM lib) x WHERE n = 1""",
+    ("chrom", "guide", "feature"),
+)
+def library_unambiguous(spark, sf_dir):
+    """The first gene of each guide."""
+    return _library(spark, sf_dir).unambiguous().select("spacer", "chr", "start", "locus_tag")
+
+
+_VALUES = ", ".join(f"('{k}', {v!r})" for k, v in mismatch.WEIGHTS.items())
+VARIANTS = f"""w(k, v) AS (VALUES {_VALUES}),
+each AS (SELECT spacer AS original, i, substring(spacer, i, 1) AS was, b AS base FROM guide, range(1, 21) t(i), (VALUES ('A'), ('C'), ('G'), ('T')) x(b)
+  WHERE substring(spacer, i, 1) <> b),
+var AS (SELECT original, left(original, i - 1) || base || substring(original, i + 1) AS variant, was || i || base AS change_description, i, base,
+  (SELECT v FROM w WHERE k = 'intercept') + p.v + s.v + (SELECT v FROM w WHERE k = 'GC_content') * (20 - length(translate(original, 'GC', ''))) / 20.0 AS y
+  FROM each JOIN w p ON p.k = CAST(i - 1 AS VARCHAR) JOIN w s ON s.k = was || base)"""
+
+
+@query(f"WITH {VARIANTS} SELECT original, variant, change_description, round(y, 6) AS y_pred FROM var", ("chrom", "guide"))
+def snv_variants(spark, sf_dir):
+    """All single substitutions of all guides with their predicted efficacy."""
+    rows = mismatch.variants(view(spark, sf_dir, "guide"))
+    return rows.select("original", "variant", "change_description", F.round("y_pred", 6).alias("y_pred"))
+
+
+@query(
+    f"""WITH w(k, v) AS (VALUES {_VALUES}), pair AS (SELECT spacer AS original, reverse(spacer) AS variant FROM guide)
+SELECT original, variant, CASE WHEN original <> variant THEN round((SELECT v FROM w WHERE k = 'intercept')
+  + (SELECT sum(p.v + s.v) FROM range(1, 21) t(i) JOIN w p ON p.k = CAST(i - 1 AS VARCHAR) JOIN w s ON s.k = substring(original, i, 1) || substring(variant, i, 1)
+     WHERE substring(original, i, 1) <> substring(variant, i, 1))
+  + (SELECT v FROM w WHERE k = 'GC_content') * (20 - length(translate(original, 'GC', ''))) / 20.0, 6) END AS y_pred FROM pair""",
+    ("chrom", "guide"),
+)
+def y_pred(spark, sf_dir):
+    """Predicted efficacy of each guide read backwards."""
+    pairs = view(spark, sf_dir, "guide").select(F.col("spacer").alias("original"), F.reverse("spacer").alias("variant"))
+    return mismatch.recalculate(pairs).withColumn("y_pred", F.round("y_pred", 6))
+
+
+@query()
+def mismatch_series(spark, sf_dir):
+    """Variants of each guide nearest to evenly spaced scores; held against a loop in the tests."""
+    rows = mismatch.series(view(spark, sf_dir, "guide"))
+    return rows.select("original", "variant", "change_description", F.round("y_pred", 6).alias("y_pred"), "nth")
+
+
+COUNTED = f"""counted AS (SELECT b.bc AS barcode, l.bc IS NOT NULL AS documented, count(*) AS count
+  FROM (SELECT substring(r1, 11, 20) AS bc FROM reads WHERE r1 NOT LIKE '%N%' AND r1 LIKE '{LEFT}%' AND r1 LIKE '%{RIGHT}') b
+  LEFT JOIN library l ON l.bc = b.bc GROUP BY 1, 2)"""
+
+
+def _single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.count_single(view(spark, sf_dir, "reads"), spark.table("library"), 0, LENGTH, LEFT, RIGHT)
+
+
+@query(f"WITH {COUNTED} SELECT * FROM counted", ("reads",))
+def barcode_counts_single(spark, sf_dir):
+    """Known and unknown barcodes of single reads."""
+    return _single(spark, sf_dir)
+
+
+@query(f"WITH {COUNTED} SELECT * FROM counted", ("reads",))
+def barcode_counts_paired(spark, sf_dir):
+    """Known and unknown barcodes of read pairs."""
+    pairs = view(spark, sf_dir, "reads").withColumn("r2", S.rev_comp("r1"))
+    back = [str(x).translate(str.maketrans("ACGT", "TGCA"))[::-1] for x in (RIGHT, LEFT)]
+    return counting.count_paired(pairs, spark.table("library"), (0, 0), LENGTH, (LEFT, RIGHT, *back))
+
+
+@query(f"WITH {COUNTED} SELECT * FROM counted", ("reads",))
+def barcode_counts_sampled(spark, sf_dir):
+    """The whole counting flow: place, flanks and counts are found from the reads alone."""
+    return counting.count_reads(view(spark, sf_dir, "reads"), spark.table("library"))
+
+
+GRAMS = """d AS (SELECT DISTINCT r1 FROM reads),
+f AS (SELECT 'L' AS side, left(r1, 10) AS s FROM d UNION ALL SELECT 'R', substring(r1, 31, 10) FROM d),
+gram AS (SELECT side, CAST(k AS INT) AS len, CASE WHEN side = 'L' THEN right(s, k) ELSE left(s, k) END AS gram, count(*) AS n FROM f, range(1, 11) t(k) GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {GRAMS} SELECT * FROM gram", ("reads",))
+def flank_grams(spark, sf_dir):
+    """How often each flank of one to ten bases occurs."""
+    return counting.flank_grams(view(spark, sf_dir, "reads"), 10, LENGTH)
+
+
+@query(
+    f"""WITH {GRAMS}, top AS (SELECT *, row_number() OVER (PARTITION BY side, len ORDER BY n DESC, gram) AS k FROM gram)
+SELECT side, gram FROM top WHERE k = 1 AND len = 10""",
+    ("reads",),
+)
+def best_flanks(spark, sf_dir):
+    """The flank on either side."""
+    return counting.best_flanks(counting.flank_grams(view(spark, sf_dir, "reads"), 10, LENGTH))
+
+
+HITS = f"""size AS (SELECT count(*) AS n FROM library), way AS (SELECT bc AS kmer, 'forward' AS orient FROM library UNION ALL SELECT {rc("bc")}, 'reverse' FROM library),
+k AS (SELECT row_idx, i AS pos, substring(r1, i + 1, 20) AS kmer FROM reads, range(0, 21) t(i)),
+head AS (SELECT * FROM (SELECT k.*, row_idx // n AS chunk, row_number() OVER (PARTITION BY row_idx // n, kmer ORDER BY row_idx, pos) AS o FROM k, size WHERE kmer IN (SELECT kmer FROM way)) x WHERE o = 1),
+hit AS (SELECT chunk, row_idx, pos, orient FROM head JOIN way USING (kmer))"""
+
+
+@query(f'WITH {HITS} SELECT CAST(pos AS INT) AS "at", orient, count(*) AS n FROM hit GROUP BY 1, 2', ("reads",))
+def sample_offsets(spark, sf_dir):
+    """Where and in which direction barcodes first occur in chunks of reads."""
+    lib = view(spark, sf_dir, "library")
+    found = counting.hits(spark.table("reads"), lib, lib.count(), LENGTH)
+    return found.groupBy("at", "orient").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {HITS}, c AS (SELECT DISTINCT row_idx // n AS chunk FROM reads, size),
+h AS (SELECT chunk, count(*) AS n FROM hit GROUP BY 1), r AS (SELECT chunk, count(*) AS n FROM (SELECT r1, min(row_idx) // (SELECT n FROM size) AS chunk FROM reads GROUP BY r1) x GROUP BY 1),
+cum AS (SELECT c.chunk, CAST(sum(coalesce(h.n, 0)) OVER (ORDER BY c.chunk) AS BIGINT) AS hits, CAST(sum(coalesce(r.n, 0)) OVER (ORDER BY c.chunk) AS BIGINT) AS reads
+  FROM c LEFT JOIN h ON h.chunk = c.chunk LEFT JOIN r ON r.chunk = c.chunk)
+SELECT chunk, hits, reads, hits >= 5 * n OR (reads >= 5 * n AND hits > 0) AS enough FROM cum, size""",
+    ("reads",),
+)
+def sampling_stop(spark, sf_dir):
+    """Cumulative figures of sampling by chunk, and whether they are enough."""
+    lib = view(spark, sf_dir, "library")
+    n, reads = lib.count(), spark.table("reads")
+    return counting.sampling(reads, counting.hits(reads, lib, n, LENGTH), n).drop("stop")
+
+
+@query(
+    f"""WITH {COUNTED}, t AS (SELECT coalesce(sum(count) FILTER (documented), 0) AS d, coalesce(sum(count) FILTER (NOT documented), 0) AS u,
+  count(*) FILTER (documented) AS dn, count(*) FILTER (NOT documented) AS un FROM counted), n AS (SELECT count(*) AS n FROM reads), l AS (SELECT count(*) AS l FROM library)
+SELECT unnest(['documented_reads', 'undocumented_reads', 'documented_share', 'undocumented_share', 'documented_barcodes', 'undocumented_barcodes', 'missing_barcodes']) AS metric,
+  unnest([CAST(d AS DOUBLE), CAST(u AS DOUBLE), round(d / n, 3), round(u / n, 3), CAST(dn AS DOUBLE), CAST(un AS DOUBLE), CAST(l - dn AS DOUBLE)]) AS value FROM t, n, l""",
+    ("reads",),
+)
+def count_report(spark, sf_dir):
+    """Figures of the counts."""
+    counts = _single(spark, sf_dir)
+    return counting.count_report(counts, spark.table("reads").count(), spark.table("library").count())
+
+
+@query(
+    f"WITH {COUNTED} SELECT barcode, documented, count, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY documented ORDER BY count DESC, barcode) AS k FROM counted) x WHERE k <= 5",
+    ("reads",),
+)
+def top_barcodes(spark, sf_dir):
+    """The five most frequent known and unknown barcodes."""
+    return counting.top_barcodes(_single(spark, sf_dir))
+
+
+@query(f"SELECT r1, {rc('r1')} AS r2, row_number() OVER (ORDER BY r1) AS place FROM reads", ("reads",))
+def distill_reads(spark, sf_dir):
+    """Read pairs sorted together; place is that of the sorted table."""
+    reads = view(spark, sf_dir, "reads")
+    files = [reads.select("row_idx", F.col("r1").alias("seq")), reads.select("row_idx", S.rev_comp("r1").alias("seq"))]
+    return distill.numbered(distill.distill(distill.zip_reads(files)))
+
+
+@query(f"SELECT chr, bc FROM (SELECT chr, substring(seq, 101, 20) AS bc FROM chrom) x WHERE bc = 'ACGTACGTACGTACGTACGT' OR {rc('bc')} = 'ACGTACGTACGTACGTACGT' OR bc = (SELECT min(bc) FROM library)", ("chrom", "library"))
+def sense_lookup(spark, sf_dir):
+    """Chromosomes whose barcode reads as given on either strand."""
+    table = view(spark, sf_dir, "chrom").select("chr", F.substring("seq", 101, 20).alias("bc"))
+    table = table.withColumn("antisense", S.rev_comp("bc"))
+    first = spark.table("library").agg(F.min("bc")).first()[0]
+    found = library.sense_lookup(table, "ACGTACGTACGTACGTACGT", "bc", "antisense").unionByName(table.where(F.col("bc") == first))
+    return found.select("chr", "bc").distinct()
+
+
+@query(
+    "SELECT least(r1, reverse(translate(r1, 'ATCGN', 'TAGCN'))) AS read, count(*) AS n FROM reads GROUP BY 1", ("reads",)
+)
+def canonical_reads(spark, sf_dir):
+    """How often each read occurs on either strand."""
+    return view(spark, sf_dir, "reads").groupBy(F.least("r1", S.rev_comp("r1")).alias("read")).agg(F.count("*").alias("n"))
