@@ -123,7 +123,9 @@ def replace(docs: DataFrame, key: str = "surrogates", column: str = "text") -> D
     A null text stays null, texts without entities stay as they are, repeated rows are repeated. A column n_entities of
     the input is replaced. Whole texts of any length are searched. The key should be kept secret.
     """
-    docs = docs.drop("n_entities").withColumn("_found", entities(F.col(column)))
+    names, own = [c for c in docs.columns if c != "n_entities"], column
+    docs = docs.select(F.col(own).alias("_text"), F.struct(*names).alias("_doc"), entities(F.col(own)).alias("_found"))
+    column = "_text"
     has = F.coalesce(F.size("_found") > 0, F.lit(False))
     digest = F.sha2(F.col(column), 256)
     held = docs.where(has).select(digest.alias("_digest"), F.explode(F.array_distinct("_found")).alias("entity"))
@@ -143,6 +145,6 @@ def replace(docs: DataFrame, key: str = "surrogates", column: str = "text") -> D
     changed = F.concat(F.transform("_found", renewed), F.array(F.lit("")))
     text = F.array_join(F.zip_with(between, changed, lambda a, b: F.concat(a, b)), "")
     n = F.size("_found").cast("long").alias("n_entities")
-    names = [c for c in docs.columns if c != "_found"]
-    changed_rows = rows.select(*(text.alias(c) if c == column else F.col(c) for c in names), n)
-    return docs.where(~has).select(*names, F.lit(0).cast("long").alias("n_entities")).unionByName(changed_rows)
+    kept = {c: F.col("_doc")[c].alias(c) for c in names}
+    changed_rows = rows.select(*(kept | {own: text.alias(own)}).values(), n)
+    return docs.where(~has).select(*kept.values(), F.lit(0).cast("long").alias("n_entities")).unionByName(changed_rows)
