@@ -1,0 +1,249 @@
+"""Operators against loops and against the libraries whose results they must equal."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from strandwise.llm import bpe, components, fingerprints, mixing, passages, pii, queries, simhash, token_counts, toxicity
+from strandwise.llm.common import read_table
+
+ALPHABET = [*"abcdeT '’sréß.,!\n\n  \t\r\x1c\x85  中文²½9", "<|endoftext|>", "'re", "'ll", " the", " word", "\nOn"]
+
+
+@pytest.fixture(scope="module")
+def coder():
+    return bpe.Bpe(bpe.Vocabulary(queries.vocabulary_path()))
+
+
+@pytest.fixture(scope="module")
+def reference():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(queries.vocabulary_path())
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return read_table(spark, sf, "documents")
+
+
+def some_text(r, most):
+    return "".join(r.choice(ALPHABET) for _ in range(r.randrange(most)))
+
+
+def test_bpe_equals_the_library(coder, reference):
+    r = random.Random(1)
+    texts = [some_text(r, 80) for _ in range(2000)] + ["", "a" * 3000, "\0x \0y"]
+    for text, ids in zip(texts, coder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
+        assert coder.decode(ids) == text
+
+
+def test_bpe_of_documents(spark, docs, reference):
+    rows = {r.doc_id: r for r in bpe.round_trip(docs, queries.vocabulary_path()).collect()}
+    for r in docs.collect():
+        ids = np.array(reference.encode(r.text, add_special_tokens=False).ids, "<u4")
+        assert (rows[r.doc_id].n_tokens, rows[r.doc_id].ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
+
+
+def test_counts_follow_edits(coder, reference):
+    r = random.Random(2)
+    for _ in range(150):
+        text = some_text(r, 400)
+        tree = token_counts.CountTree(coder, text)
+        for _ in range(4):
+            a = r.randrange(len(text) + 2)
+            b, new = a + r.choice([0, 1, 3, 30]), some_text(r, 30)
+            text = text[:a] + new + text[max(b, a) :]
+            assert tree.edit(a, b, new) == len(reference.encode(text, add_special_tokens=False).ids)
+            assert tree.text == text
+
+
+def hash_of(words, width):
+    shingles = [" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components_of(ids, linked):
+    root = {i: i for i in ids}
+    for a, b in linked:
+        x, y = sorted((root[a], root[b]))
+        root = {i: x if r == y else r for i, r in root.items()}
+    return root
+
+
+def test_simhash_components(docs):
+    prints = {}
+    for r in docs.collect():
+        lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in r.text or "")
+        words = re.findall("[^\x20\x09-\x0d]+", lower)
+        prints[r.doc_id] = hash_of(words, 4) if words else 0
+    pairs = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 4]
+    expected = components_of(prints, pairs)
+    rows = simhash.op6_simhash_near_dedup(docs).collect()
+    assert {r.doc_id: r.fingerprint for r in rows} == {i: f"{p:016x}" for i, p in prints.items()}
+    assert {r.doc_id: r.component_id for r in rows} == expected
+
+
+def near_prints(r, n):
+    base = [r.getrandbits(64) for _ in range(n)]
+    return base + [b ^ sum(1 << k for k in r.sample(range(64), r.randrange(6))) for b in base for _ in range(3)]
+
+
+@pytest.mark.parametrize(("find", "radius"), [("pivots", 4), ("tables", 3)])
+def test_no_pair_within_the_radius_is_lost(spark, find, radius):
+    prints = sorted({p - (1 << 64) if p >> 63 else p for p in near_prints(random.Random(radius), 60)})
+    mask = (1 << 64) - 1
+    near = {(a, b) for a in prints for b in prints if ((a ^ b) & mask).bit_count() <= radius}
+    table = spark.createDataFrame([(p,) for p in prints], "fp long")
+    if find == "pivots":
+        found = simhash.links(table, radius).collect()
+        assert sorted(map(tuple, found)) == sorted((a, b) for a, b in near if a < b)
+    else:
+        found = fingerprints.within_radius(table, table, radius).collect()
+        assert sorted(map(tuple, found)) == sorted(near)
+
+
+def test_connected_components(spark):
+    r = random.Random(4)
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 130)]
+    table = spark.createDataFrame(edges, "a long, b long")
+    found = {x.vertex: x.root for x in components.connected_components(table).collect()}
+    expected = components_of({x for e in edges for x in e}, edges)
+    assert {k: v for k, v in expected.items() if k != v} == found
+    assert components.connected_components(table.limit(0)).count() == 0
+
+
+def test_fingerprints_and_edited_texts(docs):
+    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), reverse=True)
+    terms = {r.doc_id: r.t for r in docs.select("doc_id", fingerprints.terms(F.col("text")).alias("t")).collect()}
+    found = {r.doc_id: r for r in fingerprints.op1_document_fingerprints(docs).collect()}
+    for k, (i, text) in enumerate(rows):
+        other, half = rows[(k + 1) % len(rows)][1], len(text) // 2
+        edited = text[: len(text) - half] + other[:half]
+        assert found[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and found[i].n_chars == len(text)
+        if text.strip():
+            votes = [sum((h >> b) & 1 for h in terms[i]) for b in range(64)]
+            assert int(found[i].fingerprint, 16) == sum(1 << b for b in range(64) if 2 * votes[b] > len(terms[i]))
+    assert sum(r.near_edited > r.near_next for r in found.values()) > 0.9 * len(found)
+
+
+def test_buckets_of_sparse_ids(spark):
+    ids = [0, 1, 2, 10**15, 10**15 + 1, -(10**17), *range(500, 900, 7)]
+    table = spark.createDataFrame([(i, f"text {i} of words") for i in ids] + [(None, "none")], "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.edited_sha256 for r in fingerprints.fingerprint_edits(table).collect()}
+    order = [*sorted(ids, reverse=True), None]
+    text = lambda i: "none" if i is None else f"text {i} of words"
+    for k, i in enumerate(order):
+        a, b = text(i), text(order[(k + 1) % len(order)])
+        assert found[i] == hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest()
+
+
+def test_passages_find_what_a_loop_finds(spark):
+    r = random.Random(6)
+    words = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    passage = words(60)
+    changed = passage[:30] + ["changed"] + passage[31:]
+    texts = [words(80) + passage + words(40), words(5) + passage, words(200), passage[:40] + words(60), words(30) + changed + words(70)]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {(x.doc_id, x.kept_doc_id): x for x in passages.near_passages(table).collect()}
+    assert set(found) == {(1, 0), (4, 0)} and {x.component_id for x in found.values()} == {0}
+    assert (found[1, 0].first_word, found[1, 0].last_word, found[1, 0].similarity) == (5, 64, 1.0)
+    assert 0.8 <= found[4, 0].similarity < 1
+
+
+def test_compact_windows():
+    r = np.random.default_rng(0)
+    for _ in range(30):
+        n, least = int(r.integers(1, 90)), int(r.integers(1, 20))
+        tokens = r.integers(0, 40, n).astype(np.uint64)
+        got = {(w[0], w[3], w[2], w[4]) for w in passages.compact_windows(tokens, least)}
+        for k in range(passages.HASHES):
+            mine = [w for w in got if w[0] == k]
+            for a in range(n - least + 1):
+                for b in range(a + least - 1, n):
+                    assert sum(x[1] <= a <= x[2] <= b <= x[3] for x in mine) == 1  # each passage lies in one window
+
+
+def test_mix_meets_its_targets(spark):
+    r = random.Random(8)
+    rows = [(i, "w " * r.randrange(1, 60), "abcdefg"[min(6, int(r.expovariate(1)))]) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.plan(docs, ("doc_id", "source")).collect()
+    size, target = {}, {}
+    for x in found:
+        size[x.source] = size.get(x.source, 0) + x.size
+        target[x.source] = x.target
+    weights = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(size))}
+    left, open_, expected = 1.5 * sum(size.values()), set(size), {}
+    while True:
+        share = {s: left * weights[s] / sum(weights[t] for t in open_) for s in open_}
+        full = {s for s in open_ if share[s] > 2 * size[s]}
+        if not full:
+            expected |= share
+            break
+        expected |= {s: 2 * size[s] for s in full}
+        left, open_ = left - sum(2 * size[s] for s in full), open_ - full
+    for s in size:
+        assert target[s] == pytest.approx(expected[s])
+        assert abs(sum(x.taken for x in found if x.source == s) - target[s]) <= 60
+    assert all(x.copies <= 2 and len(x.positions) == x.copies for x in found)
+    positions = [p for x in found for p in x.positions]
+    assert 0 <= min(positions) and max(positions) <= 1.5 * sum(size.values()) + 1
+    early = lambda s: np.mean([p for x in found if x.source == s for p in x.positions]) / (1.5 * sum(size.values()))
+    assert early("a") < early("b") < early("c")  # falling, even and rising schedules
+
+
+def test_surrogates(spark):
+    people = [(i, f"Write to user{i % 40}@mail.example.com or Mrs. Ana Roth, call +1 (449) 555-{i % 30:04d} from 42.144.35.{i % 20}.") for i in range(80)]
+    docs = spark.createDataFrame([*people, (80, "Clean text of 12 words, v1.2.3.4.5")], "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.replace(docs).collect()}
+    assert out[80].text == "Clean text of 12 words, v1.2.3.4.5" and out[80].n_entities == 0
+    found = lambda t: re.findall(r"[\w.]+@[\w.]+|\+1 \(\d{3}\) \d{3}-\d{4}|\b\d{1,3}(?:\.\d{1,3}){3}\b", t)
+    pairs = {(a, b) for i, text in people for a, b in zip(found(text), found(out[i].text), strict=True)}
+    before, after = {a for a, _ in pairs}, {b for _, b in pairs}
+    assert len(pairs) == len(before) == len(after) and not before & after
+    assert len({re.search(r"Mrs\. \w+ \w+", r.text)[0] for r in out.values() if r.doc_id < 80}) == 1
+    other = pii.replace(docs, key="another").where("doc_id = 1").first()
+    assert other.text != out[1].text
+
+
+def test_gradients():
+    net = toxicity.Network(0)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    words, mask = ["", "one", "two", "three"], np.array([[1, 1, 1], [1, 0, 1], [1, 0, 1]], bool)
+    index, doc, labels, got = np.array([[1, 2, 3], [2, 0, 1], [3, 0, 1]]), np.array([0, 1, 1]), np.array([1, 0]), {}
+    net._adam = got.update
+    net.learn(words, index, mask, doc, labels)
+    first = {k: np.asarray(g).ravel().copy() for k, g in got.items()}
+    for k, g in first.items():
+        flat, at = net.p[k].reshape(-1), int(np.abs(g).argmax())
+        kept, losses = flat[at], []
+        for step in (1e-5, -1e-5):
+            flat[at] = kept + step
+            losses.append(net.learn(words, index, mask, doc, labels))
+        flat[at] = kept
+        assert g[at] == pytest.approx((losses[0] - losses[1]) / 2e-5, rel=5e-2, abs=1e-4)
+
+
+def test_toxic_words_are_learned():
+    r = random.Random(3)
+    clean = lambda: [r.choice("the of and to in that was for on with".split()) + r.choice(["", "er", "ing"]) for _ in range(r.randrange(20, 200))]
+
+    def toxic():
+        words = clean()
+        words[r.randrange(len(words))] = r.choice(["idiot", "idiots", "scumbag"])
+        return words
+
+    texts = [" ".join(f()) for _ in range(60) for f in (clean, toxic)]
+    net = toxicity.train(texts, [0, 1] * 60, epochs=12)
+    scorer = toxicity.Scorer(net)
+    fresh = scorer.score([" ".join(f()) for _ in range(40) for f in (clean, toxic)])
+    assert (fresh[1::2] >= 0.3).mean() > 0.9 and (fresh[::2] < 0.3).mean() > 0.9
+    assert 0 <= scorer.score([None])[0] < 0.3
