@@ -132,7 +132,7 @@ def gene_name(gene: Column | str, locus_tag: Column | str) -> Column:
     return F.coalesce(F.nullif(_col(gene), F.lit("")), _col(locus_tag))
 
 
-def note(sites: Column | str, genes: Column | str, intergenic: Column | str, place: str = "") -> Column:
+def note(sites: Column | str, genes: Column | str, intergenic: Column | str, place: str = "", idle: str = "non-targeting") -> Column:
     """Summary of a guide's targets."""
     said = lambda n, what: F.concat(n.cast("string"), F.lit(f" {what}"), F.when(n == 1, "").otherwise("s"))
     sites, genes, intergenic = _col(sites), _col(genes), _col(intergenic)
@@ -141,7 +141,7 @@ def note(sites: Column | str, genes: Column | str, intergenic: Column | str, pla
         F.when(genes > 0, F.concat(said(genes, "gene"), F.lit(place))),
         F.when(intergenic > 0, F.concat(intergenic.cast("string"), F.lit(" intergenic"))),
     ]
-    return F.when(sites == 0, "non-targeting").otherwise(F.concat_ws(", ", *parts))
+    return F.when(sites == 0, idle).otherwise(F.concat_ws(", ", *parts))
 
 
 def note_count(text: Column | str, what: str) -> Column:

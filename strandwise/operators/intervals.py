@@ -39,14 +39,24 @@ def overlap_join(left: DataFrame, right: DataFrame, left_range, right_range, how
 def promoter_windows(features: DataFrame, up: int = 205, down: int = 95) -> DataFrame:
     """Features with window_start and window_end around their beginning, in which a target counts as upstream.
 
-    Forward: from ``up`` bases before the start to ``down`` after it; else from ``down`` to ``up`` bases after the end.
+    Forward: from ``up`` bases before the start to ``down`` after it; else from ``down`` to ``up`` bases after the end. A
+    forward feature across the origin, whose end lies beyond a column ``len``, has its window end ``down`` before it.
     """
     forward, back = F.col("strand") == 1, F.col("strand") == -1
     start = F.when(forward, F.col("feature_start") - up).when(back, F.col("feature_end") + down)
-    end = F.when(forward, F.col("feature_start") + down).when(back, F.col("feature_end") + up)
+    across = F.col("feature_end") > F.col("len") if "len" in features.columns else F.lit(False)
+    end = F.when(forward, F.col("feature_start") + F.when(across, -down).otherwise(down)).when(back, F.col("feature_end") + up)
     return features.withColumns({"window_start": start, "window_end": end})
 
 
+def overlapping_genes(features: DataFrame) -> DataFrame:
+    """(chr, locus_tag) of features that share a base with another one (AG10)."""
+    own = features.select("chr", F.col("locus_tag").alias("a"), F.col("feature_start").alias("s1"), F.col("feature_end").alias("e1"))
+    other = features.select("chr", F.col("locus_tag").alias("b"), F.col("feature_start").alias("s2"), F.col("feature_end").alias("e2"))
+    both = overlap_join(own, other, ("s1", "e1"), ("s2", "e2")).where("a != b")
+    return both.select("chr", F.col("a").alias("locus_tag")).distinct()
+
+
 def ambiguous_coordinates(features: DataFrame) -> DataFrame:
     """(chr, bases) covered by more than one feature, by a sweep over starts and ends instead of single bases (AG9)."""
     from pyspark.sql import Window

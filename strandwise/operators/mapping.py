@@ -68,10 +68,10 @@ def with_genes(rows: DataFrame, features: DataFrame, by: tuple[str, str] = ("fea
     ).drop("strand", "feature_start", "feature_end", *({*by} - {"feature_start", "feature_end"}))
 
 
-def notes(rows: DataFrame, counts: DataFrame | None = None, place: str = "") -> DataFrame:
+def notes(rows: DataFrame, counts: DataFrame | None = None, place: str = "", idle: str = "non-targeting") -> DataFrame:
     """(spacer, count, sites, genes, intergenic, note) of each guide (AG1-AG4, F22).
 
-    counts: (spacer, name) of the guides as they came; without it each guide came once.
+    place follows the number of genes, idle is the note of a guide without sites. counts: (spacer, name) of the guides as they came; without it each guide came once.
     """
     site = F.when(F.col("target").isNotNull(), F.concat_ws("_", F.col("chr").cast("string"), "coords"))
     out = rows.groupBy("spacer").agg(
@@ -84,7 +84,7 @@ def notes(rows: DataFrame, counts: DataFrame | None = None, place: str = "") ->
     else:
         own = counts.groupBy("spacer").agg(F.count_distinct("name").alias("count"))
         out = out.join(own, "spacer", "left").fillna(0, "count")
-    return out.select("spacer", "count", "sites", "genes", "intergenic", S.note("sites", "genes", "intergenic", place).alias("note"))
+    return out.select("spacer", "count", "sites", "genes", "intergenic", S.note("sites", "genes", "intergenic", place, idle).alias("note"))
 
 
 def map_targets(
@@ -97,6 +97,7 @@ def map_targets(
     direction: str = "downstream",
     out_of_bounds: str = "demote",
     by: tuple[str, str] = ("feature_start", "feature_end"),
+    **wording: str,
 ) -> DataFrame:
     """Every target of every guide with its genes, and a note on each guide: the whole mapping flow.
 
@@ -110,7 +111,7 @@ def map_targets(
     rows = drop_untargeted(gated.unionByName(blank).dropDuplicates())
     rows = with_genes(rows, features, by).dropDuplicates()
     counts = guides.select("name", F.upper("spacer").alias("spacer")) if "name" in guides.columns else None
-    return rows.join(notes(rows, counts), "spacer")
+    return rows.join(notes(rows, counts, **wording), "spacer")
 
 
 def drop_uninformative(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import seq as S
 from .operators import align, counting, design, distill, intervals, library, mapping, mismatch, report, scan
+from .plans import flows
 from .plans.fixtures import LEFT, RIGHT, duckdb_ctes, view
 
 PAM, LENGTH = "NGG", 20
@@ -253,6 +254,44 @@ def ambiguous_coordinates(spark, sf_dir):
     return intervals.ambiguous_coordinates(view(spark, sf_dir, "feature"))
 
 
+@query(f"SELECT DISTINCT chr, a AS locus_tag FROM (SELECT chr, a, b FROM ({OVERLAP}) x UNION ALL SELECT chr, b, a FROM ({OVERLAP}) y) z", ("feature",))
+def overlapping_genes(spark, sf_dir):
+    """Features that share a base with another one."""
+    return intervals.overlapping_genes(view(spark, sf_dir, "feature"))
+
+
+#: Sites joined to promoter windows and to genes; guides whose only sites lose their PAM off the chromosome have no row.
+DROPPED = f"""{MAPPED}, kept AS (SELECT spacer FROM site UNION SELECT spacer FROM norm WHERE pam NOT LIKE '%-%' UNION SELECT spacer FROM guide WHERE spacer NOT IN (SELECT spacer FROM norm))"""
+
+
+@query(
+    f"""WITH {DROPPED}, u AS (SELECT *, CASE WHEN strand = 1 THEN feature_start - 205 ELSE feature_end + 95 END AS ws,
+  CASE WHEN strand = 1 THEN feature_start + 95 ELSE feature_end + 205 END AS we FROM feature),
+m AS (SELECT k.spacer, s.chr, s.tar_start, s.sp_dir, u.locus_tag AS downstream_locus FROM kept k LEFT JOIN site s ON s.spacer = k.spacer
+  LEFT JOIN u ON u.chr = s.chr AND s.tar_start < we AND ws < s.tar_end),
+n AS (SELECT spacer, count(DISTINCT chr || '_' || tar_start) AS sites, count(downstream_locus) AS genes, count(*) FILTER (chr IS NOT NULL AND downstream_locus IS NULL) AS intergenic FROM m GROUP BY 1)
+SELECT m.spacer, m.chr, CAST(m.tar_start AS INT) AS tar_start, m.sp_dir, m.downstream_locus, CASE WHEN sites = 0 THEN 'non-targeting'
+  ELSE concat_ws(', ', sites || ' site' || CASE WHEN sites = 1 THEN '' ELSE 's' END, CASE WHEN genes > 0 THEN genes || CASE WHEN genes = 1 THEN ' gene' ELSE ' genes' END || ' downstream' END,
+    CASE WHEN intergenic > 0 THEN intergenic || ' intergenic' END) END AS note FROM m JOIN n USING (spacer)""",
+    ("chrom", "guide", "feature"),
+)
+def promoter_map(spark, sf_dir):
+    """Targets within promoter windows and a note on each guide."""
+    rows = flows.promoter_targets(view(spark, sf_dir, "guide"), spark.table("chrom"), spark.table("feature"), LENGTH, PAM, mismatches=1)
+    return rows.select("spacer", "chr", "tar_start", "sp_dir", "downstream_locus", "note")
+
+
+@query(
+    f"""WITH {DROPPED} SELECT k.spacer, m.chr, m.locus_tag, m.sp_dir, CAST(CASE WHEN m.sp_dir = 'F' THEN (m.tar_end + 49) % m.len
+  ELSE ((m.tar_start - 49) % m.len + m.len) % m.len END AS INT) AS ins_site FROM kept k JOIN mapped m USING (spacer)""",
+    ("chrom", "guide", "feature"),
+)
+def insertion_map(spark, sf_dir):
+    """Insertion sites of all targets with their genes."""
+    rows = flows.insertion_targets(view(spark, sf_dir, "guide"), spark.table("chrom"), spark.table("feature"), LENGTH, PAM, mismatches=1)
+    return rows.select("spacer", "chr", "locus_tag", "sp_dir", F.col("ins_site").cast("int").alias("ins_site"))
+
+
 @query(
     f"WITH {MAPPED} SELECT spacer, locus_tag, chr, CAST(tar_start AS INT) AS tar_start FROM full_map WHERE sp_dir = tar_dir AND sites = 1 AND nm = 0 AND intergenic = 0 AND spacer IN (SELECT spacer FROM full_map WHERE overlap = 20 AND sp_dir = tar_dir AND sites = 1 AND nm = 0 AND intergenic = 0)",
     ("chrom", "guide", "feature"),
