@@ -40,8 +40,11 @@ def rc(x: str) -> str:
 WINDOWS = f"""padded AS (
   SELECT chr, len, circular, CASE WHEN circular THEN right(seq, 3) || seq || left(seq, 22) ELSE '---' || seq || repeat('-', 22) END AS p,
     CASE WHEN circular THEN len ELSE len - 19 END AS n FROM chrom),
-cut AS (SELECT chr, len, circular, unnest(range(n)) AS s, p FROM padded),
-win AS (SELECT chr, len, circular, CAST(s AS INT) AS s, substring(p, s + 1, 3) AS bef, substring(p, s + 4, 20) AS w, substring(p, s + 24, 3) AS aft FROM cut)"""
+tile AS (SELECT chr, len, circular, n, unnest(range(0, n, 512)) AS t, p FROM padded),
+piece AS (SELECT chr, len, circular, n, t, substring(p, t + 1, 537) AS q FROM tile),
+place AS (SELECT *, unnest(range(least(512, n - t))) AS i FROM piece),
+cut AS (SELECT chr, len, circular, t + i AS s, substring(q, i + 1, 26) AS x FROM place),
+win AS (SELECT chr, len, circular, CAST(s AS INT) AS s, substring(x, 1, 3) AS bef, substring(x, 4, 20) AS w, substring(x, 24, 3) AS aft FROM cut)"""
 
 #: Alignments of guides with at most one mismatch; both halves are tried as seeds.
 ALIGNED = f"""{WINDOWS},
