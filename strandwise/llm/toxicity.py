@@ -269,14 +269,14 @@ def held_out(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Network:
     """A network fitted to at most ``per_class`` labelled documents of each label, those first by a hash of their id.
 
-    Rows without id or label, and held-out ones, aren't learned; without any rows the network stays as it began.
+    Rows without id or label, and held-out ones, aren't learned; of rows of one id, the least text is; without any rows the network stays as it began.
     """
     known = held_out(labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null")).where("not held_out")
     known = known.select("doc_id", "toxic", F.xxhash64("doc_id").alias("at")).distinct()
     chosen = [known.where(F.col("toxic") == y).orderBy("at", "doc_id").limit(per_class).collect() for y in (0, 1)]
     label = {r.doc_id: r.toxic for rows in chosen for r in rows}
-    texts = docs.where(F.col("doc_id").isin(list(label))).select("doc_id", "text").collect() if label else []
-    texts = sorted(((r.doc_id, r.text or "") for r in texts), key=lambda x: (x[0], x[1]))[: 4 * per_class]
+    own = docs.where(F.col("doc_id").isin(list(label))).groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = sorted((r.doc_id, r.text or "") for r in own.collect()) if label else []
     return train([t for _, t in texts], [label[i] for i, _ in texts])
 
 
