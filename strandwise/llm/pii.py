@@ -24,7 +24,7 @@ from .common import cut
 #: Patterns of entities, the first that matches counts.
 MAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+"
 ACCESS = r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"
-SECRET = r"(?<=\b(?:token|secret|password|passwd|api_key|apikey|access_key)[ ]{0,2}[=:][ ]{0,2}[\"']{0,1})[A-Za-z0-9_/+\-]{12,}+"
+SECRET = r"\b(?:token|secret|password|passwd|api_key|apikey|access_key) {0,2}[=:] {0,2}[\"']?[A-Za-z0-9_/+\-]{12,}+"
 ACCOUNT = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
 ADDRESS = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"
 CARD = r"(?<!\d)\d{4}(?:[ \-]?\d{4}){3}(?!\d)"
@@ -47,10 +47,14 @@ def _whole(value: Column, pattern: str) -> Column:
     return value.rlike(rf"\A(?:{pattern})\z")
 
 
+def gate(text: Column) -> Column:
+    """Whether a text may have an entity: a cheap test that most texts fail."""
+    return F.coalesce(text.rlike(GATE), F.lit(False))
+
+
 def entities(text: Column) -> Column:
-    """Entities of a text in order; null and empty texts have none."""
-    none = F.array().cast("array<string>")
-    return F.when(text.rlike(GATE), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none)
+    """Entities of a text in order."""
+    return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
 
 
 def atoms(entity: Column) -> Column:
@@ -62,7 +66,8 @@ def atoms(entity: Column) -> Column:
     given = F.when(female, "given f").when(male, "given m").otherwise("given")
     family = atom(F.lit("family"), F.element_at(words, -1))
     named = F.when(F.size(words) > 2, F.array(atom(given, F.element_at(words, 2)), family)).otherwise(F.array(family))
-    return F.when(_whole(entity, NAME), named).otherwise(F.array(atom(kind, entity)))
+    value = F.when(kind == "secret", F.regexp_extract(entity, r"[A-Za-z0-9_/+\-]+\z", 0)).otherwise(entity)
+    return F.when(_whole(entity, NAME), named).otherwise(F.array(atom(kind, value)))
 
 
 def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
@@ -123,28 +128,30 @@ def replace(docs: DataFrame, key: str = "surrogates", column: str = "text") -> D
     A null text stays null, texts without entities stay as they are, repeated rows are repeated. A column n_entities of
     the input is replaced. Whole texts of any length are searched. The key should be kept secret.
     """
-    names, own = [c for c in docs.columns if c != "n_entities"], column
-    docs = docs.select(F.col(own).alias("_text"), F.struct(*names).alias("_doc"), entities(F.col(own)).alias("_found"))
-    column = "_text"
-    has = F.coalesce(F.size("_found") > 0, F.lit(False))
-    digest = F.sha2(F.col(column), 256)
-    held = docs.where(has).select(digest.alias("_digest"), F.explode(F.array_distinct("_found")).alias("entity"))
+    names, text = [c for c in docs.columns if c != "n_entities"], F.col("_text")
+    docs = docs.select(F.col(column).alias("_text"), F.struct(*names).alias("_doc"))
+    kept = {c: F.col("_doc")[c].alias(c) for c in names}
+    rows = docs.where(gate(text)).select("*", entities(text).alias("_found"), F.sha2("_text", 256).alias("_key"))
+    held = rows.select(F.col("_key").alias("_digest"), F.explode(F.array_distinct("_found")).alias("entity"))
     held = held.select("_digest", F.explode(atoms(F.col("entity"))).alias("atom")).select("_digest", "atom.kind", "atom.value")
     held = cut(held.distinct())
     pairs = held.join(assign(held.select("kind", "value"), key), ["kind", "value"])
     entry = F.struct(F.concat_ws("\x1f", "kind", "value"), F.col("surrogate"))
     maps = pairs.groupBy("_digest").agg(F.map_from_entries(F.collect_set(entry)).alias("_map"))
-    rows = docs.where(has).withColumn("_key", digest).join(maps, F.col("_key") == F.col("_digest"))
+    rows = rows.join(maps, F.col("_key") == F.col("_digest"), "left")
 
     def renewed(entity: Column) -> Column:
         drawn = F.transform(atoms(entity), lambda a: F.element_at("_map", F.concat_ws("\x1f", a["kind"], a["value"])))
         titled = F.concat_ws(" ", F.substring_index(entity, " ", 1), F.array_join(drawn, " "))
-        return F.when(_whole(entity, NAME), titled).otherwise(F.element_at(drawn, 1))
+        other = F.element_at(drawn, 1)
+        prefix = F.regexp_extract(entity, r"\A(.*?)[A-Za-z0-9_/+\-]+\z", 1)
+        secret = F.element_at(atoms(entity), 1)["kind"] == "secret"
+        return F.when(_whole(entity, NAME), titled).when(secret, F.concat(prefix, other)).otherwise(other)
 
-    between = F.split(F.col(column), ANY, -1)
+    n = F.size("_found").cast("long")
+    between = F.split(text, ANY, -1)
     changed = F.concat(F.transform("_found", renewed), F.array(F.lit("")))
-    text = F.array_join(F.zip_with(between, changed, lambda a, b: F.concat(a, b)), "")
-    n = F.size("_found").cast("long").alias("n_entities")
-    kept = {c: F.col("_doc")[c].alias(c) for c in names}
-    changed_rows = rows.select(*(kept | {own: text.alias(own)}).values(), n)
-    return docs.where(~has).select(*kept.values(), F.lit(0).cast("long").alias("n_entities")).unionByName(changed_rows)
+    whole = F.array_join(F.zip_with(between, changed, lambda a, b: F.concat(a, b)), "")
+    changed_text = F.when(n > 0, whole).otherwise(text).alias(column)
+    changed_rows = rows.select(*(kept | {column: changed_text}).values(), n.alias("n_entities"))
+    return docs.where(~gate(text)).select(*kept.values(), F.lit(0).cast("long").alias("n_entities")).unionByName(changed_rows)
