@@ -35,8 +35,8 @@ MALE = r"Mr|Herr|Monsieur|Señor|Sr"
 NEUTRAL = r"Dr|Prof"
 NAME = rf"(?<!\p{{L}})(?:{FEMALE}|{MALE}|{NEUTRAL})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
 ANY = "|".join([MAIL, ACCESS, SECRET, ACCOUNT, ADDRESS, CARD, PHONE, NATIONAL, NAME])
-#: What any entity has; texts without it are passed by.
-GATE = rf"[0-9]|@|[=:]|(?<!\p{{L}})(?:{FEMALE}|{MALE}|{NEUTRAL})\.? \p{{Lu}}"
+#: What any entity has; texts without it are passed by. An access key may be all letters.
+GATE = rf"[0-9]|@|[=:]|AKIA|ASIA|(?<!\p{{L}})(?:{FEMALE}|{MALE}|{NEUTRAL})\.? \p{{Lu}}"
 #: Syllables and endings of surrogate names, by script.
 LATIN = "ba be da do fe ga jo ka li lo ma mi na ne ra so".split()
 CYRILLIC = "ба ве га да зо ка ли ма не по ра ре со та фе ши".split()
