@@ -24,7 +24,12 @@ from .common import cut
 #: Patterns of entities, the first that matches counts.
 MAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+"
 ACCESS = r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"
-SECRET = r"\b(?:token|secret|password|passwd|api_key|apikey|access_key) {0,2}[=:] {0,2}[\"']?[A-Za-z0-9_/+\-]{12,}+"
+VALUE = r"[A-Za-z0-9_/+\-]"
+#: A secret's value isn't a whole access key, and ends where a mail address begins.
+SECRET = (
+    r"\b(?:token|secret|password|passwd|api_key|apikey|access_key) {0,2}+[=:] {0,2}+[\"']?+"
+    rf"(?!{ACCESS}(?!{VALUE}))(?:(?!{MAIL}){VALUE}){{12,}}+"
+)
 ACCOUNT = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
 ADDRESS = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"
 CARD = r"(?<!\d)\d{4}(?:[ \-]?\d{4}){3}(?!\d)"
@@ -60,13 +65,14 @@ def entities(text: Column) -> Column:
 def atoms(entity: Column) -> Column:
     """Atoms (kind, value) of an entity."""
     atom = lambda kind, value: F.struct(kind.alias("kind"), value.alias("value"))
-    kind = reduce(lambda rest, k: F.when(_whole(entity, k[1]), k[0]).otherwise(rest), KINDS[::-1], F.lit("secret"))
+    # a secret's value of another kind has that kind, as where it stands bare
+    value = F.when(_whole(entity, SECRET), F.regexp_extract(entity, rf"{VALUE}+\z", 0)).otherwise(entity)
+    kind = reduce(lambda rest, k: F.when(_whole(value, k[1]), k[0]).otherwise(rest), KINDS[::-1], F.lit("secret"))
     words = F.split(entity, " ")
     female, male = (F.element_at(words, 1).rlike(rf"\A(?:{t})\.?\z") for t in (FEMALE, MALE))
     given = F.when(female, "given f").when(male, "given m").otherwise("given")
     family = atom(F.lit("family"), F.element_at(words, -1))
     named = F.when(F.size(words) > 2, F.array(atom(given, F.element_at(words, 2)), family)).otherwise(F.array(family))
-    value = F.when(kind == "secret", F.regexp_extract(entity, r"[A-Za-z0-9_/+\-]+\z", 0)).otherwise(entity)
     return F.when(_whole(entity, NAME), named).otherwise(F.array(atom(kind, value)))
 
 
@@ -144,9 +150,8 @@ def replace(docs: DataFrame, key: str = "surrogates", column: str = "text") -> D
         drawn = F.transform(atoms(entity), lambda a: F.element_at("_map", F.concat_ws("\x1f", a["kind"], a["value"])))
         titled = F.concat_ws(" ", F.substring_index(entity, " ", 1), F.array_join(drawn, " "))
         other = F.element_at(drawn, 1)
-        prefix = F.regexp_extract(entity, r"\A(.*?)[A-Za-z0-9_/+\-]+\z", 1)
-        secret = F.element_at(atoms(entity), 1)["kind"] == "secret"
-        return F.when(_whole(entity, NAME), titled).when(secret, F.concat(prefix, other)).otherwise(other)
+        prefix = F.regexp_extract(entity, rf"\A(.*?){VALUE}+\z", 1)
+        return F.when(_whole(entity, NAME), titled).when(_whole(entity, SECRET), F.concat(prefix, other)).otherwise(other)
 
     n = F.size("_found").cast("long")
     between = F.split(text, ANY, -1)
