@@ -2,7 +2,8 @@ r"""Surrogates for personal data, in DataFrame functions only.
 
 One pattern finds e-mail addresses, card and phone numbers, national numbers, IP addresses, bank accounts, access keys,
 secrets that are assigned to a name, and names after a title. Each entity becomes atoms: a kind and a string; a name
-gives one for each of its words, so that "Mrs. Ana Roth" and "Ms. Roth" keep a family name in common. An atom's surrogate
+gives one for each of its words, so that "Mrs. Ana Roth" and "Ms. Roth" keep a family name in common. Words of a text's
+titled names are replaced wherever else they stand in it; initials within a name get other letters. An atom's surrogate
 comes from keyed digests: digits for digits, letters for letters of their case, and names from syllables of the script
 with endings of the gender of the title. All atoms of the corpus are compared: where two atoms would get one surrogate,
 or a surrogate is itself an atom of the corpus, all but the first are drawn again until none is left. Equal atoms have
@@ -35,10 +36,13 @@ ADDRESS = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1
 CARD = r"(?<!\d)\d{4}(?:[ \-]?\d{4}){3}(?!\d)"
 PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[\-.]\d{4}|\d{3}[\-.]\d{3}[\-.]\d{4})(?!\d)"
 NATIONAL = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
-FEMALE = r"Mrs|Ms|Miss|Frau|Mme|Madame|Señora|Sra"
-MALE = r"Mr|Herr|Monsieur|Señor|Sr"
-NEUTRAL = r"Dr|Prof"
-NAME = rf"(?<!\p{{L}})(?:{FEMALE}|{MALE}|{NEUTRAL})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
+FEMALE = r"Mrs|Ms|Miss|Frau|Mme|Madame|Señora|Sra|[Гг]-жа|[Гг]оспожа|[Мм]иссис|[Мм]исс"
+MALE = r"Mr|Herr|Monsieur|Señor|Sr|[Гг]-н|[Гг]осподин|[Мм]истер"
+NEUTRAL = r"Dr|Prof|[Дд]-р|[Дд]октор|[Пп]роф|[Пп]рофессор"
+#: A word of a name: inner capitals, apostrophes before capitals, hyphens. Initials may stand before any word.
+PART = r"\p{Lu}(?:[\p{L}\p{M}]+|['’]\p{Lu}[\p{L}\p{M}]+)(?:['’]\p{Lu}[\p{L}\p{M}]+|-\p{L}[\p{L}\p{M}]+)*+"
+INITIAL = r"\p{Lu}\."
+NAME = rf"(?<!\p{{L}})(?:{FEMALE}|{MALE}|{NEUTRAL})\.?(?: {INITIAL})*+ {PART}(?:(?: {INITIAL})*+ {PART})?"
 ANY = "|".join([MAIL, ACCESS, SECRET, ACCOUNT, ADDRESS, CARD, PHONE, NATIONAL, NAME])
 #: What any entity has; texts without it are passed by. An access key may be all letters.
 GATE = rf"[0-9]|@|[=:]|AKIA|ASIA|(?<!\p{{L}})(?:{FEMALE}|{MALE}|{NEUTRAL})\.? \p{{Lu}}"
@@ -68,14 +72,36 @@ def atoms(entity: Column) -> Column:
     # a secret's value of another kind has that kind, as where it stands bare
     value = F.when(_whole(entity, SECRET), F.regexp_extract(entity, rf"{VALUE}+\z", 0)).otherwise(entity)
     kind = reduce(lambda rest, k: F.when(_whole(value, k[1]), k[0]).otherwise(rest), KINDS[::-1], F.lit("secret"))
-    words = F.split(entity, " ")
-    female, male = (F.element_at(words, 1).rlike(rf"\A(?:{t})\.?\z") for t in (FEMALE, MALE))
-    given = F.when(female, "given f").when(male, "given m").otherwise("given")
+    words = F.filter(F.split(entity, " "), lambda w: ~_whole(w, INITIAL))
     family = atom(F.lit("family"), F.element_at(words, -1))
-    named = F.when(F.size(words) > 2, F.array(atom(given, F.element_at(words, 2)), family)).otherwise(F.array(family))
+    named = F.when(F.size(words) > 2, F.array(atom(given(entity), F.element_at(words, 2)), family)).otherwise(F.array(family))
     return F.when(_whole(entity, NAME), named).otherwise(F.array(atom(kind, value)))
 
 
+def given(entity: Column) -> Column:
+    """Kind of the given name in a name, by its title."""
+    title = F.substring_index(entity, " ", 1)
+    female, male = (title.rlike(rf"\A(?:{t})\.?\z") for t in (FEMALE, MALE))
+    return F.when(female, "given f").when(male, "given m").otherwise("given")
+
+
+def initial(word: Column, key: str) -> Column:
+    """An initial's surrogate: another letter of its script, the same one everywhere."""
+    draw = F.conv(F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("initial"), word), 256), 1, 6), 16, 10).cast("int")
+    table = lambda letters: F.array(*map(F.lit, letters))
+    letters = F.when(word.rlike(r"\p{IsCyrillic}"), table("АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ")).otherwise(table("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    letters = F.array_remove(letters, F.substring(word, 1, 1))
+    return F.concat(F.element_at(letters, 1 + draw % F.size(letters)), F.lit("."))
+
+
+def mentions(values: Column) -> Column:
+    """Pattern of the given words of names, alone or side by side, as whole words; the longest first."""
+    longest = F.array_sort(values, lambda a, b: F.length(b) - F.length(a))
+    either = F.array_join(F.transform(longest, lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E"))), "|")
+    word = F.concat(F.lit("(?:"), either, F.lit(r")(?![\p{L}\p{M}\p{N}_])"))
+    return F.concat(F.lit(r"(?<![\p{L}\p{M}\p{N}_])"), word, F.lit("(?: "), word, F.lit(")*+"))
+
+
 def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     """The surrogate that an atom gets at an attempt."""
     length = F.length(value)
@@ -132,7 +158,8 @@ def replace(docs: DataFrame, key: str = "surrogates", column: str = "text") -> D
     """The rows with surrogates in their texts and ``n_entities``; all other columns as they came.
 
     A null text stays null, texts without entities stay as they are, repeated rows are repeated. A column n_entities of
-    the input is replaced. Whole texts of any length are searched. The key should be kept secret.
+    the input is replaced. Whole texts of any length are searched. Words of the text's own titled names count as entities
+    where they stand without a title, side by side as one. The key should be kept secret.
     """
     names, text = [c for c in docs.columns if c != "n_entities"], F.col("_text")
     docs = docs.select(F.col(column).alias("_text"), F.struct(*names).alias("_doc"))
@@ -145,16 +172,37 @@ def replace(docs: DataFrame, key: str = "surrogates", column: str = "text") -> D
     entry = F.struct(F.concat_ws("\x1f", "kind", "value"), F.col("surrogate"))
     maps = pairs.groupBy("_digest").agg(F.map_from_entries(F.collect_set(entry)).alias("_map"))
     rows = rows.join(maps, F.col("_key") == F.col("_digest"), "left")
+    of_names = F.filter(F.map_keys("_map"), lambda k: k.rlike("^(given|family)"))
+    own = F.array_distinct(F.transform(of_names, lambda k: F.substring_index(k, "\x1f", -1)))
+    rows = rows.withColumn("_own", F.coalesce(own, F.array().cast("array<string>")))
+    has_names = F.size("_own") > 0
+    pattern = F.concat(F.lit(ANY + "|"), mentions(F.col("_own")))
+    rows = rows.withColumn("_found", F.when(has_names, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(F.col("_found")))
+
+    def drawn(kind: Column, value: Column) -> Column:
+        return F.element_at("_map", F.concat_ws("\x1f", kind, value))
+
+    def named(entity: Column) -> Column:
+        words = F.split(entity, " ")
+        rest = F.slice(words, 2, F.size(words) - 1)
+        word = lambda w, i: F.when(_whole(w, INITIAL), initial(w, key)).otherwise(
+            drawn(F.when(i == F.size(rest) - 1, "family").otherwise(given(entity)), w)
+        )
+        return F.concat_ws(" ", F.element_at(words, 1), F.array_join(F.transform(rest, word), " "))
+
+    def mentioned(entity: Column) -> Column:
+        of = lambda w: F.coalesce(*(drawn(F.lit(k), w) for k in ("family", "given f", "given m", "given")))
+        return F.array_join(F.transform(F.split(entity, " "), of), " ")
 
     def renewed(entity: Column) -> Column:
-        drawn = F.transform(atoms(entity), lambda a: F.element_at("_map", F.concat_ws("\x1f", a["kind"], a["value"])))
-        titled = F.concat_ws(" ", F.substring_index(entity, " ", 1), F.array_join(drawn, " "))
-        other = F.element_at(drawn, 1)
+        first = F.element_at(atoms(entity), 1)
+        other = drawn(first["kind"], first["value"])
         prefix = F.regexp_extract(entity, rf"\A(.*?){VALUE}+\z", 1)
-        return F.when(_whole(entity, NAME), titled).when(_whole(entity, SECRET), F.concat(prefix, other)).otherwise(other)
+        replaced = F.when(_whole(entity, NAME), named(entity)).when(_whole(entity, SECRET), F.concat(prefix, other))
+        return replaced.when(_whole(entity, ANY), other).otherwise(mentioned(entity))
 
     n = F.size("_found").cast("long")
-    between = F.split(text, ANY, -1)
+    between = F.when(has_names, F.split(text, pattern, F.lit(-1))).otherwise(F.split(text, ANY, -1))
     changed = F.concat(F.transform("_found", renewed), F.array(F.lit("")))
     whole = F.array_join(F.zip_with(between, changed, lambda a, b: F.concat(a, b)), "")
     changed_text = F.when(n > 0, whole).otherwise(text).alias(column)

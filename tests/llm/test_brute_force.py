@@ -251,6 +251,25 @@ def test_values_of_secrets_keep_their_kind(spark):
     assert not any(w in r.text for r in out.values() for w in ("alexandria", "ABCDEFGH", "4111", "abcdefgh", "longsecret", "ana@", "/more"))
 
 
+def test_names_are_replaced_wherever_they_stand(spark):
+    texts = [
+        "Mrs. Ana Roth came. Ana Roth left; Roth's cat and Rother stayed, Roth-Smith too, said Ana.",
+        "Mr. McDonald, Mr. Smith-Jones, Mr. John A. Smith, Dr. J. R. O'Brien and O'Brien.",
+        "Г-жа Анна Петрова пришла, Петрова и Анна ушли, профессор И. Иванов остался, Иванова нет.",
+        "Ana Roth without a title",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.replace(docs).collect()}
+    m = re.fullmatch(r"Mrs\. (\w+) (\w+) came\. (\w+) (\w+) left; (\w+)'s cat and Rother stayed, (\w+)-Smith too, said (\w+)\.", out[0].text)
+    assert m and m[1] == m[3] == m[7] != "Ana" and m[2] == m[4] == m[5] == m[6] != "Roth" and out[0].n_entities == 5
+    m = re.fullmatch(r"Mr\. (\w+), Mr\. (\w+), Mr\. (\w+) ([B-Z])\. (\w+), Dr\. ([A-Z])\. ([A-Z])\. (\w+) and (\w+)\.", out[1].text)
+    assert m and m[8] == m[9] and m[6] != "J" and m[7] != "R" and out[1].n_entities == 5
+    assert not re.search("Donald|Jones|John|Smith|Brien", out[1].text)
+    m = re.fullmatch(r"Г-жа (\w+) (\w+) пришла, (\w+) и (\w+) ушли, профессор (\w)\. (\w+) остался, Иванова нет\.", out[2].text)
+    assert m and m[1] == m[4] != "Анна" and m[2] == m[3] != "Петрова" and m[5] != "И" and m[6] != "Иванов"
+    assert (out[3].text, out[3].n_entities) == (texts[3], 0)
+
+
 def test_gradients():
     net = toxicity.Network(0)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
