@@ -143,8 +143,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     """
     packed = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row"))
     taken = plan(packed, ("doc_id", "row"), **how).select("doc_id", "row", F.explode("positions").alias("position"))
-    placed = taken.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
-    return placed.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    return in_order(taken, "position", "doc_id").select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 ORACLE_SQL = """
@@ -175,6 +174,45 @@ FROM p
 """
 
 
+#: SQL of the training order: the same quotas, then each copy's place in the schedule.
+POSITIONS_SQL = ORACLE_SQL[: ORACLE_SQL.rindex("SELECT doc_id, size")].rstrip() + """,
+k AS (SELECT source, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS kind FROM s),
+w AS (
+  SELECT sum(CASE WHEN kind = 0 THEN target END) AS d0, sum(CASE WHEN kind = 1 THEN target END) AS d1,
+    sum(CASE WHEN kind = 2 THEN target END) AS d2
+  FROM t JOIN k ON t.source IS NOT DISTINCT FROM k.source),
+c AS (
+  SELECT p.*, k.kind, times + CASE WHEN 2 * before + size < 2 * (target - times * source_size) THEN 1 ELSE 0 END AS copies
+  FROM p JOIN k ON p.source IS NOT DISTINCT FROM k.source),
+e AS (
+  SELECT doc_id, kind, copy, least(1.0, (before + copy * source_size) / target) AS fraction
+  FROM (SELECT *, unnest(range(CAST(copies AS BIGINT))) AS copy FROM c WHERE target > 0)),
+f AS (
+  SELECT doc_id, copy, least(1.0, greatest(0.0, CASE kind
+    WHEN 0 THEN 1.5 - sqrt(greatest(0.0, 2.25 - 2.0 * fraction))
+    WHEN 1 THEN fraction ELSE sqrt(0.25 + 2.0 * fraction) - 0.5 END)) AS time
+  FROM e)
+SELECT doc_id, CAST(copy AS BIGINT) AS copy, round(
+    coalesce(d0, 0) * (1.5 * time - time * time / 2) + coalesce(d1, 0) * time
+    + coalesce(d2, 0) * (0.5 * time + time * time / 2), 3) AS position
+FROM f, w
+"""
+
+
+def in_order(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows by the columns: partitions are ranges of them, sorted within."""
+    return rows.repartitionByRange(*columns).sortWithinPartitions(*columns)
+
+
 def op3_mix_sources(docs: DataFrame) -> DataFrame:
-    """The query: what the mix takes of each document."""
-    return plan(docs).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+    """The query: what the mix takes of each document, in training order of the first copy; what isn't taken comes last."""
+    first = F.coalesce(F.try_element_at("positions", F.lit(1)), F.lit(float("inf"))).alias("_first")
+    rows = in_order(plan(docs).select("*", first), "_first", "doc_id")
+    return rows.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+
+
+def op3_training_positions(docs: DataFrame) -> DataFrame:
+    """The query: every copy that the mix takes and its training position, the words that come before, in this order."""
+    copies = plan(docs).select("doc_id", F.posexplode("positions").alias("copy", "position"))
+    rows = in_order(copies, "position", "doc_id")
+    return rows.select("doc_id", F.col("copy").cast("long").alias("copy"), F.round("position", 3).alias("position"))

@@ -30,6 +30,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op3_mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def op3_training_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training position of every copy that the mix takes."""
+    return mixing.op3_training_positions(read_table(spark, sf_dir, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted and read back, and one of control strings."""
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -72,6 +77,7 @@ QUERIES = {
         op1_document_fingerprints,
         op2_substring_dedup,
         op3_mix_sources,
+        op3_training_positions,
         op4_chat_format,
         op5_token_counts,
         op6_simhash_near_dedup,
@@ -82,4 +88,8 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_mix_sources": mixing.ORACLE_SQL, "op4_chat_format": chat.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_mix_sources": mixing.ORACLE_SQL,
+    "op3_training_positions": mixing.POSITIONS_SQL,
+    "op4_chat_format": chat.ORACLE_SQL,
+}

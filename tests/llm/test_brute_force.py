@@ -200,6 +200,24 @@ def test_mix_meets_its_targets(spark):
     assert early("a") < early("b") < early("c")  # falling, even and rising schedules
 
 
+def test_training_positions_agree_with_sql(spark, sf, docs):
+    duckdb = pytest.importorskip("duckdb")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    rows = queries.QUERIES["op3_training_positions"](spark, sf).collect()
+    theirs = {(i, c): p for i, c, p in db.sql(queries.ORACLE_SQL["op3_training_positions"]).fetchall()}
+    assert len(rows) == len(theirs) > docs.count() and {(r.doc_id, r.copy) for r in rows} == set(theirs)
+    assert all(r.position == pytest.approx(theirs[r.doc_id, r.copy], abs=2e-3) for r in rows)
+    assert [r.position for r in rows] == sorted(r.position for r in rows)
+    first = [r.doc_id for r in rows if r.copy == 0]
+    quotas = queries.QUERIES["op3_mix_sources"](spark, sf).collect()
+    order = [r.doc_id for r in quotas]
+    assert order[: len(first)] == first
+    names = ["doc_id", "size", "source_size", "target", "taken"]
+    known = {r[0]: r for r in db.sql(queries.ORACLE_SQL["op3_mix_sources"]).fetchall()}
+    assert len(quotas) == len(known) and all(tuple(r[n] for n in names) == pytest.approx(known[r.doc_id]) for r in quotas)
+
+
 def test_surrogates(spark):
     people = [(i, f"Write to user{i % 40}@mail.example.com or Mrs. Ana Roth, call +1 (449) 555-{i % 30:04d} from 42.144.35.{i % 20}.") for i in range(80)]
     docs = spark.createDataFrame([*people, (80, "Clean text of 12 words, v1.2.3.4.5")], "doc_id long, text string")
