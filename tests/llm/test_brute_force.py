@@ -158,6 +158,26 @@ def test_passages_find_what_a_loop_finds(spark):
     assert 0.8 <= found[4, 0].similarity < 1
 
 
+def test_passages_with_edits_near_an_end_and_wide_gaps():
+    r, tokens = random.Random(7), passages.Tokens()
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+
+    def found(first, second):
+        a, b = tokens.of(" ".join(first)), tokens.of(" ".join(second))
+        at = [(int(i), int(j)) for i in range(len(a)) for j in np.flatnonzero(b == a[i])]
+        return passages.intervals(a, b, at, passages.LEAST, passages.SIMILARITY)
+
+    one = words(54)
+    for place in (4, 49):
+        (first, last, jaccard), *more = found([*one[:place], "changed", *one[place + 1 :]], one)
+        assert not more and last - first + 1 >= passages.LEAST and jaccard >= 0.8
+        around = words(30)
+        assert found([*around, *one[:place], "changed", *one[place + 1 :], *around], words(20) + one + words(9))
+    two = words(104)  # eleven shingles side by side differ
+    assert found([*two[:50], *words(7), *two[57:]], two) == [(0, 99, pytest.approx(89 / 111))]
+    assert not found(words(40) + one[:40] + words(40), words(40) + one[:40] + words(40))
+
+
 def test_compact_windows():
     r = np.random.default_rng(0)
     for _ in range(30):
