@@ -146,12 +146,13 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     return in_order(taken, "position", "doc_id").select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
-ORACLE_SQL = """
+#: SQL of the quotas: each document's size, its source's size and target, and how often it is taken.
+QUOTAS = """
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
     md5(CAST(doc_id AS VARCHAR)) AS digest FROM documents),
 s AS (
-  SELECT source, sum(size) AS source_size,
+  SELECT source, sum(size) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS kind,
     [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight
   FROM d GROUP BY source),
 l AS (SELECT *, 2.0 * source_size AS most, 2.0 * source_size / weight AS level FROM s),
@@ -161,54 +162,60 @@ r AS (
     / sum(weight) OVER (ORDER BY level, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate
   FROM l),
 t AS (
-  SELECT source, CAST(source_size AS BIGINT) AS source_size, CAST(CASE WHEN level <= rate THEN most
+  SELECT source, kind, CAST(source_size AS BIGINT) AS source_size, CAST(CASE WHEN level <= rate THEN most
     ELSE weight * max(CASE WHEN level > rate THEN rate END) OVER () END AS DOUBLE) AS target FROM r),
 p AS (
-  SELECT d.*, t.source_size, t.target, floor(coalesce(t.target / nullif(t.source_size, 0), 0) + 1e-12) AS times,
+  SELECT d.*, t.kind, t.source_size, t.target, floor(coalesce(t.target / nullif(t.source_size, 0), 0) + 1e-12) AS times,
     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY CAST('0x' || substr(digest, 1, 6) AS BIGINT) % 4096, digest, size
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, round(target, 3) AS target,
-  CAST((times + CASE WHEN 2 * before + size < 2 * (target - times * source_size) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
-FROM p
-"""
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (
+  SELECT *, CAST(times + CASE WHEN 2 * before + size < 2 * (target - times * source_size) THEN 1 ELSE 0 END AS BIGINT) AS copies
+  FROM p),
+w AS (
+  SELECT coalesce(sum(CASE WHEN kind = 0 THEN target END), 0) AS d0, coalesce(sum(CASE WHEN kind = 1 THEN target END), 0) AS d1,
+    coalesce(sum(CASE WHEN kind = 2 THEN target END), 0) AS d2
+  FROM t)"""
 
+#: SQL of a fraction's time and of a time's position: the three schedules, integrated and inverted.
+TIME = """least(1.0, greatest(0.0, CASE kind WHEN 0 THEN 1.5 - sqrt(greatest(0.0, 2.25 - 2.0 * fraction))
+    WHEN 1 THEN fraction ELSE sqrt(0.25 + 2.0 * fraction) - 0.5 END)) AS time"""
+PLACE = "round(d0 * (1.5 * time - time * time / 2) + d1 * time + d2 * (0.5 * time + time * time / 2), 3) AS position"
 
-#: SQL of the training order: the same quotas, then each copy's place in the schedule.
-POSITIONS_SQL = ORACLE_SQL[: ORACLE_SQL.rindex("SELECT doc_id, size")].rstrip() + """,
-k AS (SELECT source, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS kind FROM s),
-w AS (
-  SELECT sum(CASE WHEN kind = 0 THEN target END) AS d0, sum(CASE WHEN kind = 1 THEN target END) AS d1,
-    sum(CASE WHEN kind = 2 THEN target END) AS d2
-  FROM t JOIN k ON t.source IS NOT DISTINCT FROM k.source),
-c AS (
-  SELECT p.*, k.kind, times + CASE WHEN 2 * before + size < 2 * (target - times * source_size) THEN 1 ELSE 0 END AS copies
-  FROM p JOIN k ON p.source IS NOT DISTINCT FROM k.source),
+ORACLE_SQL = f"""{QUOTAS},
+e AS (
+  SELECT doc_id, size, source_size, target, copies, kind,
+    CASE WHEN copies > 0 AND target > 0 THEN least(1.0, before / target) END AS fraction
+  FROM c),
+f AS (SELECT *, CASE WHEN fraction IS NOT NULL THEN {TIME.removesuffix(" AS time")} END AS time FROM e)
+SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, {PLACE} FROM f, w
+"""
+
+#: SQL of the training order: each copy's place in the schedule.
+POSITIONS_SQL = f"""{QUOTAS},
 e AS (
   SELECT doc_id, kind, copy, least(1.0, (before + copy * source_size) / target) AS fraction
-  FROM (SELECT *, unnest(range(CAST(copies AS BIGINT))) AS copy FROM c WHERE target > 0)),
-f AS (
-  SELECT doc_id, copy, least(1.0, greatest(0.0, CASE kind
-    WHEN 0 THEN 1.5 - sqrt(greatest(0.0, 2.25 - 2.0 * fraction))
-    WHEN 1 THEN fraction ELSE sqrt(0.25 + 2.0 * fraction) - 0.5 END)) AS time
-  FROM e)
-SELECT doc_id, CAST(copy AS BIGINT) AS copy, round(
-    coalesce(d0, 0) * (1.5 * time - time * time / 2) + coalesce(d1, 0) * time
-    + coalesce(d2, 0) * (0.5 * time + time * time / 2), 3) AS position
-FROM f, w
+  FROM (SELECT *, unnest(range(copies)) AS copy FROM c WHERE target > 0)),
+f AS (SELECT doc_id, copy, {TIME} FROM e)
+SELECT doc_id, CAST(copy AS BIGINT) AS copy, {PLACE} FROM f, w
 """
 
 
-def in_order(rows: DataFrame, *columns: str) -> DataFrame:
+def in_order(rows: DataFrame, *columns: str | Column) -> DataFrame:
     """Rows by the columns: partitions are ranges of them, sorted within."""
     return rows.repartitionByRange(*columns).sortWithinPartitions(*columns)
 
 
 def op3_mix_sources(docs: DataFrame) -> DataFrame:
-    """The query: what the mix takes of each document, in training order of the first copy; what isn't taken comes last."""
-    first = F.coalesce(F.try_element_at("positions", F.lit(1)), F.lit(float("inf"))).alias("_first")
-    rows = in_order(plan(docs).select("*", first), "_first", "doc_id")
-    return rows.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+    """The query: what the mix takes of each document, in training order of the first copy.
+
+    position says where the first copy stands, in words that come before; it is null for a document that isn't taken,
+    and such documents come last.
+    """
+    place = F.try_element_at("positions", F.lit(1)).alias("position")
+    rows = plan(docs).select("doc_id", "size", "source_size", "target", "taken", place)
+    rows = in_order(rows, F.col("position").asc_nulls_last(), F.col("doc_id"))
+    return rows.withColumn("position", F.round("position", 3))
 
 
 def op3_training_positions(docs: DataFrame) -> DataFrame:
