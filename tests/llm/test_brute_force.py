@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -158,6 +160,68 @@ def test_passages_find_what_a_loop_finds(spark):
     assert 0.8 <= found[4, 0].similarity < 1
 
 
+def passages_in_common(docs, width, alike):
+    """Pairs of documents that hold runs of ``width`` five-word shingles of Jaccard similarity ``alike`` or more, by trying
+    all runs of both along every diagonal on which they could be."""
+    tokens, names, holders = {}, {}, {}
+    for i, text in docs:
+        words = (text or "").lower().split()
+        tokens[i] = np.array([names.setdefault(tuple(words[k : k + 5]), len(names)) for k in range(len(words) - 4)], np.int64)
+        for t in set(tokens[i].tolist()):
+            holders.setdefault(t, []).append(i)
+    shared = Counter(p for h in holders.values() for p in combinations(sorted(h), 2))
+    least = int(np.ceil(alike * width))
+    found = set()
+    for (i, j), n in shared.items():
+        a, b = tokens[i], tokens[j]
+        if n < least - 1:  # a run may repeat a shingle
+            continue
+        near = Counter(int(q - p) for p in range(len(a)) for q in np.flatnonzero(b == a[p]))
+        shifts = {s + d for s in near for d in range(-5, 6) if sum(near[s + e] for e in range(-8, 9)) >= least}
+        runs = ((p, p + s) for s in shifts for p in range(max(0, -s), min(len(a), len(b) - s) - width + 1))
+        for p, q in runs:
+            x, y = set(a[p : p + width].tolist()), set(b[q : q + width].tolist())
+            if len(x & y) >= alike * len(x | y):
+                found.add((i, j))
+                break
+    return found
+
+
+def test_passages_of_documents(spark):
+    """Recall over real documents: every pair of the brute force meets in a component, each later document has a row."""
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents")
+    pairs = passages_in_common([(r.doc_id, r.text) for r in docs.collect()], passages.LEAST, passages.SIMILARITY)
+    rows = passages.near_passages(docs).collect()
+    component = {r.kept_doc_id: r.component_id for r in rows} | {r.doc_id: r.component_id for r in rows}
+    met = sum(i in component and component[i] == component.get(j) for i, j in pairs)
+    assert len(pairs) > 150 and met >= 0.98 * len(pairs)
+    assert {j for _, j in pairs} <= {r.doc_id for r in rows}
+    assert all(r.similarity >= passages.SIMILARITY and r.kept_doc_id < r.doc_id for r in rows)
+
+
+def test_chains_of_passages(spark):
+    """Each of three versions resembles the next, the first and last don't resemble each other: one component all the same."""
+    r, rows, chains = random.Random(11), [], 40
+    for c in range(chains):
+        one = [f"w{r.randrange(10**6)}" for _ in range(80)]
+        two = [*one[:20], "changed", *one[21:]]
+        three = [*two[:60], "again", *two[61:]]
+        rows += [(3 * c + k, " ".join(v)) for k, v in enumerate((one, two, three))]
+    found = passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    component = {x.doc_id: x.component_id for x in found}
+    whole = sum(component.get(3 * c + 1) == component.get(3 * c + 2) == 3 * c for c in range(chains))
+    assert whole >= 0.9 * chains
+
+
+def test_a_document_that_very_many_are_held_against(spark, monkeypatch):
+    monkeypatch.setattr(passages, "FAN", 7)
+    r = random.Random(12)
+    one = [f"w{r.randrange(10**6)}" for _ in range(70)]
+    rows = [(i, " ".join([f"x{i}", *one, f"y{i}"])) for i in range(60)] + [(5, "another text of the same id"), (6, " ".join(["x6", *one, "y6"]))]
+    found = passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.kept_doc_id, x.first_word, x.last_word, x.component_id) for x in found) == [(i, 0, 1, 70, 0) for i in range(1, 60)]
+
+
 def test_passages_with_edits_near_an_end_and_wide_gaps():
     r, tokens = random.Random(7), passages.Tokens()
     words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
@@ -233,7 +297,7 @@ def test_training_positions_agree_with_sql(spark, sf, docs):
     quotas = queries.QUERIES["op3_mix_sources"](spark, sf).collect()
     order = [r.doc_id for r in quotas]
     assert order[: len(first)] == first
-    names = ["doc_id", "size", "source_size", "target", "taken"]
+    names = ["doc_id", "size", "source_size", "target", "taken", "position"]
     known = {r[0]: r for r in db.sql(queries.ORACLE_SQL["op3_mix_sources"]).fetchall()}
     assert len(quotas) == len(known) and all(tuple(r[n] for n in names) == pytest.approx(known[r.doc_id]) for r in quotas)
 
