@@ -126,6 +126,21 @@ def links(fps: DataFrame, radius: int = 4, blocks: int = 7, free: int = 8) -> Da
     return left.join(right, on).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
 
 
+def classes(vertices: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """(fp, root) from (fp, least) with one row for each fingerprint: root is the least vertex that fp can reach.
+
+    A vertex is (none, least, fp): its least doc_id, those without any last. The least id is so carried through the
+    contractions, and no join on a root, which may be a third of all rows', is left.
+    """
+    vertices = cut(vertices.select("fp", F.struct(F.col("least").isNull().alias("none"), "least", "fp").alias("vertex")))
+    ends = links(vertices, radius, blocks)
+    for end in "ab":
+        named = vertices.select(F.col("fp").alias(end), F.col("vertex").alias(f"vertex_{end}"))
+        ends = ends.join(named, end)
+    roots = connected_components(ends.select(F.col("vertex_a").alias("a"), F.col("vertex_b").alias("b")))
+    return cut(vertices.join(roots, "vertex", "left").select("fp", F.coalesce("root", "vertex").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, blocks: int = 7) -> DataFrame:
     """(doc_id, fp, component_id) for each row of documents.
 
@@ -136,23 +151,26 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, blocks: in
     """
     fps = cut(fingerprints(docs, width))
     vertices = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(links(vertices, radius, blocks))
-    rooted = vertices.join(roots, F.col("fp") == F.col("vertex"), "left")
-    rooted = cut(rooted.select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(classes(vertices, radius, blocks), "fp").select("doc_id", "fp", F.col("root.least").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = 4, width: int = 4, blocks: int = 7) -> DataFrame:
     """The document of least doc_id of each component; columns as they came.
 
-    Of rows of one id, one stays. Rows without id can't be told apart and all stay. An empty table gives an empty table.
+    Rows of one id are told apart by a digest of their text: of those in one component, the one of least fingerprint and
+    digest stays, rows of other texts that aren't near it stay in their own components. Of rows equal in id and text, the
+    one that is least in its other columns stays. Rows without id can't be told apart and all stay. An empty table gives
+    an empty table.
     """
-    known = docs.where("doc_id is not null")
-    kept = near_duplicates(known, **how).where("doc_id = component_id").select("doc_id").distinct()
-    rows = known.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    known = docs.where("doc_id is not null").select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
+    known = known.withColumn("_digest", F.xxhash64(F.coalesce("text", F.lit(""))))
+    fps = cut(fingerprints(known.select(F.struct("doc_id", "_digest").alias("doc_id"), "text"), width))
+    fps = fps.select("doc_id.*", "fp")
+    roots = classes(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), radius, blocks)
+    own = fps.join(roots, "fp").where(F.col("doc_id") == F.col("root.least")).groupBy("root")
+    kept = own.agg(F.min(F.struct("doc_id", "fp", "_digest")).alias("kept")).select("kept.doc_id", "kept._digest")
+    rows = known.join(kept, ["doc_id", "_digest"], "left_semi").groupBy("doc_id", "_digest").agg(F.min("_row").alias("_row"))
+    return rows.select("_row.*").unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def op6_simhash_near_dedup(docs: DataFrame) -> DataFrame:
