@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 
 def zip_reads(files: list[DataFrame]) -> DataFrame:
     """(row_idx, r1, r2, ...) of the rows that all files (row_idx, seq) have."""
@@ -20,19 +22,19 @@ def distill(reads: DataFrame) -> DataFrame:
     return reads.select(*columns).orderBy(*columns)
 
 
-def numbered(rows: DataFrame, letters: int = 22) -> DataFrame:
-    """Adds ``place``, a row's rank by all columns: from 1, ties in any order.
+def numbered(rows: DataFrame) -> DataFrame:
+    """The rows in order of all columns, with ``place``, a row's rank: from 1, ties in any order.
 
-    Rows are dealt out by the first column's leading letters; a rank is the number of rows under smaller ones and the rank
-    among their like. One task sees the counts of all leads, none all rows.
+    Rows are sorted in ranges, equal ones over as many ranges as it takes, and kept in this form; a rank is the number of
+    rows in the ranges before, of which there are as many as partitions, and the place within the range.
     """
-    from pyspark.sql import Window
-
     columns = rows.columns
-    lead = F.left(columns[0], F.lit(letters))
-    counts = rows.groupBy(lead.alias("_lead")).agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_lead").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = Window.partitionBy("_lead").orderBy(*columns)
-    ranked = rows.withColumn("_lead", lead).withColumn("_k", F.row_number().over(within))
-    return ranked.join(starts, "_lead").select(*columns, (F.col("_start") + F.col("_k")).alias("place"))
+    ranges = rows.withColumn("_salt", F.rand(1)).repartitionByRange(*columns, "_salt").sortWithinPartitions(*columns).drop("_salt")
+    held = cut(ranges.withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    counts = held.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = held.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return placed.select(*columns, (F.col("_start") + within + 1).alias("place"))

@@ -1,7 +1,7 @@
 """Overlap joins of half-open ranges.
 
 Ranges are dealt into bins of ``width`` bases; a pair that shares several bins is kept in the one where its overlap
-begins, so nothing is found twice.
+begins, so nothing is found twice. No row needs a number of its own, so the branches of a plan can't disagree about one.
 """
 
 from __future__ import annotations
@@ -16,24 +16,30 @@ def _bins(start: Column, end: Column, width: int) -> Column:
     return F.explode(F.sequence(F.floor(start / width), F.floor((end - 1) / width)))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, left_range, right_range, how: str = "inner", width: int = WIDTH) -> DataFrame:
+def overlap_join(
+    left: DataFrame, right: DataFrame, left_range, right_range, how: str = "inner", width: int = WIDTH, longest: int | None = None
+) -> DataFrame:
     """Rows of both sides on the same chr whose ranges overlap (J1, J2); ``how``: inner or left.
 
     left_range, right_range: names of the columns of start and end; other names must differ but for chr. Empty and null
-    ranges overlap nothing.
+    ranges overlap nothing. longest: the most bases that a range of the left side may have in a left join, found by a small
+    aggregate if not given: each left row lies in the one bin where it begins, the right side also in the bins from which
+    it can be reached, so that a plain outer join is enough. A longer left range is an error.
     """
     (ls, le), (rs, re) = (tuple(map(F.col, x)) for x in (left_range, right_range))
-    rows = left.withColumn("_row", F.monotonically_increasing_id()) if how == "left" else left
-    a = rows.where(ls < le).withColumn("_bin", _bins(ls, le, width))
-    b = right.where(rs < re).withColumn("_bin", _bins(rs, re, width))
-    both = a.join(b, ["chr", "_bin"]).where((ls < re) & (rs < le) & (F.floor(F.greatest(ls, rs) / width) == F.col("_bin")))
-    both = both.drop("_bin")
+    meet = (ls < re) & (rs < le)
     if how == "inner":
-        return both
-    others = [c for c in right.columns if c != "chr"]
-    empty = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in others]
-    alone = rows.join(both.select("_row").distinct(), "_row", "left_anti").select(*left.columns, *empty)
-    return both.select(*left.columns, *others).unionByName(alone)
+        a = left.where(ls < le).withColumn("_bin", _bins(ls, le, width))
+        b = right.where(rs < re).withColumn("_bin", _bins(rs, re, width))
+        both = a.join(b, ["chr", "_bin"]).where(meet & (F.floor(F.greatest(ls, rs) / width) == F.col("_bin")))
+        return both.drop("_bin")
+    if longest is None:
+        longest = max(1, left.agg(F.max(le - ls)).first()[0] or 0)
+    too_long = F.raise_error(F.concat(F.lit(f"a range over {longest} bases: "), (le - ls).cast("string"))).cast("bigint")
+    a = left.withColumn("_bin", F.when(le - ls > longest, too_long).when(ls < le, F.floor(ls / width)))
+    b = right.where(rs < re).withColumn("_bin", _bins(rs - (longest - 1), re, width)).withColumnRenamed("chr", "_chr")
+    both = a.join(b.withColumnRenamed("_bin", "_with"), (F.col("chr") == F.col("_chr")) & (F.col("_bin") == F.col("_with")) & meet, "left")
+    return both.drop("_bin", "_with", "_chr")
 
 
 def promoter_windows(features: DataFrame, up: int = 205, down: int = 95) -> DataFrame:

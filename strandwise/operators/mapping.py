@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
+from ..lineage import cut
 from .align import align
 from .intervals import overlap_join
 
 
-
 def sites(aligned: DataFrame) -> DataFrame:
     """Alignments with coordinates within their chromosome, direction, type and differences."""
     start, end = S.normal_start("start", "end", "len"), S.normal_end("end", "len")
@@ -47,17 +47,23 @@ def gate_by_pam(found: DataFrame, pam: str, direction: str = "downstream", out_o
 
 
 def drop_untargeted(rows: DataFrame) -> DataFrame:
-    """Without the empty rows of guides that have a target elsewhere."""
-    any_target = F.max(F.col("target").isNotNull()).over(Window.partitionBy("spacer"))
-    return rows.withColumn("_any", any_target).where("target is not null or not _any").drop("_any")
+    """Without the empty rows of guides that have a target elsewhere (P2); of other empty rows, each guide keeps one.
+
+    rows are used twice: cut their lineage first if they are dear. A guide of very many targets is never gathered: its
+    rows stay where they are, only the guides without any meet the list of those with one.
+    """
+    targeted = rows.where("target is not null")
+    idle = rows.where("target is null").dropDuplicates(["spacer"])
+    return targeted.unionByName(idle.join(targeted.select("spacer").distinct(), "spacer", "left_anti"))
 
 
-def with_genes(rows: DataFrame, features: DataFrame, by: tuple[str, str] = ("feature_start", "feature_end")) -> DataFrame:
+def with_genes(rows: DataFrame, features: DataFrame, by: tuple[str, str] = ("feature_start", "feature_end"), longest: int = 1_000) -> DataFrame:
     """Each site with each gene that it overlaps, offset, overlap and the gene's direction; once with nulls if none.
 
-    by: the columns of the range in which a site belongs to a gene; offset and overlap refer to the gene's own.
+    by: the columns of the range in which a site belongs to a gene; offset and overlap refer to the gene's own. longest:
+    the most bases that a site has.
     """
-    joined = overlap_join(rows, features, ("tar_start", "tar_end"), by, "left")
+    joined = overlap_join(rows, features, ("tar_start", "tar_end"), by, "left", longest=longest)
     joined = joined.withColumn("tar_dir", S.strand_letter("strand"))
     return joined.withColumns(
         {
@@ -102,14 +108,16 @@ def map_targets(
     """Every target of every guide with its genes, and a note on each guide: the whole mapping flow.
 
     guides: (spacer) or (name, spacer); chrom: (chr, seq, len, circular); features: (chr, locus_tag, gene,
-    feature_start, feature_end, strand). Guides without a target have one row of nulls.
+    feature_start, feature_end, strand). Guides without a target have one row of nulls; with out_of_bounds "drop", those
+    whose only sites were dropped have none. The genome is scanned once: sites, then sites with genes, are checkpointed.
     """
-    found = sites(align(guides, chrom, length, mismatches, len(pam)))
+    own = guides.select(F.upper("spacer").alias("spacer")).distinct()
+    found = cut(sites(align(guides, chrom, length, mismatches, len(pam))))
     gated = gate_by_pam(found, pam, direction, out_of_bounds)
-    missing = guides.select(F.upper("spacer").alias("spacer")).distinct().join(found.select("spacer").distinct(), "spacer", "left_anti")
+    missing = own.join(found.select("spacer").distinct(), "spacer", "left_anti")
     blank = missing.select(*(F.col(c) if c == "spacer" else F.lit(None).cast(gated.schema[c].dataType).alias(c) for c in gated.columns))
-    rows = drop_untargeted(gated.unionByName(blank).dropDuplicates())
-    rows = with_genes(rows, features, by).dropDuplicates()
+    rows = drop_untargeted(gated.unionByName(blank))
+    rows = cut(with_genes(rows, features, by, length).dropDuplicates())
     counts = guides.select("name", F.upper("spacer").alias("spacer")) if "name" in guides.columns else None
     return rows.join(notes(rows, counts, **wording), "spacer")
 
@@ -128,5 +136,3 @@ def ordered(rows: DataFrame) -> DataFrame:
     """By chromosome, place and spacer, then by gene (O1)."""
     nulls_last = lambda *names: [F.col(c).asc_nulls_last() for c in names]
     return rows.orderBy(*nulls_last("chr", "tar_start", "spacer", "locus_tag", "offset"))
-
-

@@ -2,36 +2,32 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def mapping_report(rows: DataFrame, chrom: DataFrame, features: DataFrame) -> DataFrame:
-    """Genes and chromosomes there and targeted, barcodes by kind (AG11-AG18)."""
+def mapping_report(rows: DataFrame, chrom: DataFrame, features: DataFrame, levels: int = 2) -> DataFrame:
+    """Genes and chromosomes there and targeted, barcodes by kind, perfect ones and those of up to ``levels`` mismatches
+    (AG11-AG18).
+
+    Rows are first reduced to one for each guide, gene and chromosome, so that no row is expanded for a distinct count.
+    """
     target, gene = F.col("target").isNotNull(), F.col("locus_tag").isNotNull()
-    spacer = lambda c: F.count_distinct(F.when(c, F.col("spacer")))
-    per = rows.groupBy("spacer").agg(F.count_distinct("coords").alias("n"))
-    values = rows.agg(
-        F.count_distinct("chr").alias("chromosomes_targeted"),
-        F.count_distinct("locus_tag").alias("genes_targeted"),
-        F.count_distinct(F.when(gene & (F.col("genes") > 1), F.col("locus_tag"))).alias("overlapping_genes_targeted"),
-        F.count_distinct("spacer").alias("barcodes"),
-        spacer(F.col("nm") == 0).alias("barcodes_perfect"),
-        spacer(F.col("nm") == 1).alias("barcodes_1_mismatch"),
-        spacer(F.col("nm") == 2).alias("barcodes_2_mismatches"),
-        spacer(target & ~gene).alias("barcodes_intergenic"),
-        spacer(~target).alias("barcodes_non_targeting"),
-    )
-    others = [
-        per.agg(F.count_if(F.col("n") > 1).alias("barcodes_off_targeting")),
-        features.agg(F.count_distinct("chr", "locus_tag").alias("genes")),
+    any_of = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    kinds = {"perfect": F.col("nm") == 0} | {f"{k}_mismatch{'es' * (k > 1)}": F.col("nm") == k for k in range(1, levels + 1)}
+    kinds |= {"intergenic": target & ~gene, "non_targeting": ~target}
+    per = rows.groupBy("spacer").agg(F.count_distinct("coords").alias("n"), *(any_of(c).alias(k) for k, c in kinds.items()))
+    genes = rows.where(gene).groupBy("locus_tag").agg(any_of(F.col("genes") > 1).alias("overlapping"))
+    tables = [
+        rows.where("chr is not null").select("chr").distinct().agg(F.count("*").alias("chromosomes_targeted")),
+        genes.agg(F.count("*").alias("genes_targeted"), F.count_if("overlapping").alias("overlapping_genes_targeted")),
+        per.agg(F.count("*").alias("barcodes"), F.count_if(F.col("n") > 1).alias("barcodes_off_targeting"), *(F.count_if(k).alias(f"barcodes_{k}") for k in kinds)),
+        features.select("chr", "locus_tag").distinct().agg(F.count("*").alias("genes")),
         chrom.agg(F.count("*").alias("chromosomes"), F.count_if("circular").alias("circular_chromosomes")),
     ]
-    tables = [t.unpivot([], t.columns, "metric", "value") for t in (values, *others)]
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out
+    return reduce(DataFrame.unionByName, (t.unpivot([], t.columns, "metric", "value") for t in tables))
 
 
 def systematic_name(lengths: DataFrame, pam: str, direction: str = "downstream") -> DataFrame:

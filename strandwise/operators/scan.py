@@ -1,7 +1,7 @@
 """Scans of chromosomes for windows and guides.
 
-A substring of a long string is found by walking from its start, so sequences are first cut into large and then into
-small tiles, each with the bases of the next that a window may reach; windows come from the small tiles.
+Sequences are first cut into large and then into small tiles, each with the bases of the next that a window may reach;
+large tiles are dealt out to all tasks, windows come from the small tiles.
 """
 
 from __future__ import annotations
@@ -29,22 +29,18 @@ def windows(chrom: DataFrame, length: int, flank: int = 0) -> DataFrame:
     """
     halo = length + 2 * flank - 1
     last = F.when(F.col("circular"), F.col("len") - 1).otherwise(F.col("len") - length)
+    # bytes: a piece of a string would be found by walking from its start
     long = chrom.where(F.col("len") >= length + flank).select(
-        "chr", "len", "circular", last.alias("_last"), _padded(flank, halo - flank).alias("_all")
+        "chr", "len", "circular", last.alias("_last"), F.lit(0).alias("_first"), _padded(flank, halo - flank).cast("binary").alias("_all")
     )
     for size in (LARGE, SMALL):
-        first = "_first" if "_first" in long.columns else None
-        at = F.sequence(F.lit(0), F.greatest(F.length("_all") - 1 - halo, F.lit(0)), F.lit(size))
-        long = long.select(
-            "chr", "len", "circular", "_last", "_all", *([first] if first else []), F.explode(at).alias("_at")
-        ).select(
-            "chr",
-            "len",
-            "circular",
-            "_last",
-            ((F.col(first) if first else F.lit(0)) + F.col("_at")).alias("_first"),
-            F.substring("_all", F.col("_at") + 1, F.lit(size + halo)).alias("_all"),
-        )
+        places = F.sequence(F.lit(0), F.greatest(F.octet_length("_all") - 1 - halo, F.lit(0)), F.lit(size))
+        piece = lambda at: F.struct(at.alias("at"), F.substring("_all", at + 1, F.lit(size + halo)).alias("bases"))  # noqa: B023, E731
+        tiles = long.select("chr", "len", "circular", "_last", "_first", F.explode(F.transform(places, piece)).alias("_t"))
+        long = tiles.select("chr", "len", "circular", "_last", (F.col("_first") + F.col("_t.at")).alias("_first"), F.col("_t.bases").alias("_all"))
+        if size == LARGE:  # a chromosome's tiles are work for many tasks
+            long = long.repartition(int(chrom.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chr", "_first")
+    long = long.withColumn("_all", F.col("_all").cast("string"))
     ends = F.least(F.length("_all") - 1 - halo, F.lit(SMALL - 1), F.col("_last") - F.col("_first"))
     long = long.where(ends >= 0).withColumn("_at", F.explode(F.sequence(F.lit(0), ends)))
     whole = F.substring("_all", F.col("_at") + 1, F.lit(length + 2 * flank))

@@ -34,7 +34,7 @@ READS = f"""SELECT event_id AS row_idx, concat('{LEFT}',
   CASE WHEN event_type = 'error' THEN concat(substring(bc, 1, 9), translate(substring(bc, 10, 1), 'ACGT', 'CGTA'), substring(bc, 11, 10))
     ELSE bc END,
   CASE WHEN event_id % 97 = 0 THEN '{RIGHT_N}' ELSE '{RIGHT}' END) AS r1
-FROM events CROSS JOIN (SELECT count(*) AS n FROM library) n JOIN library ON idx = user_id % n.n"""
+FROM (SELECT event_id, event_type, user_id % (SELECT count(*) FROM library) AS k FROM events) e JOIN library ON idx = k"""
 
 VIEWS = {"chrom": CHROM, "feature": FEATURE, "guide": GUIDE, "library": LIBRARY, "reads": READS}
 

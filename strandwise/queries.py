@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import seq as S
+from .lineage import cut
 from .operators import align, counting, design, distill, intervals, library, mapping, mismatch, report, scan
 from .plans import flows
 from .plans.fixtures import LEFT, RIGHT, duckdb_ctes, view
@@ -197,7 +198,7 @@ def insertion_sites(spark, sf_dir):
 def pam_demote_filter(spark, sf_dir):
     """Sites with a PAM, and one empty row for each guide that has none."""
     found = mapping.sites(align.align(view(spark, sf_dir, "guide"), spark.table("chrom"), LENGTH, 1, 3))
-    rows = mapping.drop_untargeted(mapping.gate_by_pam(found, PAM).dropDuplicates())
+    rows = mapping.drop_untargeted(cut(mapping.gate_by_pam(found, PAM)))
     return rows.select("spacer", "chr", "tar_start", "sp_dir", "pam")
 
 
@@ -521,7 +522,7 @@ def distill_reads(spark, sf_dir):
     """Read pairs sorted together; place is that of the sorted table."""
     reads = view(spark, sf_dir, "reads")
     files = [reads.select("row_idx", F.col("r1").alias("seq")), reads.select("row_idx", S.rev_comp("r1").alias("seq"))]
-    return distill.numbered(distill.distill(distill.zip_reads(files)))
+    return distill.numbered(distill.zip_reads(files).drop("row_idx"))
 
 
 @query(f"SELECT chr, bc FROM (SELECT chr, substring(seq, 101, 20) AS bc FROM chrom) x WHERE bc = 'ACGTACGTACGTACGTACGT' OR {rc('bc')} = 'ACGTACGTACGTACGTACGT' OR bc = (SELECT min(bc) FROM library)", ("chrom", "library"))

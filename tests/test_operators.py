@@ -158,3 +158,50 @@ def test_distilled_rows_stay_aligned(spark):
     assert [tuple(r) for r in distill.distill(distill.zip_reads([one, two])).collect()] == [("A", "y"), ("C", "x")]
     placed = {(r.r1, r.place) for r in distill.numbered(distill.distill(distill.zip_reads([one, two]))).collect()}
     assert placed == {("A", 1), ("C", 2)}
+
+
+def test_outer_overlaps_whatever_the_partitions(spark):
+    """Every left row comes back with each range it overlaps, or once alone, however the rows are dealt out."""
+    r = random.Random(21)
+    left = [(i, r.choice("ab"), s, s + r.randrange(1, 30)) for i, s in enumerate(r.randrange(-20, 3000) for _ in range(300))] + [(900, "a", None, None), (901, "c", 5, 9)]
+    right = [(f"g{i}", r.choice("ab"), s, s + r.randrange(0, 400)) for i, s in enumerate(r.randrange(0, 3000) for _ in range(40))]
+    expected = set()
+    for i, c, s, e in left:
+        met = {(i, g) for g, d, x, y in right if s is not None and c == d and s < y and x < e and x < y}
+        expected |= met or {(i, None)}
+    a = spark.createDataFrame(left, "id int, chr string, s int, e int")
+    b = spark.createDataFrame(right, "name string, chr string, x int, y int")
+    for n in (1, 5):
+        rows = intervals.overlap_join(a.repartition(n), b.repartition(n), ("s", "e"), ("x", "y"), "left", width=64, longest=30)
+        found = [(x.id, x.name) for x in rows.select("id", "name").collect()]
+        assert len(found) == len(expected) and set(found) == expected
+    with pytest.raises(Exception, match="a range over 5 bases"):
+        intervals.overlap_join(a, b, ("s", "e"), ("x", "y"), "left", longest=5).collect()
+
+
+def test_the_genome_is_scanned_once_for_a_map(spark, sf):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["target_map"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") < 8
+
+
+def test_ranks_of_repeated_rows(spark):
+    rows = [("AC",)] * 700 + [("AA",)] * 3 + [("T",), ("G",)]
+    found = distill.numbered(spark.createDataFrame(rows, "r1 string").repartition(7)).collect()
+    assert sorted(x.place for x in found) == list(range(1, len(rows) + 1))
+    assert [x.r1 for x in sorted(found, key=lambda x: x.place)] == sorted(x for (x,) in rows)
+
+
+def test_windows_over_the_edges_of_tiles(spark, monkeypatch):
+    monkeypatch.setattr(scan, "LARGE", 64)
+    monkeypatch.setattr(scan, "SMALL", 16)
+    r = random.Random(22)
+    seqs = [(c, "".join(r.choice("ACGT") for _ in range(n)), n, c % 2 == 0) for c, n in enumerate((23, 64, 65, 200, 331))]
+    found = {(x.chr, x.start): (x.before, x.window, x.after) for x in scan.windows(spark.createDataFrame(seqs, "chr int, seq string, len int, circular boolean"), 20, 3).collect()}
+    expected = {}
+    for c, s, n, ring in seqs:
+        for i in range(n if ring else n - 19):
+            at = lambda j: s[j % n] if ring else s[j] if 0 <= j < n else "-"  # noqa: B023, E731
+            expected[c, i] = tuple("".join(map(at, range(a, b))) for a, b in ((i - 3, i), (i, i + 20), (i + 20, i + 23)))
+    assert found == expected
