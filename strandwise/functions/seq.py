@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -204,3 +205,16 @@ def weights_map(weights: dict[str, float]) -> Column:
     return F.create_map(*(F.lit(x) for k, v in weights.items() for x in (k, float(v))))
 
 
+
+
+def four_decimals(value: str | Column) -> Column:
+    """A number as text of four decimals, rounded from its exact binary value; null stays null.
+
+    Spark's own formats round the shortest decimal form instead, which differs on some ties; batches go through Arrow.
+    """
+
+    @F.pandas_udf("string")
+    def shown(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if pd.isna(x) else f"{x:.4f}")
+
+    return shown(F.col(value) if isinstance(value, str) else value)

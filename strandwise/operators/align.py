@@ -6,7 +6,7 @@ text, and only what meets is compared base by base.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
@@ -56,3 +56,10 @@ def align(guides: DataFrame, chrom: DataFrame, length: int, mismatches: int = 0,
         "before",
         "after",
     )
+
+
+def capped(found: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` places of each guide, those first by chromosome, place and strand (O7); all are kept by default,
+    since this leaves targets out."""
+    order = Window.partitionBy("spacer").orderBy("chr", "start", "strand")
+    return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")

@@ -86,6 +86,12 @@ def keep_top(rows: DataFrame, n: int, full_overlap: int | None = None) -> DataFr
     return rows.join(ranked.where(F.col("_n") <= n).select("spacer").distinct(), "spacer", "left_semi")
 
 
+def head(rows: DataFrame, n: int) -> DataFrame:
+    """The first n rows of each gene by offset, then overlap, ties by spacer, chromosome and place (W1')."""
+    order = Window.partitionBy("locus_tag").orderBy(*(F.col(c).asc_nulls_last() for c in ("offset", "overlap", "spacer", "chr", "tar_start")))
+    return rows.where("locus_tag is not null").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
+
+
 def design(rows: DataFrame, length: int, kept: str = "forward", top: int = 10, size: int = 0, full: bool = False, **how) -> DataFrame:
     """The whole design flow on mapped targets; a size of 0 means the guide's length. Null numbers become 0 at the end,
     rows come in genome order (F31, O3)."""

@@ -35,3 +35,15 @@ def systematic_name(lengths: DataFrame, pam: str, direction: str = "downstream")
     all_lengths = F.array_join(F.array_sort(F.collect_set(F.length("spacer"))).cast("array<string>"), ",")
     parts = [all_lengths, F.lit(pam)] if direction == "downstream" else [F.lit(pam), all_lengths]
     return lengths.agg(F.concat_ws("-", *parts).alias("name"))
+
+
+def genome_figures(chrom: DataFrame, features: DataFrame) -> DataFrame:
+    """(section, name, value): topologies and lengths with their chromosomes, organisms where there are any, and genes of
+    each chromosome (AG8, AG25). Sets are rows, so that they may be of any size."""
+    topology = F.when(F.col("circular"), "circular").otherwise("linear")
+    sets = {"topology": topology, "length": F.col("len").cast("string")}
+    if "organism" in chrom.columns:
+        sets["organism"] = F.col("organism")
+    tables = [chrom.groupBy(c.alias("name")).agg(F.count("*").alias("value")).select(F.lit(k).alias("section"), "name", "value") for k, c in sets.items()]
+    genes = features.groupBy(F.col("chr").cast("string").alias("name")).agg(F.count("*").alias("value"))
+    return reduce(DataFrame.unionByName, [*tables, genes.select(F.lit("genes").alias("section"), "name", "value")])

@@ -6,7 +6,7 @@ large tiles are dealt out to all tasks, windows come from the small tiles.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
@@ -87,16 +87,20 @@ def guides(chrom: DataFrame, length: int, pam: str, direction: str = "downstream
 
 def pam_sites(chrom: DataFrame, length: int, pam: str) -> DataFrame:
     """(chr, spacer) in front of PAMs that don't overlap each other, from left to right on each strand; spacers at an end
-    may be shorter, repeated ones stay (G2)."""
-    strands = chrom.select("chr", F.explode(F.array(F.upper("seq"), S.rev_comp(F.upper("seq")))).alias("s"))
-    pattern = S.pam_pattern(pam, "[ATCG]")
+    may be shorter, repeated ones stay (G2).
+
+    Where a PAM begins is the sum of what stands before it; spacers come from tiles that hold the bases before them.
+    """
+    both = F.array(F.struct(F.lit("F").alias("strand"), F.upper("seq").alias("s")), F.struct(F.lit("R").alias("strand"), S.rev_comp(F.upper("seq")).alias("s")))
+    strands = chrom.select("chr", F.explode(both).alias("x")).select("chr", "x.*")
     k = len(pam)
-    found = strands.select("chr", "s", F.size(F.regexp_extract_all("s", F.lit(f"({pattern})"), F.lit(0))).alias("n"), F.split("s", pattern, -1).alias("gaps"))
-    step = F.aggregate(
-        F.slice("gaps", 1, F.col("n")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")),
-        lambda a, g: F.struct((a["at"] + F.length(g) + k).alias("at"), F.concat(a["ends"], F.array(a["at"] + F.length(g))).alias("ends")),
-    )["ends"]
-    return found.where("n > 0").select("chr", "s", F.explode(step).alias("end")).select(
-        "chr", F.expr(f"substring(s, greatest(end - {length}, 0) + 1, least(end, {length}))").alias("spacer")
-    )
+    gaps = F.transform(F.split("s", S.pam_pattern(pam, "[ATCG]"), -1), F.length)
+    gaps = strands.select("chr", "strand", F.posexplode(F.slice(gaps, 1, F.size(gaps) - 1)).alias("n", "gap"))
+    upto = Window.partitionBy("chr", "strand").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    ends = gaps.select("chr", "strand", (F.sum("gap").over(upto) + F.col("n") * k).cast("int").alias("end"))
+    raw = F.col("s").cast("binary")
+    tile = lambda t: F.struct(t.alias("tile"), F.substring(raw, F.greatest(t * SMALL - length, F.lit(0)) + 1, F.lit(SMALL + length)).alias("bases"))
+    tiles = strands.select("chr", "strand", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.length("s") / SMALL).cast("int")), tile)).alias("t"))
+    found = ends.withColumn("tile", F.floor(F.col("end") / SMALL).cast("int")).join(tiles.select("chr", "strand", "t.*"), ["chr", "strand", "tile"])
+    first = F.greatest(F.col("end") - length, F.lit(0)) - F.greatest(F.col("tile") * SMALL - length, F.lit(0))
+    return found.select("chr", F.substring("bases", first + 1, F.least("end", F.lit(length))).cast("string").alias("spacer"))

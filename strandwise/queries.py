@@ -10,6 +10,7 @@ from .lineage import cut
 from .operators import align, counting, design, distill, intervals, library, mapping, mismatch, report, scan
 from .plans import flows
 from .plans.fixtures import LEFT, RIGHT, duckdb_ctes, view
+from .sources import sinks
 
 PAM, LENGTH = "NGG", 20
 QUERIES: dict = {}
@@ -339,7 +340,7 @@ ORACLE_SQL["design_tiling"] = ORACLE_SQL["design_tiling"].replace("WITH ", "WITH
 
 
 @query(
-    f"""WITH {CANDIDATES}, top AS (SELECT spacer FROM (SELECT spacer, row_number() OVER (PARTITION BY locus_tag ORDER BY "offset", spacer, chr, tar_start) AS n FROM cand) x WHERE n <= 2)
+    f"""WITH {CANDIDATES.replace("cand AS (", "cand AS MATERIALIZED (", 1)}, top AS MATERIALIZED (SELECT spacer FROM (SELECT spacer, row_number() OVER (PARTITION BY locus_tag ORDER BY "offset", spacer, chr, tar_start) AS n FROM cand) x WHERE n <= 2)
 SELECT locus_tag, spacer, "offset" FROM cand WHERE spacer IN (SELECT spacer FROM top)""",
     ("feature",),
 )
@@ -409,9 +410,17 @@ def y_pred(spark, sf_dir):
     return mismatch.recalculate(pairs).withColumn("y_pred", F.round("y_pred", 6))
 
 
-@query()
+@query(
+    f"""WITH {VARIANTS}, lists AS (SELECT original, list(struct_pack(i := i, base := base, variant := variant, change := change_description, y := y)) AS remaining FROM var GROUP BY 1),
+step AS (SELECT original, -1 AS nth, remaining, remaining[1] AS x FROM lists
+  UNION ALL SELECT original, nth + 1, list_filter(remaining, lambda v: NOT (v.i = x.i AND v.base = x.base)), x FROM (
+    SELECT original, nth, remaining, list_sort(list_transform(remaining, lambda v: struct_pack(d := abs(v.y - (nth + 1) * 0.1::DOUBLE), i := v.i, base := v.base, v := v)))[1].v AS x FROM step)
+  WHERE nth < 10 AND len(remaining) > 0)
+SELECT original, x.variant AS variant, x.change AS change_description, round(x.y, 6) AS y_pred, CAST(nth AS INT) AS nth FROM step WHERE nth >= 0""",
+    ("chrom", "guide"),
+)
 def mismatch_series(spark, sf_dir):
-    """Variants of each guide nearest to evenly spaced scores; held against a loop in the tests."""
+    """Variants of each guide nearest to evenly spaced scores, each taken once."""
     rows = mismatch.series(view(spark, sf_dir, "guide"))
     return rows.select("original", "variant", "change_description", F.round("y_pred", 6).alias("y_pred"), "nth")
 
@@ -484,15 +493,20 @@ def sample_offsets(spark, sf_dir):
     f"""WITH {HITS}, c AS (SELECT DISTINCT row_idx // n AS chunk FROM reads, size),
 h AS (SELECT chunk, count(*) AS n FROM hit GROUP BY 1), r AS (SELECT chunk, count(*) AS n FROM (SELECT r1, min(row_idx) // (SELECT n FROM size) AS chunk FROM reads GROUP BY r1) x GROUP BY 1),
 cum AS (SELECT c.chunk, CAST(sum(coalesce(h.n, 0)) OVER (ORDER BY c.chunk) AS BIGINT) AS hits, CAST(sum(coalesce(r.n, 0)) OVER (ORDER BY c.chunk) AS BIGINT) AS reads
-  FROM c LEFT JOIN h ON h.chunk = c.chunk LEFT JOIN r ON r.chunk = c.chunk)
-SELECT chunk, hits, reads, hits >= 5 * n OR (reads >= 5 * n AND hits > 0) AS enough FROM cum, size""",
+  FROM c LEFT JOIN h ON h.chunk = c.chunk LEFT JOIN r ON r.chunk = c.chunk),
+o AS (SELECT c.chunk, hit.pos, count(*) AS n FROM c JOIN hit ON hit.chunk <= c.chunk GROUP BY 1, 2),
+b AS (SELECT chunk, max(n) FILTER (k = 1) AS best, max(n) FILTER (k = 2) AS second
+  FROM (SELECT chunk, n, row_number() OVER (PARTITION BY chunk ORDER BY n DESC) AS k FROM o) z GROUP BY 1)
+SELECT chunk, hits, reads, hits >= 5 * n OR (reads >= 5 * n AND hits > 0) AS enough,
+  (hits >= 5 * n OR (reads >= 5 * n AND hits > 0)) AND coalesce(best >= 2 * coalesce(second, 0), false) AS stop
+FROM cum LEFT JOIN b USING (chunk), size""",
     ("reads",),
 )
 def sampling_stop(spark, sf_dir):
     """Cumulative figures of sampling by chunk, and whether they are enough."""
     lib = view(spark, sf_dir, "library")
     n, reads = lib.count(), spark.table("reads")
-    return counting.sampling(reads, counting.hits(reads, lib, n, LENGTH), n).drop("stop")
+    return counting.sampling(reads, counting.hits(reads, lib, n, LENGTH), n)
 
 
 @query(
@@ -541,3 +555,150 @@ def sense_lookup(spark, sf_dir):
 def canonical_reads(spark, sf_dir):
     """How often each read occurs on either strand."""
     return view(spark, sf_dir, "reads").groupBy(F.least("r1", S.rev_comp("r1")).alias("read")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {MAPPED}, n AS (SELECT spacer, count(*) AS count FROM (SELECT DISTINCT chr, substring(seq, 101, 20) AS spacer FROM chrom) x GROUP BY 1)
+SELECT noted.spacer, n.count, sites FROM noted JOIN n USING (spacer)""",
+    ("chrom", "guide", "feature"),
+)
+def named_guides(spark, sf_dir):
+    """How many names each guide came under, and its sites."""
+    names = view(spark, sf_dir, "chrom").selectExpr("CAST(chr AS STRING) AS name", "substring(seq, 101, 20) AS spacer")
+    rows = mapping.map_targets(names, spark.table("chrom"), spark.table("feature"), LENGTH, PAM, 1)
+    return rows.select("spacer", "count", "sites").distinct()
+
+
+@query(
+    """SELECT 'topology' AS section, CASE WHEN circular THEN 'circular' ELSE 'linear' END AS name, count(*) AS value FROM chrom GROUP BY 2
+UNION ALL SELECT 'length', CAST(len AS VARCHAR), count(*) FROM chrom GROUP BY 2
+UNION ALL SELECT 'genes', CAST(chr AS VARCHAR), count(*) FROM feature GROUP BY 2""",
+    ("feature",),
+)
+def genome_figures(spark, sf_dir):
+    """Topologies and lengths of the chromosomes, and genes of each."""
+    return report.genome_figures(view(spark, sf_dir, "chrom"), spark.table("feature"))
+
+
+@query(
+    f"""WITH {WINDOWS}, g AS (SELECT spacer, 'F' AS strand, spacer AS r FROM guide UNION ALL SELECT spacer, 'R', {rc("spacer")} FROM guide)
+SELECT DISTINCT spacer, chr, s AS "start", strand, CAST(hamming(w, r) AS INT) AS nm FROM (
+  SELECT * FROM win JOIN g ON left(w, 6) = left(r, 6) UNION ALL SELECT * FROM win JOIN g ON substring(w, 7, 7) = substring(r, 7, 7)
+  UNION ALL SELECT * FROM win JOIN g ON right(w, 7) = right(r, 7)) x WHERE hamming(w, r) <= 2""",
+    ("chrom", "guide"),
+)
+def two_mismatch_targets(spark, sf_dir):
+    """Places of all guides with at most two mismatches."""
+    found = align.align(view(spark, sf_dir, "guide"), spark.table("chrom"), LENGTH, 2)
+    return found.select("spacer", "chr", "start", "strand", "nm")
+
+
+@query(
+    f"""WITH {ALIGNED} SELECT spacer, chr, s AS "start", strand FROM (SELECT *, row_number() OVER (PARTITION BY spacer ORDER BY chr, s, strand) AS n
+  FROM norm WHERE nm = 0) x WHERE n <= 2""",
+    ("chrom", "guide"),
+)
+def capped_targets(spark, sf_dir):
+    """The first two perfect sites of each guide."""
+    found = align.align(view(spark, sf_dir, "guide"), spark.table("chrom"), LENGTH)
+    return align.capped(found, 2).select("spacer", "chr", "start", "strand")
+
+
+@query(
+    f"""WITH two AS (SELECT chr, seq AS s FROM chrom UNION ALL SELECT chr, {rc("seq")} FROM chrom),
+gap AS (SELECT chr, s, string_split_regex(s, '[ATCG]GG') AS gaps FROM two),
+pam AS (SELECT chr, s, gaps, unnest(range(1, len(gaps))) AS k FROM gap),
+place AS (SELECT chr, s, CAST(list_sum(list_transform(gaps[1:k], lambda x: length(x))) + 3 * (k - 1) AS INT) AS e FROM pam)
+SELECT chr, substring(s, greatest(e - 20, 0) + 1, least(e, 20)) AS spacer FROM place""",
+    ("chrom",),
+)
+def pam_sites(spark, sf_dir):
+    """Spacers in front of PAMs that don't overlap, repeats included."""
+    return scan.pam_sites(view(spark, sf_dir, "chrom"), LENGTH, PAM)
+
+
+@query(
+    f"""WITH {MAPPED}, whole AS (SELECT * FROM full_map WHERE NOT coalesce(sp_dir = tar_dir, false) AND nm = 0),
+top AS (SELECT spacer FROM (SELECT spacer, row_number() OVER (PARTITION BY locus_tag ORDER BY "offset" NULLS LAST, spacer, chr, tar_start) AS n
+  FROM whole WHERE locus_tag IS NOT NULL) x WHERE n <= 3)
+SELECT spacer, locus_tag, chr, CAST(coalesce(tar_start, 0) AS INT) AS tar_start, CAST(coalesce("offset", 0) AS INT) AS "offset", CAST(coalesce(overlap, 0) AS INT) AS overlap
+FROM whole WHERE spacer IN (SELECT spacer FROM top)""",
+    ("chrom", "guide", "feature"),
+)
+def design_reverse(spark, sf_dir):
+    """The design flow for guides against their genes' direction."""
+    rows = design.design(_mapped(spark, sf_dir), LENGTH, kept="reverse", top=3, size=-1, omit_intergenic=False, mismatches=1)
+    return rows.select("spacer", "locus_tag", "chr", "tar_start", F.col("offset").cast("int").alias("offset"), F.col("overlap").cast("int").alias("overlap"))
+
+
+@query(
+    f"""WITH {CANDIDATES.replace("cand AS (", "cand AS MATERIALIZED (", 1)} SELECT locus_tag, spacer, "offset" FROM (SELECT *, row_number() OVER (PARTITION BY locus_tag
+  ORDER BY "offset", spacer, chr, tar_start) AS n FROM cand) x WHERE n <= 3""",
+    ("feature",),
+)
+def design_head(spark, sf_dir):
+    """The first three candidates of each gene."""
+    rows = _candidates(spark, sf_dir).withColumn("overlap", F.lit(LENGTH))
+    return design.head(rows, 3).select("locus_tag", "spacer", "offset")
+
+
+@query("SELECT string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) || '-NGG' AS name FROM (SELECT DISTINCT length(spacer) AS n FROM guide) x", ("guide",))
+def library_name(spark, sf_dir):
+    """The library's systematic name."""
+    return report.systematic_name(view(spark, sf_dir, "guide"), PAM)
+
+
+@query(f"WITH {VARIANTS} SELECT original, variant, printf('%.4f', y) AS y_text FROM var", ("chrom", "guide"))
+def score_text(spark, sf_dir):
+    """Predicted efficacies as text of four decimals."""
+    rows = mismatch.variants(view(spark, sf_dir, "guide"))
+    return rows.select("original", "variant", S.four_decimals("y_pred").alias("y_text"))
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS l_quantity, CAST(l_discount AS DOUBLE) AS l_discount FROM lineitem""",
+    ("chrom",),
+)
+def integral_columns(spark, sf_dir):
+    """Quantities, which are whole, as integers; discounts, which aren't, as they are."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return sinks.integral(rows.select("l_orderkey", "l_linenumber", *(F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_discount"))))
+
+
+#: Reads whose left flank varies but for its last four bases.
+VARIED = f"concat(translate(substring(bc, 15, 6), 'ACGT', 'GTCA'), '{LEFT[6:]}', bc, '{RIGHT}')"
+
+
+@query(
+    f"""WITH RECURSIVE d AS (SELECT DISTINCT {VARIED} AS r1 FROM library),
+f AS (SELECT 'L' AS side, left(r1, 10) AS s FROM d UNION ALL SELECT 'R', substring(r1, 31, 10) FROM d),
+gram AS (SELECT side, k AS len, CASE WHEN side = 'L' THEN right(s, k) ELSE left(s, k) END AS gram, count(*) AS n FROM f, range(1, 11) t(k) GROUP BY 1, 2, 3),
+top AS (SELECT side, len, gram, n FROM (SELECT *, row_number() OVER (PARTITION BY side, len ORDER BY n DESC, gram) AS k FROM gram) x WHERE k = 1),
+fold AS (SELECT side, len, gram, n FROM top WHERE len = 10 UNION ALL SELECT t.side, t.len, CASE WHEN t.n > 3 * f.n THEN t.gram ELSE f.gram END,
+  CASE WHEN t.n > 3 * f.n THEN t.n ELSE f.n END FROM fold f JOIN top t ON t.side = f.side AND t.len = f.len - 1)
+SELECT side, gram FROM fold WHERE len = 1""",
+    ("library",),
+)
+def shortened_flanks(spark, sf_dir):
+    """The flanks of reads whose left flank is short."""
+    reads = view(spark, sf_dir, "library").selectExpr(f"{VARIED} AS r1")
+    return counting.best_flanks(counting.flank_grams(reads, 10, LENGTH))
+
+
+ORACLE_SQL["shortened_flanks"] = ORACLE_SQL["shortened_flanks"].replace("WITH ", "WITH RECURSIVE ", 1).replace(", RECURSIVE d AS", ", d AS", 1)
+ORACLE_SQL["mismatch_series"] = ORACLE_SQL["mismatch_series"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(
+    f"""WITH m AS (SELECT r1, CASE WHEN row_idx % 5 = 0 THEN translate(r1, 'AC', 'CA') ELSE r1 END AS turned FROM reads),
+c AS (SELECT substring(r1, 11, 20) AS bc FROM m WHERE r1 NOT LIKE '%N%' AND r1 LIKE '{LEFT}%' AND r1 LIKE '%{RIGHT}'
+  AND turned LIKE '{LEFT}%' AND turned LIKE '%{RIGHT}' AND substring(turned, 11, 20) = substring(r1, 11, 20))
+SELECT c.bc AS barcode, l.bc IS NOT NULL AS documented, count(*) AS count FROM c LEFT JOIN library l ON l.bc = c.bc GROUP BY 1, 2""",
+    ("reads",),
+)
+def barcode_counts_mates(spark, sf_dir):
+    """Barcodes of pairs of which every fifth mate reads something else."""
+    other = F.when(F.col("row_idx") % 5 == 0, F.translate("r1", "AC", "CA")).otherwise(F.col("r1"))
+    pairs = view(spark, sf_dir, "reads").withColumn("r2", S.rev_comp(other))
+    back = [str(x).translate(str.maketrans("ACGT", "TGCA"))[::-1] for x in (RIGHT, LEFT)]
+    return counting.count_paired(pairs, spark.table("library"), (0, 0), LENGTH, (LEFT, RIGHT, *back))

@@ -76,3 +76,47 @@ def test_streamed_counts_equal_batch_counts(spark, tmp_path):
     writer.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
     key = lambda rows: sorted((r.barcode, r.documented, r["count"]) for r in rows)
     assert key(totals(spark, str(tmp_path / "out")).collect()) == key(count_single(reads, library, 0, 4, "AA", "CC").collect())
+
+
+def test_more_writers(spark, tmp_path):
+    import json
+
+    from strandwise.sources import sinks
+
+    rows = spark.createDataFrame([("AC", None), ("GT", 2.0)], "r1 string, n double").coalesce(1)
+    sinks.write_json_array(rows, str(tmp_path / "array"))
+    (file,) = (tmp_path / "array").glob("part-*")
+    assert json.loads(file.read_text()) == [{"r1": "AC", "n": None}, {"r1": "GT", "n": 2.0}]
+    sinks.write_json_array(rows.limit(0), str(tmp_path / "none"))
+    assert all(json.loads(f.read_text() or "[]") == [] for f in (tmp_path / "none").glob("part-*"))
+    assert dict(sinks.integral(rows).dtypes) == {"r1": "string", "n": "bigint"}
+    assert dict(sinks.integral(rows.selectExpr("n / 4 AS n")).dtypes) == {"n": "double"}
+
+
+def test_flanks_of_mates():
+    from strandwise.operators.counting import flanks_agree
+
+    assert flanks_agree(("TTGA", "GTTT"), ("AAAC", "TCAA"))
+    assert flanks_agree(("CCTTGA", "GTTT"), ("AAAC", "TCAA"))
+    assert not flanks_agree(("TTGA", "GTTT"), ("AAAC", "TCAG"))
+
+
+def test_lists_weights_and_reads_of_text(spark, tmp_path):
+    from strandwise.sources import tables
+
+    assert sorted(r.bc for r in tables.barcodes(spark, ["acg", "ACG", "TTT"]).collect()) == ["ACG", "TTT"]
+    (tmp_path / "w.csv").write_text("feature,weight,other\nintercept,0.5,x\n0,-1.25,y\n")
+    assert tables.read_weights(spark, str(tmp_path / "w.csv")) == {"intercept": 0.5, "0": -1.25}
+
+
+def test_read_files_stay_aligned(spark, tmp_path):
+    from strandwise.sources import fastx, sinks
+
+    pairs = [(f"{i:03d}A", f"{i:03d}T") for i in range(50)]
+    sinks.write_read_files(spark.createDataFrame(pairs, "r1 string, r2 string").repartition(3), str(tmp_path))
+    import gzip
+
+    read = {c: [gzip.open(f, "rt").read().split() for f in sorted((tmp_path / f"{c}.reads").glob("part-*"))] for c in ("r1", "r2")}
+    assert [len(x) for x in read["r1"]] == [len(x) for x in read["r2"]]
+    rows = [p for a, b in zip(read["r1"], read["r2"], strict=True) for p in zip(a, b, strict=True)]
+    assert sorted(rows) == pairs and fastx.kind_of("x.reads.gz") == "reads"
