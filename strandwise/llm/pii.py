@@ -9,7 +9,7 @@ with endings of the gender of the title. All atoms of the corpus are compared: w
 or a surrogate is itself an atom of the corpus, all but the first are drawn again until none is left. Equal atoms have
 equal surrogates everywhere.
 
-Texts without entities take no part in any shuffle. Others meet their surrogates by the text's digest, so that copies of
+Texts that fail a cheap test for entities take no part in any shuffle. Others meet their surrogates by the text's digest, so that copies of
 a text are handled once.
 """
 
@@ -28,7 +28,7 @@ ACCESS = r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"
 VALUE = r"[A-Za-z0-9_/+\-]"
 #: A secret's value isn't a whole access key, and ends where a mail address begins.
 SECRET = (
-    r"\b(?:token|secret|password|passwd|api_key|apikey|access_key) {0,2}+[=:] {0,2}+[\"']?+"
+    r"(?i:token|secret|password|passwd|api[_\-]?key|access[_\-]?key) {0,2}+[=:] {0,2}+[\"']?+"
     rf"(?!{ACCESS}(?!{VALUE}))(?:(?!{MAIL}){VALUE}){{12,}}+"
 )
 ACCOUNT = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
@@ -46,6 +46,10 @@ NAME = rf"(?<!\p{{L}})(?:{FEMALE}|{MALE}|{NEUTRAL})\.?(?: {INITIAL})*+ {PART}(?:
 ANY = "|".join([MAIL, ACCESS, SECRET, ACCOUNT, ADDRESS, CARD, PHONE, NATIONAL, NAME])
 #: What any entity has; texts without it are passed by. An access key may be all letters.
 GATE = rf"[0-9]|@|[=:]|AKIA|ASIA|(?<!\p{{L}})(?:{FEMALE}|{MALE}|{NEUTRAL})\.? \p{{Lu}}"
+#: Rounds in which surrogates are drawn; each leaves a small share of the collisions.
+MOST_DRAWS = 64
+#: Setting of the session that holds the key, and the key of tests and checks, which is no secret.
+KEY_SETTING, OPEN_KEY = "spark.strandwise.surrogates.key", "surrogates"
 #: Syllables and endings of surrogate names, by script.
 LATIN = "ba be da do fe ga jo ka li lo ma mi na ne ra so".split()
 CYRILLIC = "ба ве га да зо ка ли ма не по ра ре со та фе ши".split()
@@ -139,28 +143,32 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
 
 
 def assign(found: DataFrame, key: str) -> DataFrame:
-    """(kind, value, surrogate) of distinct atoms (kind, value), each surrogate distinct from all others of its kind and
-    from all atoms. Each round draws again for what collides; only the number of these goes to the driver."""
+    """(kind, value, surrogate) of distinct atoms (kind, value), each surrogate distinct from all others, of whatever kind,
+    and from all atoms. Each round draws again for what collides; only whether there is any goes to the driver. A format
+    with fewer free values than atoms is an error after MOST_DRAWS rounds."""
     draws = cut(found.distinct().withColumn("attempt", F.lit(0)))
-    while True:
+    for _ in range(MOST_DRAWS):
         drawn = draws.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key))
         taken = draws.select(F.col("value").alias("surrogate")).distinct().withColumn("real", F.lit(True))
         drawn = drawn.join(taken, "surrogate", "left")
-        first = Window.partitionBy("kind", "surrogate").orderBy("attempt", "value")
+        first = Window.partitionBy("surrogate").orderBy("attempt", "kind", "value")
         clash = F.col("real").isNotNull() | (F.row_number().over(first) > 1)
         drawn = cut(drawn.withColumn("clash", clash).select("kind", "value", "surrogate", "attempt", "clash"))
         if not drawn.where("clash").limit(1).count():
             return drawn.select("kind", "value", "surrogate")
         draws = drawn.select("kind", "value", (F.col("attempt") + F.col("clash").cast("int")).alias("attempt"))
+    raise ValueError(f"no distinct surrogates after {MOST_DRAWS} draws: a format has too few values")
 
 
-def replace(docs: DataFrame, key: str = "surrogates", column: str = "text") -> DataFrame:
+def replace(docs: DataFrame, key: str | None = None, column: str = "text") -> DataFrame:
     """The rows with surrogates in their texts and ``n_entities``; all other columns as they came.
 
     A null text stays null, texts without entities stay as they are, repeated rows are repeated. A column n_entities of
     the input is replaced. Whole texts of any length are searched. Words of the text's own titled names count as entities
-    where they stand without a title, side by side as one. The key should be kept secret.
+    where they stand without a title, side by side as one. The key comes from the session's KEY_SETTING unless given; set
+    one and keep it secret, since OPEN_KEY, which stands in for it, lets anybody who guesses a value confirm it.
     """
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, OPEN_KEY)
     names, text = [c for c in docs.columns if c != "n_entities"], F.col("_text")
     docs = docs.select(F.col(column).alias("_text"), F.struct(*names).alias("_doc"))
     kept = {c: F.col("_doc")[c].alias(c) for c in names}
