@@ -20,8 +20,11 @@ from .bpe import slices
 
 WIDTH, STEP = 48, 32
 WORDS, GRAMS, SIZE, HIDDEN = 1 << 14, 1 << 13, 12, 8
-#: Bounds of training: documents of each label, windows of one document in an epoch, epochs.
+#: Bounds of training: documents of each label, windows of one document in an epoch (drawn anew each time), epochs.
 PER_CLASS, BAG, EPOCHS = 400, 32, 10
+#: Against learning single words by heart: share of words whose own vector is left out of a step (their trigrams stay),
+#: decay of the parameters; the rate of learning falls to nothing along a cosine.
+DROPPED, DECAY, RATE = 0.5, 1.0, 0.012
 THRESHOLD = 0.3
 #: Words whose inputs a worker keeps, and windows that it reads at once.
 KEPT, BATCH = 300_000, 2048
@@ -69,15 +72,16 @@ class Network:
         self.p |= {"a": put(2 * HIDDEN, HIDDEN, scale=0.3), "a0": np.zeros(HIDDEN, np.float32)}
         self.p |= {"v": put(HIDDEN, scale=0.5), "u": put(2 * HIDDEN, scale=0.5), "u0": np.array([-1.0], np.float32)}
         self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        self.steps = 0
+        self.steps, self.rng, self.rate = 0, None, RATE
 
-    def inputs(self, words: list[str]):
-        """Input vectors of distinct words, and what leads back to the tables."""
+    def inputs(self, words: list[str], rng: np.random.Generator | None = None):
+        """Input vectors of distinct words, and what leads back to the tables; rng: draws the words that are left out."""
         row, grams, firsts = word_hashes(words)
         counts = np.diff(np.append(firsts, len(grams)))
         scale = (1 / np.sqrt(counts)).astype(np.float32)
-        x = self.p["words"][row] + np.add.reduceat(self.p["grams"][grams], firsts) * scale[:, None]
-        return x, (row, grams, np.repeat(np.arange(len(words)), counts), np.repeat(scale, counts))
+        kept = np.ones((len(words), 1), np.float32) if rng is None else (rng.random((len(words), 1)) >= DROPPED).astype(np.float32)
+        x = self.p["words"][row] * kept + np.add.reduceat(self.p["grams"][grams], firsts) * scale[:, None]
+        return x, (row, kept, grams, np.repeat(np.arange(len(words)), counts), np.repeat(scale, counts))
 
     def gates(self, x: np.ndarray) -> dict[str, np.ndarray]:
         """What the inputs add to the gates of both directions."""
@@ -121,7 +125,7 @@ class Network:
 
     def learn(self, words: list[str], index: np.ndarray, mask: np.ndarray, doc: np.ndarray, labels: np.ndarray) -> float:
         """One step of Adam on documents given as windows; doc: each window's document (in order). Returns the loss."""
-        x, back = self.inputs(words)
+        x, back = self.inputs(words, self.rng)
         gates, kept, states, g = self.gates(x), {"f": [], "b": []}, [], {}
         for d in "fb":
             states.append(self.run(d, gates[d][index], mask, kept[d]))
@@ -166,20 +170,22 @@ class Network:
             np.add.at(by_word, index.ravel(), dgates.reshape(-1, 3 * HIDDEN))
             g[f"x{d}"] = x.T @ by_word
             dx += by_word @ self.p[f"x{d}"].T
-        row, grams, word, scale = back
+        row, whole, grams, word, scale = back
         g["words"], g["grams"] = np.zeros_like(self.p["words"]), np.zeros_like(self.p["grams"])
-        np.add.at(g["words"], row, dx)
+        np.add.at(g["words"], row, dx * whole)
         np.add.at(g["grams"], grams, dx[word] * scale[:, None])
         self._adam(g)
         return float(loss)
 
-    def _adam(self, g: dict[str, np.ndarray], rate: float = 0.012) -> None:
+    def _adam(self, g: dict[str, np.ndarray]) -> None:
         self.steps += 1
         for k, v in g.items():
             m, s = self.moments[k]
             m += 0.1 * (v - m)
             s += 0.01 * (v * v - s)
-            self.p[k] -= rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(s / (1 - 0.99**self.steps)) + 1e-7)
+            self.p[k] -= self.rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(s / (1 - 0.99**self.steps)) + 1e-7)
+            if v.ndim > 1:
+                self.p[k] *= 1 - self.rate * DECAY
 
 
 def windows(n: int) -> np.ndarray:
@@ -196,11 +202,13 @@ def words_of(text: str | None) -> list[str]:
 def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed: int = 1) -> Network:
     """A network fitted to whole texts; in an epoch, at most BAG windows of a text are drawn from all of its windows."""
     net, rng = Network(seed), np.random.default_rng(seed)
+    net.rng = np.random.default_rng(seed + 1)
     ids: dict[str, int] = {"": 0}
     docs = [np.fromiter((ids.setdefault(w, len(ids)) for w in words_of(t)), np.int64) for t in texts]
     words, labels = list(ids), np.asarray(labels)
     docs.append(np.empty(0, np.int64))  # an empty text is clean
     labels = np.append(labels, 0)
+    steps = epochs * -(-len(docs) // 24)
     for _ in range(epochs if len(docs) > 1 else 0):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), 24):
@@ -216,6 +224,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed
             index = np.array(index).T
             mask = index >= 0
             used, place = np.unique(np.where(mask, index, 0), return_inverse=True)
+            net.rate = RATE * (1 + np.cos(np.pi * net.steps / steps)) / 2
             net.learn([words[i] for i in used], place.reshape(index.shape), mask, np.array(doc), labels[part])
     return net
 
@@ -269,7 +278,9 @@ def held_out(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Network:
     """A network fitted to at most ``per_class`` labelled documents of each label, those first by a hash of their id.
 
-    Rows without id or label, and held-out ones, aren't learned; of rows of one id, the least text is; without any rows the network stays as it began.
+    Rows without id or label, and held-out ones, aren't learned; of rows of one id, the least text is; an id with both
+    labels counts as toxic; without any rows the network stays as it began. Since the sample holds more of the rarer
+    label than there is, the logits are moved back by what that adds to the odds.
     """
     known = held_out(labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null")).where("not held_out")
     known = known.select("doc_id", "toxic", F.xxhash64("doc_id").alias("at")).distinct()
@@ -277,11 +288,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Netwo
     label = {r.doc_id: r.toxic for rows in chosen for r in rows}
     own = docs.where(F.col("doc_id").isin(list(label))).groupBy("doc_id").agg(F.min("text").alias("text"))
     texts = sorted((r.doc_id, r.text or "") for r in own.collect()) if label else []
-    return train([t for _, t in texts], [label[i] for i, _ in texts])
+    net = train([t for _, t in texts], [label[i] for i, _ in texts])
+    all_rows = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    taken = [len(rows) for rows in chosen]
+    if all(taken):
+        odds = np.log(all_rows[1] / all_rows[0]) - np.log(taken[1] / taken[0])
+        net.p["u0"] = net.p["u0"] + np.float32(odds)
+    return net
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
-    """Adds ``score`` (0 to 1) to each row. Null and empty texts have a score too; all other columns are kept."""
+    """Adds ``score`` (0 to 1) to each row. Null and empty texts have a score too; all other columns are kept, one named
+    score is replaced. Repeated rows have equal scores, all windows of very long texts are read, an empty table stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(net.p)
 
     def run(batches):
@@ -300,7 +319,8 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def op9_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The query: every document's score, and whether it is toxic."""
+    """The query: every document's score, and whether it is toxic. Rows come back as often as they came, also those without
+    id or text; without usable labels, the network scores as it began; an empty table gives an empty table."""
     net = fit(docs, labels)
     scored = score(docs.select("doc_id", "text"), net).drop("text")
     predicted = F.when(F.col("score") >= THRESHOLD, 1).otherwise(0)
