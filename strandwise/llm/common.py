@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-from uuid import uuid4
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut, forget, written
+
+__all__ = ["WORD", "cut", "forget", "hex64", "read_table", "text_of", "words_of", "written"]
+
 #: A word is a run of anything but space and the controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,43 +28,6 @@ def hex64(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster shares.
-
-    It comes from the session's ``spark.checkpoint.dir``. Only a session on one machine (a test) may do without: it gets
-    a temporary folder; on a cluster a missing setting is an error.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the folder that the cluster shares."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder as a table of their own and read again: smaller than a checkpoint."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def forget(table: DataFrame) -> None:
-    """Delete the files of a table that ``written`` gave, once nothing reads it any more."""
-    context = table.sparkSession.sparkContext
-    for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
-        if "/table-" in folder:
-            path = context._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def read_table(spark, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
