@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.llm import bpe, mixing, pii, simhash, toxicity
-from strandwise.llm.common import cut, read_table
+from strandwise.llm.common import read_table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +34,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and whether they decode to its text again."""
-    tokens = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return tokens.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "lossless")
+    """Token ids of each document, whether they decode to its text again, and its place in the training order.
+
+    The stage before wrote the documents in this order: ``part`` is the number of a row's file, ``row`` its place within
+    it; order by both. They are null where the documents don't come from files.
+    """
+    try:
+        place = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:
+        place = docs.withColumns({"_file": F.lit(None).cast("string"), "row": F.lit(None).cast("bigint")})
+    part = F.regexp_extract("_file", r"part-(\d+)", 1).try_cast("int").alias("part")
+    tokens = bpe.encode(place, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "lossless", part, "row")
 
 
 STAGES = [
@@ -54,5 +64,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages on documents, each result written to the shared folder before the next stage reads it."""
     docs = read_table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs = written(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
