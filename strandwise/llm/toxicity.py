@@ -23,7 +23,7 @@ WORDS, GRAMS, SIZE, HIDDEN = 1 << 14, 1 << 13, 12, 8
 #: Bounds of training: documents of each label, windows of one document in an epoch (drawn anew each time), epochs.
 PER_CLASS, BAG, EPOCHS = 400, 32, 10
 #: Against learning single words by heart: share of words whose own vector is left out of a step (their trigrams stay),
-#: decay of the parameters; the rate of learning falls to nothing along a cosine.
+#: decay of the parameters; the rate of learning falls to nothing along a cosine in the second half.
 DROPPED, DECAY, RATE = 0.5, 1.0, 0.012
 THRESHOLD = 0.3
 #: Words whose inputs a worker keeps, and windows that it reads at once.
@@ -224,7 +224,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed
             index = np.array(index).T
             mask = index >= 0
             used, place = np.unique(np.where(mask, index, 0), return_inverse=True)
-            net.rate = RATE * (1 + np.cos(np.pi * net.steps / steps)) / 2
+            net.rate = RATE * (1 + np.cos(np.pi * max(0.0, 2 * net.steps / steps - 1))) / 2
             net.learn([words[i] for i in used], place.reshape(index.shape), mask, np.array(doc), labels[part])
     return net
 
