@@ -172,8 +172,8 @@ def replace(docs: DataFrame, key: str | None = None, column: str = "text") -> Da
     names, text = [c for c in docs.columns if c != "n_entities"], F.col("_text")
     docs = docs.select(F.col(column).alias("_text"), F.struct(*names).alias("_doc"))
     kept = {c: F.col("_doc")[c].alias(c) for c in names}
-    rows = docs.where(gate(text)).select("*", entities(text).alias("_found"), F.sha2("_text", 256).alias("_key"))
-    held = rows.select(F.col("_key").alias("_digest"), F.explode(F.array_distinct("_found")).alias("entity"))
+    rows = docs.where(gate(text)).select("*", F.sha2("_text", 256).alias("_key"))
+    held = rows.select(F.col("_key").alias("_digest"), F.explode(F.array_distinct(entities(text))).alias("entity"))
     held = held.select("_digest", F.explode(atoms(F.col("entity"))).alias("atom")).select("_digest", "atom.kind", "atom.value")
     held = cut(held.distinct())
     pairs = held.join(assign(held.select("kind", "value"), key), ["kind", "value"])
@@ -185,7 +185,10 @@ def replace(docs: DataFrame, key: str | None = None, column: str = "text") -> Da
     rows = rows.withColumn("_own", F.coalesce(own, F.array().cast("array<string>")))
     has_names = F.size("_own") > 0
     pattern = F.concat(F.lit(ANY + "|"), mentions(F.col("_own")))
-    rows = rows.withColumn("_found", F.when(has_names, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(F.col("_found")))
+    # a text without a map has no entity, so only texts with one are matched again
+    found = F.when(F.col("_map").isNull(), F.array().cast("array<string>"))
+    found = found.when(has_names, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(entities(text))
+    rows = rows.withColumn("_found", found)
 
     def drawn(kind: Column, value: Column) -> Column:
         return F.element_at("_map", F.concat_ws("\x1f", kind, value))
