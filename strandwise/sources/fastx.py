@@ -1,18 +1,21 @@
-"""FASTA, FASTQ and plain read files as a Spark data source, one partition for each file.
+"""FASTA, FASTQ and plain read files as tables, each file the work of one task.
 
-Files are opened through Spark's own file reader on the driver's listing (``paths``), so that any store works; plain,
-gzip and zstd files are told apart by their suffix.
+Files come whole through Spark's binary reader, so that any store works, but for large ones: of these only the path is
+read, and the task streams the file through Arrow's file systems. Plain, gzip and zstd files are told apart by suffix.
 """
 
 from __future__ import annotations
 
 import gzip
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Files of this many bytes or more are streamed.
+LARGE = 256 << 20
 FASTA, FASTQ = (".fasta", ".fa", ".fna"), (".fastq", ".fq")
 
 
@@ -25,18 +28,47 @@ def kind_of(path: str) -> str:
     raise ValueError(f"unknown kind of file: {path}")
 
 
-def lines(path: str, content: bytes) -> Iterator[str]:
-    """Lines of a file, decompressed as they are read."""
-    raw: io.BufferedIOBase = io.BytesIO(content)
+def stream(path: str):
+    """A file opened where it lies."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_stream(path.removeprefix("file:"), compression=None)
+    store, name = fs.FileSystem.from_uri(path)
+    return store.open_input_stream(name, compression=None)
+
+
+def lines(path: str, content: bytes | None = None) -> Iterator[str]:
+    """Lines of a file, given whole or streamed from its path, decompressed as they are read."""
+    raw: io.BufferedIOBase = stream(path) if content is None else io.BytesIO(content)
     if path.lower().endswith(".gz"):
         raw = gzip.open(raw)
     elif path.lower().endswith(".zst"):
         import pyarrow as pa
 
-        raw = pa.input_stream(pa.py_buffer(content), compression="zstd")
+        raw = pa.CompressedInputStream(raw, "zstd")
     return (line.rstrip("\r\n") for line in io.TextIOWrapper(raw, "utf-8"))
 
 
+def from_files(spark: SparkSession, path: str, rows: Callable, schema: str, columns: list[str], batch: int, large: int) -> DataFrame:
+    """What ``rows(path, lines)`` yields for each file under a path, in batches of so many rows."""
+
+    def run(tables):
+        import pandas as pd
+
+        for table in tables:
+            contents = table["content"] if "content" in table else [None] * len(table)
+            for name, content in zip(table["path"], contents, strict=True):
+                source = iter(rows(name, lines(name, content)))
+                while part := list(islice(source, batch)):
+                    yield pd.DataFrame(part, columns=columns)
+
+    files = spark.read.format("binaryFile").load(path)
+    whole = files.where(F.col("length") < large).select("path", "content")
+    streamed = files.where(F.col("length") >= large).select("path")
+    return whole.mapInPandas(run, schema).unionByName(streamed.mapInPandas(run, schema))
+
+
 def records(kind: str, source: Iterator[str]) -> Iterator[tuple[str | None, str, str | None]]:
     """(id, seq, qual) of each record; FASTA sequences over several lines are joined."""
     if kind == "reads":
@@ -58,29 +90,18 @@ def records(kind: str, source: Iterator[str]) -> Iterator[tuple[str | None, str,
             yield name, "".join(parts), None
 
 
-def read_fastx(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+def read_fastx(spark: SparkSession, path: str, kind: str | None = None, large: int = LARGE) -> DataFrame:
     """(file, row_idx, id, seq, qual) of all files under a path or pattern (S3, S5-S7); row_idx counts within a file.
 
-    Records of one file can't be found without reading what stands before them, so a file is one task's work; large
-    runs come as many files.
+    Records of one file can't be found without reading what stands before them, so a file is one task's work; it may
+    have any size, since files of ``large`` bytes or more are streamed. An empty file gives no rows.
     """
 
-    def run(batches):
-        import pandas as pd
+    def rows(name: str, source: Iterator[str]) -> Iterator[tuple]:
+        return ((name, at, *record) for at, record in enumerate(records(kind or kind_of(name), source)))
 
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                rows, at = [], 0
-                for record in records(kind or kind_of(name), lines(name, content)):
-                    rows.append((name, at, *record))
-                    at += 1
-                    if len(rows) == 65_536:
-                        yield pd.DataFrame(rows, columns=["file", "row_idx", "id", "seq", "qual"])
-                        rows = []
-                yield pd.DataFrame(rows, columns=["file", "row_idx", "id", "seq", "qual"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "file string, row_idx bigint, id string, seq string, qual string")
+    schema = "file string, row_idx bigint, id string, seq string, qual string"
+    return from_files(spark, path, rows, schema, ["file", "row_idx", "id", "seq", "qual"], 65_536, large)
 
 
 def read_barcodes(spark: SparkSession, path: str) -> DataFrame:

@@ -8,12 +8,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .fastx import lines
+from .fastx import LARGE, from_files
 
 SCHEMA = (
     "chr string, organism string, topology string, seq string, features "
     "array<struct<type string, locus_tag string, gene string, strand int, parts array<struct<start int, end int>>>>"
 )
+QUALIFIER = re.compile(r"/(\w+)(?:=(.*))?$")
 SPAN = re.compile(r"<?(\d+)(?:\.\.>?(\d+))?")
 
 
@@ -42,39 +43,39 @@ def parse(source: Iterator[str]) -> Iterator[tuple]:
             made = []
             for kind, place, notes in features:
                 strand, parts = location(place)
-                found = dict(re.findall(r'/(\w+)="?([^"/]*)"?', notes))
+                # the first of several qualifiers of one name counts
+                found = {word: value.strip('"') for word, value in reversed(notes)}
                 made.append((kind, found.get("locus_tag"), found.get("gene"), strand, parts))
             yield name, organism, topology, "".join(seq).upper(), made
         elif state == "origin":
             seq += line.split()[1:]
         elif state == "features" and line[5:6].strip():
-            features.append([line[5:21].strip(), line[21:].strip(), ""])
+            features.append([line[5:21].strip(), line[21:].strip(), []])
         elif state == "features" and features:
-            text = line[21:].strip()
-            place = 2 if text.startswith("/") or features[-1][2] else 1
-            features[-1][place] += text if place == 1 else f" {text}"
-
-
-def read_genbank(spark: SparkSession, path: str) -> DataFrame:
-    """One row of SCHEMA for each record of the files under a path (S1, S2); gzip and zstd files are read too."""
-
-    def run(batches):
-        import pandas as pd
-
-        columns = ["chr", "organism", "topology", "seq", "features"]
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                rows = []
-                for chrom, organism, topology, seq, features in parse(lines(name, content)):
-                    named = [
-                        {"type": k, "locus_tag": t, "gene": g, "strand": s, "parts": [{"start": a, "end": b} for a, b in p]}
-                        for k, t, g, s, p in features
-                    ]
-                    rows.append((chrom, organism, topology, seq, named))
-                yield pd.DataFrame(rows, columns=columns)
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, SCHEMA)
+            text, notes = line[21:].strip(), features[-1][2]
+            # within an open quotation a line never begins a qualifier; doubled quotes count as two
+            quoted = notes and notes[-1][1].count('"') % 2
+            if begun := None if quoted else QUALIFIER.match(text):
+                notes.append([begun[1], begun[2] or ""])
+            elif notes:
+                notes[-1][1] += f" {text}"
+            else:
+                features[-1][1] += text
+
+
+def read_genbank(spark: SparkSession, path: str, large: int = LARGE) -> DataFrame:
+    """One row of SCHEMA for each record of the files under a path (S1, S2); gzip and zstd files are read too. Files of
+    ``large`` bytes or more are streamed, a record at a time is held."""
+
+    def rows(_: str, source: Iterator[str]) -> Iterator[tuple]:
+        for chrom, organism, topology, seq, features in parse(source):
+            named = [
+                {"type": k, "locus_tag": t, "gene": g, "strand": s, "parts": [{"start": a, "end": b} for a, b in p]}
+                for k, t, g, s, p in features
+            ]
+            yield chrom, organism, topology, seq, named
+
+    return from_files(spark, path, rows, SCHEMA, ["chr", "organism", "topology", "seq", "features"], 1, large)
 
 
 def chromosomes(records: DataFrame) -> DataFrame:

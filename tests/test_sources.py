@@ -37,6 +37,36 @@ def test_fastx(spark, tmp_path):
     assert {r.bc for r in fastx.read_barcodes(spark, str(tmp_path / "c.fa")).collect()} == {"AC", "GT", "TT"}
 
 
+def test_large_files_are_streamed(spark, tmp_path):
+    with gzip.open(tmp_path / "a.fastq.gz", "wt") as f:
+        f.write("@x 1\nACGT\n+\nIIII\n@y\nTTTT\n+\nIIII\n")
+    with pa.output_stream(str(tmp_path / "b.reads.zst"), compression="zstd") as f:
+        f.write(b"GGGG\n" * 70_000)
+    (tmp_path / "c.fa").write_text(">p q\nAC\nGT\n>r\nTT\n")
+    (tmp_path / "d e.fa").write_text("")
+    for name in ("a.fastq.gz", "b.reads.zst", "c.fa", "d e.fa"):
+        path = str(tmp_path / name)
+        whole, streamed = fastx.read_fastx(spark, path), fastx.read_fastx(spark, path, large=0)
+        assert sorted(whole.collect()) == sorted(streamed.collect())
+    (tmp_path / "a.gb").write_text(RECORD)
+    whole, streamed = (genbank.read_genbank(spark, str(tmp_path / "a.gb"), large=n) for n in (1 << 20, 0))
+    assert whole.collect() == streamed.collect() and whole.count() == 1
+
+
+def test_qualifiers_with_slashes_and_over_lines():
+    gene = """     gene            1..8
+                     /note="see a/b, and
+                     /gene=nothing in a note, ""quoted"" too"
+                     /pseudo
+                     /gene="x/y"
+                     /gene="second"
+                     /locus_tag="L9"
+"""
+    text = RECORD.replace("     gene            complement(20..31)\n", gene + "     gene            complement(20..31)\n")
+    (record,) = genbank.parse(iter(text.splitlines()))
+    assert [(f[0], f[1], f[2]) for f in record[4]] == [("source", None, None), ("gene", "L1", "abc"), ("gene", "L9", "x/y"), ("gene", "L2", None)]
+
+
 def test_genbank(spark, tmp_path):
     (tmp_path / "a.gb").write_text(RECORD)
     records = genbank.read_genbank(spark, str(tmp_path / "a.gb"))
