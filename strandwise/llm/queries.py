@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprints, media, mixing, passages, pii, simhash, token_counts, toxicity
+from . import bpe, chat, cross_tokens, fingerprints, media, mixing, passages, pii, simhash, token_counts, toxicity
 from .common import read_table
 
 
@@ -15,6 +15,13 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def tokenizer_paths() -> tuple[str, str]:
+    """Where the vocabularies of the two tokenizers lie that are held against each other."""
+    import public_tokenizers
+
+    return vocabulary_path(), public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return fingerprints.op1_document_fingerprints(read_table(spark, sf_dir, "documents"))
@@ -71,6 +78,11 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.store(read_table(spark, sf_dir, "documents")))
 
 
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers lie on each other in every document."""
+    return cross_tokens.align_tokenizers(read_table(spark, sf_dir, "documents"), *tokenizer_paths())
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -85,6 +97,7 @@ QUERIES = {
         op8_pii,
         op9_toxicity,
         op10_media,
+        op12_cross_tokenizer,
     )
 }
 
