@@ -24,9 +24,9 @@ from .common import written
 
 #: Bytes of text that are worked at once (a longer text whole), pairs that a task counts before it sends them on, pairs in
 #: one row of partial counts, pairs that are broadcast in one round.
-SLICE, HELD, ROW, ROUND = 6 << 20, 2_000_000, 65_536, 2_000_000
+SLICE, HELD, ROW, ROUND = 3 << 20, 1_000_000, 65_536, 2_000_000
 #: Bits of an id in a pair, units that a worker keeps.
-BITS, KEPT = 20, 700_000
+BITS, KEPT = 20, 250_000
 FIGURES = ("n_a", "n_b", "n_groups", "n_links")
 
 #: What may stand behind an id in the text of groups.
@@ -273,7 +273,7 @@ def aligned(docs: DataFrame, vocabulary_path: str, model_path: str) -> DataFrame
     def run(batches):
         import duckdb
 
-        con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         store = Store(Pair.of(vocabulary, model), con)
         at, held = TaskContext.get().partitionId() << 33, []
         as_links = lambda offsets, pairs, times: pa.ListArray.from_arrays(
