@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, cross_tokens, fingerprints, media, mixing, passages, pii, simhash, token_counts, toxicity
+from . import bpe, chat, conversation_trie, cross_tokens, fingerprints, media, mixing, passages, pii, quality, simhash, token_counts, toxicity
 from .common import read_table
 
 
@@ -78,11 +78,21 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.store(read_table(spark, sf_dir, "documents")))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    return quality.op11_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the tokens of two tokenizers lie on each other in every document."""
     return cross_tokens.align_tokenizers(read_table(spark, sf_dir, "documents"), *tokenizer_paths())
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of all rebuilt conversations."""
+    return conversation_trie.conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -97,7 +107,9 @@ QUERIES = {
         op8_pii,
         op9_toxicity,
         op10_media,
+        op11_quality,
         op12_cross_tokenizer,
+        op13_conversation_trie,
     )
 }
 
@@ -105,4 +117,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_mix_sources": mixing.ORACLE_SQL,
     "op3_training_positions": mixing.POSITIONS_SQL,
     "op4_chat_format": chat.ORACLE_SQL,
+    "op13_conversation_trie": conversation_trie.ORACLE_SQL,
 }
