@@ -20,8 +20,8 @@ from .bpe import slices
 
 WIDTH, STEP = 48, 32
 WORDS, GRAMS, SIZE, HIDDEN = 1 << 14, 1 << 13, 12, 8
-#: Bounds of training: documents of each label, windows of one document in an epoch (drawn anew each time), epochs.
-PER_CLASS, BAG, EPOCHS = 400, 32, 10
+#: Bounds of training: documents of each label, epochs.
+PER_CLASS, EPOCHS = 400, 10
 #: Against learning single words by heart: share of words whose own vector is left out of a step (their trigrams stay),
 #: decay of the parameters; the rate of learning falls to nothing along a cosine in the second half.
 DROPPED, DECAY, RATE = 0.5, 1.0, 0.012
@@ -32,21 +32,23 @@ KEPT, BATCH = 300_000, 2048
 
 def word_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each word's row of the word table; the rows of all words' trigrams and where each word's begin."""
-    raw = [b"^" + w.encode("utf-8", "replace") + b"$" for w in words]
+    raw = [b"^" + w.encode("utf-8", "replace") + b"$\0\0" for w in words]
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     data = np.frombuffer(b"".join(raw) + b"\0\0", np.uint8).astype(np.uint32)
     ends = np.cumsum(sizes)
     starts = ends - sizes
+    own = np.ones(len(data) - 2, bool)  # what begins at the padding of a word would reach into the next
+    own[ends - 1] = own[ends - 2] = False
     with np.errstate(over="ignore"):
         mixed = (data[:-2] * np.uint32(0x9E3779B1)) ^ (data[1:-1] * np.uint32(0x85EBCA77)) ^ (data[2:] * np.uint32(0xC2B2AE3D))
-        mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D) * own
         grams = (mixed >> np.uint32(8)).astype(np.int64) % GRAMS
         place = (np.arange(len(mixed)) - np.repeat(starts, sizes) + 1).astype(np.uint32)
         whole = np.add.reduceat(mixed * (place * np.uint32(0x27D4EB2F) | np.uint32(1)), starts)
-    inside = np.ones(len(mixed), bool)  # a trigram begins at all but the last two bytes of a word
-    inside[ends - 1] = inside[np.maximum(ends - 2, 0)] = False
-    counts = np.maximum(sizes - 2, 0)
-    # "^$" has no trigram: it gets the one of its two bytes
+    inside = own.copy()  # a trigram begins at all but the last two signs of a word
+    inside[ends - 3] = inside[ends - 4] = False
+    counts = sizes - 4
+    # "^$" has no trigram: it gets the one of its two signs and the padding
     none = counts == 0
     inside[starts[none]] = True
     counts[none] = 1
@@ -200,7 +202,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed: int = 1) -> Network:
-    """A network fitted to whole texts; in an epoch, at most BAG windows of a text are drawn from all of its windows."""
+    """A network fitted to whole texts, all windows of each."""
     net, rng = Network(seed), np.random.default_rng(seed)
     net.rng = np.random.default_rng(seed + 1)
     ids: dict[str, int] = {"": 0}
@@ -215,8 +217,6 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed
             part, index, doc = order[at : at + 24], [], []
             for k, i in enumerate(part):
                 starts = windows(len(docs[i]))
-                if len(starts) > BAG:
-                    starts = np.sort(rng.choice(starts, BAG, replace=False))
                 for a in starts:
                     piece = docs[i][a : a + WIDTH]
                     index.append(np.pad(piece, (0, WIDTH - len(piece)), constant_values=-1))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandwise.llm import quality, queries
+from strandwise.llm import quality, queries, toxicity
 from strandwise.llm.common import read_table
 
 TEXTS = ["one two three", "", None, "A " * 500, "Señor !! §§ 12 12 12", " \n\t", "x" * 5000]
@@ -81,3 +81,12 @@ def test_odd_rows(spark):
     odd = spark.createDataFrame([(0, 1, 0), (0, 0, 0), (None, 1, 0), (3, None, 0)], none.schema)
     assert quality.op11_quality(docs, none).count() == quality.op11_quality(docs, odd).count() == len(rows)
     assert quality.op11_quality(docs.limit(0), odd).count() == 0
+
+
+def test_hashes_of_a_word_stand_alone():
+    words = ["", "a", "ab", "cat", "café", "", "中"]
+    rows, grams, firsts = toxicity.word_hashes(words)
+    for i, word in enumerate(words):
+        row, own, first = toxicity.word_hashes([word])
+        assert rows[i] == row[0] and first.tolist() == [0] and len(own) == max(1, len(word.encode()))
+        assert grams[firsts[i] :][: len(own)].tolist() == own.tolist()
