@@ -21,7 +21,7 @@ FASTA, FASTQ = (".fasta", ".fa", ".fna"), (".fastq", ".fq")
 
 def kind_of(path: str) -> str:
     """fasta, fastq or reads, from the suffix below that of the compression."""
-    name = path.lower().removesuffix(".gz").removesuffix(".zst")
+    name = path.lower().removesuffix(".gz").removesuffix(".bgz").removesuffix(".zst")
     for kind, suffixes in (("fasta", FASTA), ("fastq", FASTQ), ("reads", (".reads",))):
         if name.endswith(suffixes):
             return kind
@@ -41,7 +41,7 @@ def stream(path: str):
 def lines(path: str, content: bytes | None = None) -> Iterator[str]:
     """Lines of a file, given whole or streamed from its path, decompressed as they are read."""
     raw: io.BufferedIOBase = stream(path) if content is None else io.BytesIO(content)
-    if path.lower().endswith(".gz"):
+    if path.lower().endswith((".gz", ".bgz")):
         raw = gzip.open(raw)
     elif path.lower().endswith(".zst"):
         import pyarrow as pa
@@ -74,7 +74,7 @@ def records(kind: str, source: Iterator[str]) -> Iterator[tuple[str | None, str,
     if kind == "reads":
         yield from ((None, line, None) for line in source)
     elif kind == "fastq":
-        for head in source:
+        for head in filter(None, source):
             seq, _, qual = next(source, ""), next(source, ""), next(source, None)
             yield head[1:].split(" ")[0], seq, qual
     else:
@@ -105,12 +105,20 @@ def read_fastx(spark: SparkSession, path: str, kind: str | None = None, large: i
 
 
 def read_barcodes(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct barcodes (bc) of a FASTA file, each line that isn't a header being one (S4); gzip files are read too."""
-    text = spark.read.text(path).select(F.upper(F.trim("value")).alias("bc"))
-    return text.where(~F.col("bc").startswith(">") & (F.col("bc") != "")).distinct()
+    """Distinct barcodes (bc) of FASTA files, each line that isn't a header being one (S4); gzip and zstd files are read
+    too, another suffix than that of FASTA is an error."""
+
+    def rows(name: str, source: Iterator[str]) -> Iterator[tuple]:
+        if kind_of(name) != "fasta":
+            raise ValueError(f"no FASTA file: {name}")
+        return ((line,) for line in source if not line.startswith(">"))
+
+    found = from_files(spark, path, rows, "value string", ["value"], 65_536, LARGE)
+    return found.select(F.upper(F.trim("value")).alias("bc")).where("bc != ''").distinct()
 
 
 def paired(first: DataFrame, second: DataFrame) -> DataFrame:
-    """(row_idx, r1, r2) of two read files, as far as both go."""
-    mate = second.select("row_idx", F.col("seq").alias("r2"))
-    return first.select("row_idx", F.col("seq").alias("r1")).join(mate, "row_idx")
+    """(row_idx, r1, r2) of the read files of two mates, lane by lane, as far as both go."""
+    from ..operators.distill import zip_reads
+
+    return zip_reads([first, second])
