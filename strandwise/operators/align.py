@@ -13,43 +13,68 @@ from ..functions import seq as S
 from .scan import windows
 
 
-def align(guides: DataFrame, chrom: DataFrame, length: int, mismatches: int = 0, flank: int = 0) -> DataFrame:
-    """(spacer, chr, len, start, end, strand, nm, target, before, after): each place where a guide of ``length`` bases
-    lies on either strand with at most ``mismatches`` substitutions (J4).
+def spans_of(length: int, blocks: int) -> list[tuple[int, int]]:
+    """Where the blocks of a guide begin and end."""
+    edges = [length * i // blocks for i in range(blocks + 1)]
+    return list(zip(edges, edges[1:], strict=False))
+
+
+def lengths_of(guides: DataFrame) -> list[int]:
+    """The lengths of guides, of which there are few; empty guides don't count."""
+    return sorted(r.n for r in guides.select(F.length("spacer").alias("n")).where("n > 0").distinct().collect())
+
+
+def align(guides: DataFrame, chrom: DataFrame, length: int | list[int] | None = None, mismatches: int = 0, flank: int = 0) -> DataFrame:
+    """(spacer, chr, len, start, end, strand, nm, target, before, after): each place where a guide lies on either strand
+    with at most ``mismatches`` substitutions (J4).
 
     target reads in the guide's direction. On a circle, end may lie beyond the chromosome's length. All places are
-    returned; guides of other lengths are left out, so a mixed set is aligned once for each length.
+    returned. length: of the guides, or several; None: those that they have. Guides of all lengths are aligned in one
+    pass over the chromosomes' tiles, each as if it were aligned with its like alone; another length than said is an error.
     """
-    own = guides.select(F.upper("spacer").alias("spacer")).where(F.length("spacer") == length).distinct()
+    own = guides.select(F.upper("spacer").alias("spacer")).where("length(spacer) > 0")
+    sizes = sorted({length} if isinstance(length, int) else set(length) if length is not None else lengths_of(own))
+    if not sizes:  # no guides: the same columns without rows
+        sizes = [1]
+    other = F.raise_error(F.concat(F.lit(f"guides must have {sizes} bases: "), F.col("spacer"))).cast("string")
+    own = own.select(F.when(F.length("spacer").isin(sizes), F.col("spacer")).otherwise(other).alias("spacer")).distinct()
     strands = F.array(
         F.struct(F.lit("F").alias("strand"), F.col("spacer").alias("read")),
         F.struct(F.lit("R").alias("strand"), S.rev_comp("spacer").alias("read")),
     )
     own = own.select("spacer", F.explode(strands).alias("s")).select("spacer", "s.*")
-    found = windows(chrom, length, flank)
+    found = windows(chrom, sizes, flank)
     if mismatches == 0:
         hits = found.join(own, found["window"] == own["read"]).withColumn("nm", F.lit(0))
     else:
-        edges = [length * i // (mismatches + 1) for i in range(mismatches + 2)]
-        spans = list(zip(edges, edges[1:], strict=False))
+
+        def by_size(text: str, made):
+            """What ``made`` gives for the blocks of a text's length."""
+            each = [F.when(F.length(text) == n, made(spans_of(n, mismatches + 1))) for n in sizes]
+            return made(spans_of(sizes[0], mismatches + 1)) if len(sizes) == 1 else F.coalesce(*each)
 
         def blocks(text: str):
-            return F.posexplode(F.array(*(F.substring(text, a + 1, b - a) for a, b in spans)))
+            return F.posexplode(by_size(text, lambda spans: F.array(*(F.substring(text, a + 1, b - a) for a, b in spans)))).alias("block", "seed")
+
+        def first_equal(spans):
+            equal = [F.substring("window", a + 1, b - a) == F.substring("read", a + 1, b - a) for a, b in spans]
+            return F.coalesce(*(F.when(e, i) for i, e in enumerate(equal)))
 
-        own = own.select("*", blocks("read").alias("block", "seed"))
-        seeded = found.select("*", blocks("window").alias("block", "seed"))
-        hits = seeded.join(own, ["block", "seed"])
-        equal = [F.substring("window", a + 1, b - a) == F.substring("read", a + 1, b - a) for a, b in spans]
-        first = F.coalesce(*(F.when(e, i) for i, e in enumerate(equal)))
+        own = own.select("*", F.length("read").alias("_size"), blocks("read"))
+        seeded = found.select("*", blocks("window"))
+        if len(sizes) == 1:
+            hits = seeded.join(own, ["block", "seed"])
+        else:
+            hits = seeded.withColumn("_size", F.length("window")).join(own, ["_size", "block", "seed"])
         # a place is taken from its first matching block only, so no distinct is needed
-        hits = hits.where(first == F.col("block")).withColumn("nm", S.hamming("window", "read"))
+        hits = hits.where(by_size("window", first_equal) == F.col("block")).withColumn("nm", S.hamming("window", "read"))
         hits = hits.where(F.col("nm") <= mismatches)
     return hits.select(
         "spacer",
         "chr",
         "len",
         "start",
-        (F.col("start") + length).alias("end"),
+        (F.col("start") + F.length("window")).alias("end"),
         "strand",
         "nm",
         S.oriented("window", "strand").alias("target"),

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .running import running
+
 WIDTH = 4_096
 
 
@@ -42,6 +44,34 @@ def overlap_join(
     return both.drop("_bin", "_with", "_chr")
 
 
+def ring_join(
+    left: DataFrame, right: DataFrame, chrom: DataFrame, left_range, right_range, how: str = "inner", width: int = WIDTH, longest: int | None = None
+) -> DataFrame:
+    """The same on chromosomes of which some are circles: ranges may begin before or end behind the origin.
+
+    chrom: (chr, len, circular). On a circle, a left range is moved to where it begins within it, and the right side stands
+    where it begins and once more a length before or behind, as far as a left range can reach it. Adds ``shift``, what is
+    added to the right range to lie where the left range is, as given, and ``ring``, the circle's length (null on lines).
+    A pair that meets on both sides of a circle is one row, that of the first meeting. A right range longer than its
+    circle counts as long as it.
+    """
+    (ls, le), (rs, re) = (tuple(map(F.col, x)) for x in (left_range, right_range))
+    rings = chrom.where("circular").select("chr", F.col("len").cast("bigint").alias("_ring"))
+    if longest is None:
+        longest = max(1, left.agg(F.max(le - ls)).first()[0] or 0)
+    at = lambda x: F.when(F.col("_ring").isNotNull(), F.pmod(x, F.col("_ring"))).otherwise(x)
+    a = left.join(rings, "chr", "left").withColumn("_ls", at(ls)).withColumn("_le", F.col("_ls") + (le - ls)).withColumnRenamed("_ring", "ring")
+    b = right.join(rings, "chr", "left").withColumn("_rs", at(rs)).withColumn("_re", F.col("_rs") + F.least(re - rs, "_ring"))
+    before = F.when(F.col("_re") > F.col("_ring"), -F.col("_ring"))
+    behind = F.when(F.col("_rs") < longest, F.col("_ring"))
+    b = b.withColumn("_by", F.explode(F.array_compact(F.array(F.lit(0).cast("bigint"), before, behind))))
+    b = b.withColumns({"_rs": F.col("_rs") + F.col("_by"), "_re": F.col("_re") + F.col("_by"), "_moved": F.col("_rs") + F.col("_by") - rs}).drop("_by", "_ring")
+    both = overlap_join(a, b, ("_ls", "_le"), ("_rs", "_re"), how, width, longest)
+    first = F.col("ring").isNull() | F.col("_rs").isNull() | (F.col("_re") - F.col("ring") <= F.col("_ls"))
+    both = both.where(first).withColumn("shift", F.col("_moved") - (F.col("_ls") - ls))
+    return both.drop("_ls", "_le", "_rs", "_re", "_moved")
+
+
 def promoter_windows(features: DataFrame, up: int = 205, down: int = 95) -> DataFrame:
     """Features with window_start and window_end around their beginning, in which a target counts as upstream.
 
@@ -64,19 +94,15 @@ def overlapping_genes(features: DataFrame) -> DataFrame:
 
 
 def ambiguous_coordinates(features: DataFrame) -> DataFrame:
-    """(chr, bases) covered by more than one feature, by a sweep over starts and ends instead of single bases (AG9)."""
-    from pyspark.sql import Window
-
-    edges = features.select(
-        "chr",
-        F.explode(
-            F.array(
-                F.struct(F.col("feature_start").alias("at"), F.lit(1).alias("step")),
-                F.struct(F.col("feature_end").alias("at"), F.lit(-1).alias("step")),
-            )
-        ).alias("e"),
-    )
+    """(chr, bases) covered by more than one feature, by a sweep over starts and ends instead of single bases (AG9).
+
+    Each place where the depth rises above one counts against, and each where it falls back for, the bases; the depth is a
+    running sum over ranges of places, so that a chromosome of very many features is the work of many tasks.
+    """
+    edge = lambda at, step: F.struct(F.col(at).alias("at"), F.lit(step).alias("step"))
+    edges = features.select("chr", F.explode(F.array(edge("feature_start", 1), edge("feature_end", -1))).alias("e"))
     steps = edges.groupBy("chr", F.col("e.at").alias("at")).agg(F.sum("e.step").alias("step"))
-    along = Window.partitionBy("chr").orderBy("at")
-    swept = steps.withColumns({"depth": F.sum("step").over(along), "next": F.lead("at").over(along)})
-    return swept.where("depth > 1").groupBy("chr").agg(F.sum(F.col("next") - F.col("at")).alias("bases"))
+    swept = running(steps, ["chr"], ["at"], {"depth": F.col("step")})
+    deep = lambda depth: F.when(depth > 1, F.col("at")).otherwise(0)
+    bases = F.sum(deep(F.col("depth") - F.col("step")) - deep(F.col("depth")))
+    return swept.groupBy("chr").agg(bases.alias("bases")).where("bases > 0")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import seq as S
 from ..lineage import cut
-from .align import align
-from .intervals import overlap_join
+from .align import align, lengths_of
+from .intervals import overlap_join, ring_join
 
 
 def sites(aligned: DataFrame) -> DataFrame:
@@ -57,21 +57,33 @@ def drop_untargeted(rows: DataFrame) -> DataFrame:
     return targeted.unionByName(idle.join(targeted.select("spacer").distinct(), "spacer", "left_anti"))
 
 
-def with_genes(rows: DataFrame, features: DataFrame, by: tuple[str, str] = ("feature_start", "feature_end"), longest: int = 1_000) -> DataFrame:
+def with_genes(
+    rows: DataFrame, features: DataFrame, by: tuple[str, str] = ("feature_start", "feature_end"), longest: int = 1_000, rings: DataFrame | None = None
+) -> DataFrame:
     """Each site with each gene that it overlaps, offset, overlap and the gene's direction; once with nulls if none.
 
     by: the columns of the range in which a site belongs to a gene; offset and overlap refer to the gene's own. longest:
-    the most bases that a site has.
+    the most bases that a site has. rings: (chr, len, circular), if genes are to be met across the origin of circles too.
     """
-    joined = overlap_join(rows, features, ("tar_start", "tar_end"), by, "left", longest=longest)
+    start, end = F.col("feature_start"), F.col("feature_end")
+    if rings is None:
+        joined = overlap_join(rows, features, ("tar_start", "tar_end"), by, "left", longest=longest)
+        overlap = S.overlap("tar_start", "tar_end", start, end)
+    else:
+        joined = ring_join(rows, features, rings, ("tar_start", "tar_end"), by, "left", longest=longest)
+        start, end = ((x + F.col("shift")).cast("int") for x in (start, end))
+        # a gene nearly as long as its circle may meet a site with both ends
+        overlap = S.overlap("tar_start", "tar_end", start, end)
+        again = S.overlap("tar_start", "tar_end", start + F.col("ring"), end + F.col("ring"))
+        overlap = overlap + F.when(F.col("ring").isNotNull(), again).otherwise(0)
     joined = joined.withColumn("tar_dir", S.strand_letter("strand"))
     return joined.withColumns(
         {
             "gene": S.gene_name("gene", "locus_tag"),
-            "offset": S.offset("tar_dir", "tar_start", "tar_end", "feature_start", "feature_end"),
-            "overlap": F.when(F.col("locus_tag").isNotNull(), S.overlap("tar_start", "tar_end", "feature_start", "feature_end")),
+            "offset": S.offset("tar_dir", "tar_start", "tar_end", start, end),
+            "overlap": F.when(F.col("locus_tag").isNotNull(), overlap.cast("int")),
         }
-    ).drop("strand", "feature_start", "feature_end", *({*by} - {"feature_start", "feature_end"}))
+    ).drop("strand", "feature_start", "feature_end", "shift", "ring", *({*by} - {"feature_start", "feature_end"}))
 
 
 def notes(rows: DataFrame, counts: DataFrame | None = None, place: str = "", idle: str = "non-targeting") -> DataFrame:
@@ -97,27 +109,33 @@ def map_targets(
     guides: DataFrame,
     chrom: DataFrame,
     features: DataFrame,
-    length: int = 20,
+    length: int | list[int] | None = 20,
     pam: str = "NGG",
     mismatches: int = 0,
     direction: str = "downstream",
     out_of_bounds: str = "demote",
+    circular: str = "strict",
     by: tuple[str, str] = ("feature_start", "feature_end"),
     **wording: str,
 ) -> DataFrame:
     """Every target of every guide with its genes, and a note on each guide: the whole mapping flow.
 
-    guides: (spacer) or (name, spacer); chrom: (chr, seq, len, circular); features: (chr, locus_tag, gene,
+    length: of the guides, or several, or None for those that they have; a guide of another length is an error. circular:
+    "strict" joins genes by the places that sites have, "full" also across the origin of circles. guides: (spacer) or
+    (name, spacer); chrom: (chr, seq, len, circular); features: (chr, locus_tag, gene,
     feature_start, feature_end, strand). Guides without a target have one row of nulls; with out_of_bounds "drop", those
     whose only sites were dropped have none. The genome is scanned once: sites, then sites with genes, are checkpointed.
     """
     own = guides.select(F.upper("spacer").alias("spacer")).distinct()
+    length = lengths_of(own) if length is None else [length] if isinstance(length, int) else list(length)
+    if circular not in ("strict", "full"):
+        raise ValueError(f"circular is strict or full: {circular}")
     found = cut(sites(align(guides, chrom, length, mismatches, len(pam))))
     gated = gate_by_pam(found, pam, direction, out_of_bounds)
     missing = own.join(found.select("spacer").distinct(), "spacer", "left_anti")
     blank = missing.select(*(F.col(c) if c == "spacer" else F.lit(None).cast(gated.schema[c].dataType).alias(c) for c in gated.columns))
     rows = drop_untargeted(gated.unionByName(blank))
-    rows = cut(with_genes(rows, features, by, length).dropDuplicates())
+    rows = cut(with_genes(rows, features, by, max(length, default=1), chrom if circular == "full" else None).dropDuplicates())
     counts = guides.select("name", F.upper("spacer").alias("spacer")) if "name" in guides.columns else None
     return rows.join(notes(rows, counts, **wording), "spacer")
 

@@ -6,56 +6,82 @@ large tiles are dealt out to all tasks, windows come from the small tiles.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
+from .running import running
 
 LARGE, SMALL = 65_536, 1_024
 
 
 def _padded(before: int, after: int) -> Column:
-    """Sequence with ``before`` and ``after`` bases around it: its own on a circle, dashes on a line."""
+    """Sequence with ``before`` and ``after`` bases around it: its own on a circle (as often as it takes), dashes on a line."""
     seq = F.upper("seq")
-    around = F.concat(F.right(seq, F.lit(before)), seq, F.left(seq, F.lit(after)))
+    again = lambda n: F.repeat(seq, F.ceil(F.lit(n) / F.length(seq)).cast("int"))
+    around = F.concat(F.right(again(before), F.lit(before)), seq, F.left(again(after), F.lit(after)))
     return F.when(F.col("circular"), around).otherwise(F.concat(F.lit("-" * before), seq, F.lit("-" * after)))
 
 
-def windows(chrom: DataFrame, length: int, flank: int = 0) -> DataFrame:
-    """(chr, len, circular, start, window, before, after): every window of a chromosome and the bases around it.
-
-    chrom: (chr, seq, len, circular). Windows of a circle go on across its origin, those of a line end within it; bases
-    before or after that lie off a line are dashes. A chromosome shorter than a window and its flanks has no windows.
-    """
-    halo = length + 2 * flank - 1
-    last = F.when(F.col("circular"), F.col("len") - 1).otherwise(F.col("len") - length)
+def tiled(chrom: DataFrame, least: int, longest: int, flank: int) -> DataFrame:
+    """(chr, len, circular, _first, _bases, _ends): tiles as bytes, dealt out to all tasks, the place of each one's first
+    window, and how many windows but one begin in it; windows of ``least`` bases or more begin in all of them."""
+    halo = longest + 2 * flank - 1
+    last = F.when(F.col("circular"), F.col("len") - 1).otherwise(F.col("len") - least)
     # bytes: a piece of a string would be found by walking from its start
-    long = chrom.where(F.col("len") >= length + flank).select(
-        "chr", "len", "circular", last.alias("_last"), F.lit(0).alias("_first"), _padded(flank, halo - flank).cast("binary").alias("_all")
+    long = chrom.where(F.col("len") >= least + flank).select(
+        "chr", "len", "circular", last.alias("_last"), F.lit(0).alias("_first"), _padded(flank, halo - flank).cast("binary").alias("_bases")
     )
     for size in (LARGE, SMALL):
-        places = F.sequence(F.lit(0), F.greatest(F.octet_length("_all") - 1 - halo, F.lit(0)), F.lit(size))
-        piece = lambda at: F.struct(at.alias("at"), F.substring("_all", at + 1, F.lit(size + halo)).alias("bases"))  # noqa: B023, E731
+        places = F.sequence(F.lit(0), F.greatest(F.octet_length("_bases") - 1 - halo, F.lit(0)), F.lit(size))
+        piece = lambda at: F.struct(at.alias("at"), F.substring("_bases", at + 1, F.lit(size + halo)).alias("bases"))  # noqa: B023, E731
         tiles = long.select("chr", "len", "circular", "_last", "_first", F.explode(F.transform(places, piece)).alias("_t"))
-        long = tiles.select("chr", "len", "circular", "_last", (F.col("_first") + F.col("_t.at")).alias("_first"), F.col("_t.bases").alias("_all"))
+        long = tiles.select("chr", "len", "circular", "_last", (F.col("_first") + F.col("_t.at")).alias("_first"), F.col("_t.bases").alias("_bases"))
         if size == LARGE:  # a chromosome's tiles are work for many tasks
             long = long.repartition(int(chrom.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chr", "_first")
-    long = long.withColumn("_all", F.col("_all").cast("string"))
-    ends = F.least(F.length("_all") - 1 - halo, F.lit(SMALL - 1), F.col("_last") - F.col("_first"))
-    long = long.where(ends >= 0).withColumn("_at", F.explode(F.sequence(F.lit(0), ends)))
-    whole = F.substring("_all", F.col("_at") + 1, F.lit(length + 2 * flank))
-    out = long.select("chr", "len", "circular", (F.col("_first") + F.col("_at")).alias("start"), whole.alias("_w"))
+    ends = F.least(F.octet_length("_bases") - 1 - halo, F.lit(SMALL - 1), F.col("_last") - F.col("_first"))
+    return long.select("chr", "len", "circular", "_first", "_bases", ends.alias("_ends")).where("_ends >= 0")
+
+
+def windows(chrom: DataFrame, length: int | list[int], flank: int = 0) -> DataFrame:
+    """(chr, len, circular, start, window, before, after): every window of a chromosome and the bases around it.
+
+    chrom: (chr, seq, len, circular). length: one, or several, each of which gives windows of its own from the same tiles. Windows of
+    a circle go on across its origin, those of a line end within it; bases before or after that lie off a line are
+    dashes. A chromosome shorter than a window and its flanks has no windows.
+    """
+    sizes = [length] if isinstance(length, int) else sorted(set(length))
+    long = tiled(chrom, sizes[0], sizes[-1], flank).withColumn("_at", F.explode(F.sequence(F.lit(0), "_ends")))
+    slice_of = lambda first, n: F.substring("_bases", first, n).cast("string")
+    start = (F.col("_first") + F.col("_at")).alias("start")
+    if len(sizes) == 1:
+        size = F.lit(sizes[0])
+        out = long
+    else:
+        size = F.col("_size")
+        out = long.withColumn("_size", F.explode(F.array(*map(F.lit, sizes))))
+        out = out.where((F.col("len") >= size + flank) & (F.col("circular") | (F.col("_first") + F.col("_at") + size <= F.col("len"))))
     return out.select(
         "chr",
         "len",
         "circular",
-        "start",
-        F.substring("_w", flank + 1, length).alias("window"),
-        F.substring("_w", 1, flank).alias("before"),
-        F.substring("_w", flank + length + 1, flank).alias("after"),
+        start,
+        slice_of(F.col("_at") + flank + 1, size).alias("window"),
+        slice_of(F.col("_at") + 1, F.lit(flank)).alias("before"),
+        slice_of(F.col("_at") + flank + 1 + size, F.lit(flank)).alias("after"),
     )
 
 
+def _has(first: Column, pattern: str) -> Column:
+    """Whether the bytes of a tile from a place on have the bases of a pattern, N standing for any."""
+    ok = F.lit(True)
+    for run in re.finditer("[^N]+", pattern):
+        ok = ok & (F.substring("_bases", first + run.start(), F.lit(len(run[0]))) == F.lit(run[0].encode()))
+    return ok
+
+
 def guide_sites(chrom: DataFrame, length: int, pam: str, direction: str = "downstream") -> DataFrame:
     """(chr, start, strand F or R, spacer, pam) of every place next to a PAM, overlaps included (G1).
 
@@ -63,16 +89,27 @@ def guide_sites(chrom: DataFrame, length: int, pam: str, direction: str = "downs
     left out.
     """
     k = len(pam)
-    found = windows(chrom, length, k)
     pams = F.array(
         F.struct(F.lit("F").alias("strand"), F.col("window").alias("spacer"), S.extract_pam("before", "after", F.lit("F"), direction).alias("pam")),
         F.struct(F.lit("R").alias("strand"), S.rev_comp("window").alias("spacer"), S.extract_pam("before", "after", F.lit("R"), direction).alias("pam")),
     )
-    ahead, back = ("after", "before") if direction == "downstream" else ("before", "after")
-    pattern = S.pam_pattern(pam, "[ATGC]")
-    reverse = "".join({"A": "T", "T": "A", "G": "C", "C": "G"}.get(b, "[ATGC]") for b in reversed(pam.upper()))
-    near = F.col(ahead).rlike(rf"\A{pattern}") | F.col(back).rlike(rf"\A{reverse}")
-    sites = found.where(near & S.is_dna("window")).select("chr", "len", "circular", "start", F.explode(pams).alias("s"))
+    # the PAM's own bases, on either strand, are looked for among bytes before any text is cut
+    tiles = tiled(chrom, length, length, k).withColumn("_at", F.explode(F.sequence(F.lit(0), "_ends")))
+    reverse = "".join({"A": "T", "T": "A", "G": "C", "C": "G"}.get(b, "N") for b in reversed(pam.upper()))
+    at_end, at_start = F.col("_at") + k + length + 1, F.col("_at") + 1
+    ahead, back = (at_end, at_start) if direction == "downstream" else (at_start, at_end)
+    near = _has(ahead, pam.upper()) | _has(back, reverse)
+    slice_of = lambda first, n: F.substring("_bases", first, F.lit(n)).cast("string")
+    found = tiles.where(near).select(
+        "chr",
+        "len",
+        "circular",
+        (F.col("_first") + F.col("_at")).alias("start"),
+        slice_of(F.col("_at") + k + 1, length).alias("window"),
+        slice_of(at_start, k).alias("before"),
+        slice_of(at_end, k).alias("after"),
+    )
+    sites = found.where(S.is_dna("window")).select("chr", "len", "circular", "start", F.explode(pams).alias("s"))
     sites = sites.select("chr", "len", "circular", "start", "s.*").where(S.pam_matches(pam, "pam", "[ATGC]") & S.is_dna("pam"))
     if direction == "upstream":
         rest = F.when(F.col("strand") == "F", F.col("start") <= F.col("len") - length - k).otherwise(F.col("start") >= k)
@@ -96,8 +133,7 @@ def pam_sites(chrom: DataFrame, length: int, pam: str) -> DataFrame:
     k = len(pam)
     gaps = F.transform(F.split("s", S.pam_pattern(pam, "[ATCG]"), -1), F.length)
     gaps = strands.select("chr", "strand", F.posexplode(F.slice(gaps, 1, F.size(gaps) - 1)).alias("n", "gap"))
-    upto = Window.partitionBy("chr", "strand").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    ends = gaps.select("chr", "strand", (F.sum("gap").over(upto) + F.col("n") * k).cast("int").alias("end"))
+    ends = running(gaps, ["chr", "strand"], ["n"], {"upto": F.col("gap")}).select("chr", "strand", (F.col("upto") + F.col("n") * k).cast("int").alias("end"))
     raw = F.col("s").cast("binary")
     tile = lambda t: F.struct(t.alias("tile"), F.substring(raw, F.greatest(t * SMALL - length, F.lit(0)) + 1, F.lit(SMALL + length)).alias("bases"))
     tiles = strands.select("chr", "strand", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.length("s") / SMALL).cast("int")), tile)).alias("t"))

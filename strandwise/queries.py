@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions import seq as S
 from .lineage import cut
 from .operators import align, counting, design, distill, intervals, library, mapping, mismatch, report, scan
+from .operators.running import running
 from .plans import flows
 from .plans.fixtures import LEFT, RIGHT, duckdb_ctes, view
 from .sources import sinks
@@ -702,3 +703,122 @@ def barcode_counts_mates(spark, sf_dir):
     pairs = view(spark, sf_dir, "reads").withColumn("r2", S.rev_comp(other))
     back = [str(x).translate(str.maketrans("ACGT", "TGCA"))[::-1] for x in (RIGHT, LEFT)]
     return counting.count_paired(pairs, spark.table("library"), (0, 0), LENGTH, (LEFT, RIGHT, *back))
+
+
+#: Guides of 19 to 21 bases from each chromosome, their windows of any of these lengths with three bases around.
+SIZED = f"""sized AS (SELECT DISTINCT substring(seq, 101, CAST(19 + chr % 3 AS INT)) AS spacer FROM chrom),
+p AS (SELECT chr, len, circular, CASE WHEN circular THEN right(seq, 3) || seq || left(seq, 23) ELSE '---' || seq || repeat('-', 23) END AS p FROM chrom),
+t AS (SELECT *, unnest(range(0, len, 512)) AS t FROM p), q AS (SELECT chr, len, circular, t, substring(p, t + 1, 540) AS q FROM t),
+c AS (SELECT chr, len, circular, t + i AS s, substring(q, i + 1, 27) AS x FROM (SELECT *, unnest(range(least(512, len - t))) AS i FROM q)),
+win AS (SELECT chr, len, CAST(s AS INT) AS s, n, left(x, 3) AS bef, substring(x, 4, n) AS w, substring(x, 4 + n, 3) AS aft
+  FROM c, (VALUES (19), (20), (21)) z(n) WHERE circular OR s <= len - n),
+g AS (SELECT spacer, length(spacer) AS n, 'F' AS strand, spacer AS r FROM sized UNION ALL SELECT spacer, length(spacer), 'R', {rc("spacer")} FROM sized)"""
+
+
+@query(
+    f"""WITH {SIZED} SELECT DISTINCT spacer, chr, s AS "start", CAST(s + n AS INT) AS "end", strand, CAST(hamming(w, r) AS INT) AS nm, bef AS "before", aft AS "after" FROM (
+  SELECT win.*, g.spacer, strand, r FROM win JOIN g ON g.n = win.n AND left(w, 9) = left(r, 9)
+  UNION ALL SELECT win.*, g.spacer, strand, r FROM win JOIN g ON g.n = win.n AND right(w, 10) = right(r, 10)) x WHERE hamming(w, r) <= 1""",
+    ("chrom",),
+)
+def mixed_length_targets(spark, sf_dir):
+    """Places of guides of 19 to 21 bases with at most one mismatch, in one pass."""
+    chrom = view(spark, sf_dir, "chrom")
+    sized = chrom.select(F.expr("substring(seq, 101, CAST(19 + chr % 3 AS INT))").alias("spacer")).distinct()
+    return align.align(sized, chrom, None, 1, 3).select("spacer", "chr", "start", "end", "strand", "nm", "before", "after")
+
+
+#: Guides over, before and behind the origins of circles, and features of which one in three lies over an origin.
+RINGS = f"""guide AS (SELECT DISTINCT substring(seq || left(seq, 40), len + k, 20) AS spacer FROM chrom, (VALUES (-29), (-9), (2), (15)) z(k) WHERE circular),
+ring AS (SELECT f.chr, f.locus_tag, f.gene, CASE WHEN c.circular AND feature_start % 3 = 0 THEN c.len - 1 - feature_start % 40 ELSE feature_start END AS feature_start,
+    CASE WHEN c.circular AND feature_start % 3 = 0 THEN c.len + 60 - feature_start % 40 ELSE feature_end END AS feature_end, f.strand, c.len, c.circular
+  FROM feature f JOIN chrom c ON c.chr = f.chr),
+{ALIGNED}"""
+
+
+def _rings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Guides, chromosomes and features of RINGS."""
+    chrom = view(spark, sf_dir, "chrom")
+    places = F.explode(F.array(*(F.lit(k) for k in (-29, -9, 2, 15)))).alias("k")
+    guide = chrom.where("circular").select("seq", "len", places).select(F.expr("substring(concat(seq, left(seq, 40)), len + k, 20)").alias("spacer")).distinct()
+    over = F.col("circular") & (F.col("feature_start") % 3 == 0)
+    near = F.col("len") - F.col("feature_start") % 40
+    moved = {"feature_start": F.when(over, near - 1).otherwise(F.col("feature_start")), "feature_end": F.when(over, near + 60).otherwise(F.col("feature_end"))}
+    features = spark.table("feature").join(chrom.select("chr", "len", "circular"), "chr").withColumns(moved).drop("len", "circular")
+    return guide, chrom, features
+
+
+@query(
+    f"""WITH {RINGS}, hit AS (SELECT DISTINCT spacer, chr, len, tar_start, tar_end, strand AS sp_dir FROM norm WHERE nm = 0 AND pam LIKE '_GG' AND pam NOT LIKE '%-%'),
+met AS (SELECT h.*, r.locus_tag, CASE WHEN r.strand = 1 THEN tar_start - feature_start - k * h.len ELSE feature_end + k * h.len - tar_end END AS "offset",
+    least(tar_end, feature_end + k * h.len) - greatest(tar_start, feature_start + k * h.len) AS overlap, k
+  FROM hit h JOIN ring r ON r.chr = h.chr JOIN (VALUES (-1), (0), (1)) z(k) ON (r.circular OR k = 0) AND tar_start < feature_end + k * h.len AND feature_start + k * h.len < tar_end),
+one AS (SELECT spacer, chr, tar_start, tar_end, sp_dir, locus_tag, arg_min("offset", k) AS "offset", sum(overlap) AS overlap FROM met GROUP BY ALL)
+SELECT h.spacer, h.chr, CAST(h.tar_start AS INT) AS tar_start, CAST(h.tar_end AS INT) AS tar_end, h.sp_dir, o.locus_tag, CAST(o."offset" AS INT) AS "offset", CAST(o.overlap AS INT) AS overlap
+FROM hit h LEFT JOIN one o USING (spacer, chr, tar_start, tar_end, sp_dir)""",
+    ("feature",),
+)
+def ring_map(spark, sf_dir):
+    """Sites around the origins of circles and the genes that they lie in, across the origin too."""
+    guide, chrom, features = _rings(spark, sf_dir)
+    rows = mapping.map_targets(guide, chrom, features, LENGTH, PAM, circular="full").where("target is not null")
+    return rows.select("spacer", "chr", "tar_start", "tar_end", "sp_dir", "locus_tag", F.col("offset").cast("int").alias("offset"), "overlap")
+
+
+@query(
+    f"""WITH {RINGS}, hit AS MATERIALIZED (SELECT DISTINCT spacer, chr, len, tar_start, tar_end, strand AS sp_dir FROM norm WHERE nm = 0 AND pam LIKE '_GG' AND pam NOT LIKE '%-%'),
+u AS (SELECT *, CASE WHEN strand = 1 THEN feature_start - 205 ELSE feature_end + 95 END AS ws,
+  CASE WHEN strand = -1 THEN feature_end + 205 WHEN feature_end > len THEN feature_start - 95 ELSE feature_start + 95 END AS we FROM ring),
+turned AS MATERIALIZED (SELECT chr, locus_tag, ws + k * len AS ws, we + k * len AS we FROM (SELECT *, unnest(CASE WHEN circular THEN range(-3, 4) ELSE [0] END) AS k FROM u) x)
+SELECT DISTINCT h.spacer, h.chr, CAST(h.tar_start AS INT) AS tar_start, h.sp_dir, t.locus_tag AS downstream_locus
+FROM hit h JOIN turned t ON t.chr = h.chr AND tar_start < we AND ws < tar_end""",
+    ("feature",),
+)
+def ring_promoters(spark, sf_dir):
+    """Sites within promoter windows, across the origins of circles too."""
+    guide, chrom, features = _rings(spark, sf_dir)
+    rows = flows.promoter_targets(guide, chrom, features, LENGTH, PAM, circular="full")
+    return rows.where("target is not null and downstream_locus is not null").select("spacer", "chr", "tar_start", "sp_dir", "downstream_locus").distinct()
+
+
+@query(
+    f"""WITH l AS (SELECT row_idx % 3 AS lane, row_number() OVER (PARTITION BY row_idx % 3 ORDER BY row_idx) - 1 AS i, r1 FROM reads),
+n AS (SELECT lane, count(*) - CASE WHEN lane = 1 THEN 10 ELSE 0 END AS n FROM l GROUP BY 1)
+SELECT CAST(coalesce((SELECT sum(m.n) FROM n m WHERE m.lane < l.lane), 0) + i AS BIGINT) AS row_idx, r1, {rc("r1")} AS r2 FROM l JOIN n USING (lane) WHERE i < n""",
+    ("reads",),
+)
+def lane_pairs(spark, sf_dir):
+    """Pairs of reads of three lanes, each numbered from 0, then on from lane to lane; a mate of lane 1 ends ten reads early."""
+    reads = view(spark, sf_dir, "reads").withColumn("file", F.concat(F.lit("L"), F.col("row_idx") % 3))
+    numbered = running(reads.withColumnRenamed("row_idx", "_at"), ["file"], ["_at"], {"row_idx": F.lit(1)}).withColumn("row_idx", F.col("row_idx") - 1)
+    lane = cut(numbered.select("file", "row_idx", F.col("r1").alias("seq")))
+    last = lane.where("file = 'L1'").agg(F.max("row_idx")).first()[0]
+    mate = lane.where(f"file != 'L1' or row_idx <= {last} - 10").select("file", "row_idx", S.rev_comp("seq").alias("seq"))
+    return distill.zip_reads([lane, mate])
+
+
+@query(ORACLE_SQL["barcode_counts_mates"].removeprefix(duckdb_ctes("reads")).strip().replace(", m AS", "WITH m AS", 1), ("reads",))
+def barcode_counts_pairs_sampled(spark, sf_dir):
+    """The whole counting flow on pairs: both mates are sampled together, places and flanks are found."""
+    other = F.when(F.col("row_idx") % 5 == 0, F.translate("r1", "AC", "CA")).otherwise(F.col("r1"))
+    return flows.count_barcodes(view(spark, sf_dir, "reads").withColumn("r2", S.rev_comp(other)), spark.table("library"))
+
+
+@query()
+def pair_sampling(spark, sf_dir):
+    """Cumulative figures of sampling pairs by chunk; a state within each chunk isn't SQL."""
+    other = F.when(F.col("row_idx") % 5 == 0, F.translate("r1", "AC", "CA")).otherwise(F.col("r1"))
+    pairs = view(spark, sf_dir, "reads").withColumn("r2", S.rev_comp(other))
+    n = spark.table("library").count()
+    return counting.pair_sampling(pairs, cut(counting.pair_hits(pairs, spark.table("library"), n, LENGTH)), n)
+
+
+@query(
+    f"""WITH {MAPPED} SELECT spacer, locus_tag, chr, CAST(tar_start AS INT) AS tar_start FROM full_map
+WHERE sp_dir = tar_dir AND sites = 1 AND nm = 0 AND genes = 1 AND intergenic = 0""",
+    ("chrom", "guide", "feature"),
+)
+def design_unambiguous(spark, sf_dir):
+    """Guides in the gene's direction that have one site in one gene."""
+    rows = design.filters(design.orientation(_mapped(spark, sf_dir), "forward"), omit_ambiguous=True, mismatches=1)
+    return rows.select("spacer", "locus_tag", "chr", "tar_start")
