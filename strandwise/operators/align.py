@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
-from .scan import windows
+from .scan import SMALL, tiled, windows
 
 
 def spans_of(length: int, blocks: int) -> list[tuple[int, int]]:
@@ -83,6 +83,38 @@ def align(guides: DataFrame, chrom: DataFrame, length: int | list[int] | None =
     )
 
 
+def placed(alignments: DataFrame, chrom: DataFrame, flank: int = 0) -> DataFrame:
+    """Alignments made elsewhere (spacer, chr, start, end, strand, nm, target), in the form that ``align`` gives.
+
+    Places behind a circle's end, where it was lengthened by its beginning, are moved into it, and what is then there twice
+    is kept once. The bases around a place, and its target if it has none, are looked up in tiles of the chromosomes,
+    which meet only the places that lie in them. Rows without a place, or on unknown chromosomes, are left out.
+    """
+    lengths = chrom.select("chr", "len", "circular")
+    own = alignments.where("chr is not null").withColumn("chr", F.col("chr").cast(chrom.schema["chr"].dataType)).join(lengths, "chr")
+    start = F.when(F.col("circular"), F.pmod("start", "len")).otherwise(F.col("start")).cast("int")
+    own = own.select("spacer", "chr", start.alias("start"), (F.col("end") - F.col("start")).alias("_n"), "strand", F.col("nm").cast("int").alias("nm"), "target")
+    own = own.dropDuplicates(["spacer", "chr", "start", "_n", "strand"])
+    longest = own.agg(F.max("_n")).first()[0] or 1
+    tiles = tiled(chrom, 1, longest, flank)
+    own = own.withColumn("_first", (F.col("start") - F.col("start") % SMALL).cast("int"))
+    met = own.join(tiles.drop("circular"), ["chr", "_first"])
+    cut = lambda first, n: F.substring("_bases", F.col("start") - F.col("_first") + 1 + first, n).cast("string")
+    there = S.oriented(cut(F.lit(flank), F.col("_n")), "strand")
+    return met.select(
+        "spacer",
+        "chr",
+        "len",
+        "start",
+        (F.col("start") + F.col("_n")).alias("end"),
+        "strand",
+        "nm",
+        F.coalesce(F.upper("target"), there).alias("target"),
+        cut(F.lit(0), F.lit(flank)).alias("before"),
+        cut(flank + F.col("_n"), F.lit(flank)).alias("after"),
+    )
+
+
 def capped(found: DataFrame, most: int) -> DataFrame:
     """At most ``most`` places of each guide, those first by chromosome, place and strand (O7); all are kept by default,
     since this leaves targets out."""

@@ -105,41 +105,52 @@ def notes(rows: DataFrame, counts: DataFrame | None = None, place: str = "", idl
     return out.select("spacer", "count", "sites", "genes", "intergenic", S.note("sites", "genes", "intergenic", place, idle).alias("note"))
 
 
-def map_targets(
+def map_aligned(
     guides: DataFrame,
+    aligned: DataFrame,
     chrom: DataFrame,
     features: DataFrame,
-    length: int | list[int] | None = 20,
     pam: str = "NGG",
-    mismatches: int = 0,
     direction: str = "downstream",
     out_of_bounds: str = "demote",
     circular: str = "strict",
     by: tuple[str, str] = ("feature_start", "feature_end"),
+    longest: int = 1_000,
     **wording: str,
 ) -> DataFrame:
-    """Every target of every guide with its genes, and a note on each guide: the whole mapping flow.
+    """Every target of every guide with its genes, and a note on each guide, from alignments as ``align`` gives them.
 
-    length: of the guides, or several, or None for those that they have; a guide of another length is an error. circular:
-    "strict" joins genes by the places that sites have, "full" also across the origin of circles. guides: (spacer) or
-    (name, spacer); chrom: (chr, seq, len, circular); features: (chr, locus_tag, gene,
-    feature_start, feature_end, strand). Guides without a target have one row of nulls; with out_of_bounds "drop", those
-    whose only sites were dropped have none. The genome is scanned once: sites, then sites with genes, are checkpointed.
+    guides: (spacer) or (name, spacer); chrom: (chr, seq, len, circular); features: (chr, locus_tag, gene, feature_start,
+    feature_end, strand). circular: "strict" joins genes by the places that sites have, "full" also across the origin of
+    circles. longest: the most bases of a guide. Guides without a target have one row of nulls; with out_of_bounds "drop",
+    those whose only sites were dropped have none. Sites, then sites with genes, are checkpointed.
     """
-    own = guides.select(F.upper("spacer").alias("spacer")).distinct()
-    length = lengths_of(own) if length is None else [length] if isinstance(length, int) else list(length)
     if circular not in ("strict", "full"):
         raise ValueError(f"circular is strict or full: {circular}")
-    found = cut(sites(align(guides, chrom, length, mismatches, len(pam))))
+    own = guides.select(F.upper("spacer").alias("spacer")).distinct()
+    found = cut(sites(aligned))
     gated = gate_by_pam(found, pam, direction, out_of_bounds)
     missing = own.join(found.select("spacer").distinct(), "spacer", "left_anti")
     blank = missing.select(*(F.col(c) if c == "spacer" else F.lit(None).cast(gated.schema[c].dataType).alias(c) for c in gated.columns))
     rows = drop_untargeted(gated.unionByName(blank))
-    rows = cut(with_genes(rows, features, by, max(length, default=1), chrom if circular == "full" else None).dropDuplicates())
+    rows = cut(with_genes(rows, features, by, longest, chrom if circular == "full" else None).dropDuplicates())
     counts = guides.select("name", F.upper("spacer").alias("spacer")) if "name" in guides.columns else None
     return rows.join(notes(rows, counts, **wording), "spacer")
 
 
+def map_targets(
+    guides: DataFrame, chrom: DataFrame, features: DataFrame, length: int | list[int] | None = 20, pam: str = "NGG", mismatches: int = 0, **how
+) -> DataFrame:
+    """The whole mapping flow: guides are aligned, then mapped as by ``map_aligned``, whose options follow.
+
+    length: of the guides, or several, or None for those that they have; a guide of another length is an error. The
+    genome is scanned once.
+    """
+    length = lengths_of(guides) if length is None else [length] if isinstance(length, int) else list(length)
+    aligned = align(guides, chrom, length, mismatches, len(pam))
+    return map_aligned(guides, aligned, chrom, features, pam, longest=max(length, default=1), **how)
+
+
 def drop_uninformative(rows: DataFrame) -> DataFrame:
     """Without count, pam and nm where these say nothing, as a report shows them: one small aggregate is computed."""
     said = rows.agg(
