@@ -199,18 +199,50 @@ def test_passages_of_documents(spark):
     assert all(r.similarity >= passages.SIMILARITY and r.kept_doc_id < r.doc_id for r in rows)
 
 
-def test_chains_of_passages(spark):
-    """Each of three versions resembles the next, the first and last don't resemble each other: one component all the same."""
-    r, rows, chains = random.Random(11), [], 40
-    for c in range(chains):
-        one = [f"w{r.randrange(10**6)}" for _ in range(80)]
-        two = [*one[:20], "changed", *one[21:]]
-        three = [*two[:60], "again", *two[61:]]
-        rows += [(3 * c + k, " ".join(v)) for k, v in enumerate((one, two, three))]
+@pytest.mark.parametrize("versions", [3, 6])
+def test_chains_of_passages(spark, versions):
+    """Of versions of a passage of 60 words, each resembles the next, the ends don't resemble each other: over five seeds, at
+    least nine in ten pairs of the brute force meet in a component, and at least as many of the later ones have a row."""
+    rows, near = [], []
+    for seed in range(5):
+        r = random.Random(seed)
+        for _ in range(8):
+            words, first = [f"w{r.randrange(10**6)}" for _ in range(60)], len(rows)
+            for k in range(versions):
+                if k:
+                    words = list(words)
+                    words[r.randrange(5, 55)] = f"c{r.randrange(10**6)}"
+                rows.append((len(rows), " ".join(words)))
+            own = [[tuple(t.split()[i : i + 5]) for i in range(56)] for _, t in rows[first:]]
+            alike = lambda x, y: len({*x} & {*y}) / len({*x} | {*y}) >= 0.8
+            near += [(first + i, first + j) for i, j in combinations(range(versions), 2) if alike(own[i], own[j])]
     found = passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    component = {x.doc_id: x.component_id for x in found}
-    whole = sum(component.get(3 * c + 1) == component.get(3 * c + 2) == 3 * c for c in range(chains))
-    assert whole >= 0.9 * chains
+    component = {x.kept_doc_id: x.component_id for x in found} | {x.doc_id: x.component_id for x in found}
+    met = sum(i in component and component[i] == component.get(j) for i, j in near)
+    later = {j for _, j in near}
+    assert len(near) >= 40 * (versions - 1) and met >= 0.9 * len(near), (met, len(near))
+    assert len(later & {x.doc_id for x in found}) >= 0.9 * len(later)
+
+
+def test_links_over_the_edges_of_ranges(spark):
+    """The least and the one before of each key, whatever the ranges; a key of very many documents fills several."""
+    r = random.Random(3)
+    rows = sorted({(r.choice([1, 1, 1, 2, 3, -5]), r.randrange(300)) for _ in range(400)})
+    table = spark.createDataFrame(rows, "key long, doc long").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = {(x.doc, x.kept) for x in passages.linked(table).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    before = {(b[1], a[1]) for a, b in zip(rows, rows[1:]) if a[0] == b[0]}
+    assert before <= found and all(k < d for d, k in found)
+    for key in {k for k, _ in rows}:
+        own = [d for k, d in rows if k == key]
+        reached = {own[0]}
+        for d in own[1:]:
+            if any((d, k) in found for k in reached):
+                reached.add(d)
+        assert reached == set(own)
 
 
 def test_a_document_that_very_many_are_held_against(spark, monkeypatch):
