@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import seq as S
-from .lineage import cut
+from .lineage import cut, shared_folder
 from .operators import align, counting, design, distill, intervals, library, mapping, mismatch, report, scan
 from .operators.running import running
 from .plans import flows
 from .plans.fixtures import LEFT, RIGHT, duckdb_ctes, view
-from .sources import sinks
+from .sources import sinks, tables
 
 PAM, LENGTH = "NGG", 20
 QUERIES: dict = {}
@@ -341,8 +343,8 @@ ORACLE_SQL["design_tiling"] = ORACLE_SQL["design_tiling"].replace("WITH ", "WITH
 
 
 @query(
-    f"""WITH {CANDIDATES.replace("cand AS (", "cand AS MATERIALIZED (", 1)}, top AS MATERIALIZED (SELECT spacer FROM (SELECT spacer, row_number() OVER (PARTITION BY locus_tag ORDER BY "offset", spacer, chr, tar_start) AS n FROM cand) x WHERE n <= 2)
-SELECT locus_tag, spacer, "offset" FROM cand WHERE spacer IN (SELECT spacer FROM top)""",
+    f"""WITH {CANDIDATES} SELECT locus_tag, spacer, "offset" FROM (SELECT *, min(n) OVER (PARTITION BY spacer) AS best
+  FROM (SELECT *, row_number() OVER (PARTITION BY locus_tag ORDER BY "offset", spacer, chr, tar_start) AS n FROM cand) x) y WHERE best <= 2""",
     ("feature",),
 )
 def design_keep_top(spark, sf_dir):
@@ -822,3 +824,37 @@ def design_unambiguous(spark, sf_dir):
     """Guides in the gene's direction that have one site in one gene."""
     rows = design.filters(design.orientation(_mapped(spark, sf_dir), "forward"), omit_ambiguous=True, mismatches=1)
     return rows.select("spacer", "locus_tag", "chr", "tar_start")
+
+
+@query(
+    f"""WITH RECURSIVE {CANDIDATES}, named AS (SELECT *, min("offset") FILTER (tar_start % 3 = 0) OVER (PARTITION BY locus_tag) AS first FROM cand),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY locus_tag ORDER BY "offset", spacer) AS n FROM named WHERE "offset" >= first),
+walk AS (SELECT locus_tag, spacer, "offset" AS last, n FROM ranked WHERE n = 1
+  UNION ALL SELECT w.locus_tag, r.spacer, CASE WHEN r."offset" >= w.last + 40 THEN r."offset" ELSE w.last END, r.n
+  FROM walk w JOIN ranked r ON r.locus_tag = w.locus_tag AND r.n = w.n + 1),
+taken AS (SELECT DISTINCT w.spacer FROM walk w LEFT JOIN walk p ON p.locus_tag = w.locus_tag AND p.n = w.n - 1 WHERE p.n IS NULL OR w.last > p.last)
+SELECT locus_tag, spacer, "offset" FROM cand WHERE spacer IN (SELECT spacer FROM taken)""",
+    ("feature",),
+)
+def design_tiling_full(spark, sf_dir):
+    """Candidates at least 40 bases apart along each gene, from the first that has a full overlap."""
+    rows = _candidates(spark, sf_dir).withColumn("overlap", F.when(F.col("tar_start") % 3 == 0, LENGTH).otherwise(LENGTH // 2))
+    return design.tile(rows, 40, LENGTH).select("locus_tag", "spacer", "offset")
+
+
+ORACLE_SQL["design_tiling_full"] = ORACLE_SQL["design_tiling_full"].replace("WITH ", "WITH RECURSIVE ", 1).replace(", RECURSIVE cand", ", cand", 1)
+
+
+@query(ORACLE_SQL["target_map"].removeprefix(duckdb_ctes("chrom", "guide", "feature")).strip().replace(", padded AS", "WITH padded AS", 1), ("chrom", "guide", "feature"))
+def sam_target_map(spark, sf_dir):
+    """The same map as target_map, from alignments that were written as SAM text and read again."""
+    guide, chrom = view(spark, sf_dir, "guide"), spark.table("chrom")
+    found = cut(align.align(guide, chrom, LENGTH, 1, len(PAM)))
+    lost = guide.join(found.select("spacer").distinct(), "spacer", "left_anti")
+    lost = lost.select(*(F.col(c) if c == "spacer" else F.lit(None).cast(t).alias(c) for c, t in found.dtypes))
+    path = f"{shared_folder(spark)}/sam-{uuid4().hex}"
+    tables.write_sam(found.unionByName(lost), path)
+    rows = flows.sam_targets(spark, path, chrom, spark.table("feature"), PAM)
+    return rows.select(
+        "spacer", "chr", "tar_start", "tar_end", "nm", "target", "sp_dir", "pam", "gene", "locus_tag", F.col("offset").cast("int").alias("offset"), F.col("overlap").cast("int").alias("overlap"), "tar_dir", "note"
+    )
