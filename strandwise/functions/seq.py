@@ -91,10 +91,12 @@ def pam_pattern(pam: str, any_base: str = ".") -> str:
     return pam.upper().replace("N", any_base)
 
 
-def pam_matches(pam: str, found: Column | str, any_base: str = ".") -> Column:
-    """Whether a PAM begins with the pattern; false for null and empty, true for a pattern of N alone."""
+def pam_matches(pam: str, found: Column | str, any_base: str = ".", anywhere: bool = False) -> Column:
+    """Whether a PAM begins with the pattern (F11), or has it anywhere (F12); false for null and empty, true for a pattern of N
+    alone."""
     found = _col(found)
-    ok = F.lit(True) if set(pam.upper()) <= {"N"} else found.rlike(rf"\A(?:{pam_pattern(pam, any_base)})")
+    begin = "" if anywhere else r"\A"
+    ok = F.lit(True) if set(pam.upper()) <= {"N"} else found.rlike(rf"{begin}(?:{pam_pattern(pam, any_base)})")
     return F.coalesce((F.length(found) > 0) & ok, F.lit(False))
 
 

@@ -15,13 +15,26 @@ SCHEMA = (
     "array<struct<type string, locus_tag string, gene string, strand int, parts array<struct<start int, end int>>>>"
 )
 QUALIFIER = re.compile(r"/(\w+)(?:=(.*))?$")
-SPAN = re.compile(r"<?(\d+)(?:\.\.>?(\d+))?")
+SPAN = re.compile(r"<?(\d+)(?:(\.\.|\^)>?(\d+))?")
+PIECE = re.compile(r"complement\(|\w*\(|\)|,|[^(),]+")
 
 
-def location(text: str) -> tuple[int, list[tuple[int, int]]]:
-    """Strand and 0-based half-open parts of a location."""
-    parts = [(int(a) - 1, int(b or a)) for a, b in SPAN.findall(text)]
-    return -1 if "complement" in text else 1, parts
+def location(text: str) -> tuple[int | None, list[tuple[int, int]]]:
+    """Strand and 0-based half-open parts of a location; the strand is None if the parts lie on both.
+
+    A place between two bases is an empty part; parts of other records have none here.
+    """
+    parts, strands, nested = [], set(), [1]
+    for piece in PIECE.findall("".join(text.split())):
+        if piece.endswith("("):
+            nested.append(-nested[-1] if piece == "complement(" else nested[-1])
+        elif piece == ")":
+            nested.pop()
+        elif found := SPAN.fullmatch(piece):
+            first, between, last = found.groups()
+            parts.append((int(first), int(first)) if between == "^" else (int(first) - 1, int(last or first)))
+            strands.add(nested[-1])
+    return strands.pop() if len(strands) == 1 else None, parts
 
 
 def parse(source: Iterator[str]) -> Iterator[tuple]:

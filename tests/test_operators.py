@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandwise.functions import seq as S
 from strandwise.operators import align, counting, design, distill, intervals, mapping, scan
+from strandwise.plans import fixtures
 
 COMPLEMENT = str.maketrans("ATCG", "TAGC")
 
@@ -180,10 +182,24 @@ def test_outer_overlaps_whatever_the_partitions(spark):
 
 
 def test_the_genome_is_scanned_once_for_a_map(spark, sf):
-    import __spark_entry__ as entry
+    """Chromosomes pass by once in all jobs of a map, counted where they are read."""
+    fixtures.register(spark, sf)
+    passed, chrom = spark.sparkContext.accumulator(0), spark.table("chrom")
 
-    plan = entry.queries()["target_map"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Relation [") < 8
+    def counted(batches):
+        for batch in batches:
+            passed.add(len(batch))
+            yield batch
+
+    rows = mapping.map_targets(spark.table("guide"), chrom.mapInPandas(counted, chrom.schema), spark.table("feature"), 20, "NGG", 1)
+    assert rows.count() > 0 and passed.value == chrom.count()
+
+
+@pytest.mark.parametrize(("found", "begins", "has"), [("AGG", True, True), ("TAGG", False, True), ("NGG", False, False), ("", False, False), (None, False, False)])
+def test_pams_at_the_beginning_and_within(spark, found, begins, has):
+    row = spark.createDataFrame([(found,)], "p string")
+    got = row.select(S.pam_matches("NGG", "p", "[ATCG]").alias("a"), S.pam_matches("NGG", "p", "[ATCG]", anywhere=True).alias("b")).first()
+    assert (got.a, got.b) == (begins, has)
 
 
 def test_ranks_of_repeated_rows(spark):

@@ -150,3 +150,11 @@ def test_read_files_stay_aligned(spark, tmp_path):
     assert [len(x) for x in read["r1"]] == [len(x) for x in read["r2"]]
     rows = [p for a, b in zip(read["r1"], read["r2"], strict=True) for p in zip(a, b, strict=True)]
     assert sorted(rows) == pairs and fastx.kind_of("x.reads.gz") == "reads"
+
+
+def test_locations():
+    assert genbank.location("1..9") == (1, [(0, 9)]) and genbank.location("<5..>9") == (1, [(4, 9)]) and genbank.location("7") == (1, [(6, 7)])
+    assert genbank.location("complement(join(1..3,7..9))") == (-1, [(0, 3), (6, 9)])
+    assert genbank.location("join(complement(1..3),7..9)") == (None, [(0, 3), (6, 9)])
+    assert genbank.location("join(J00194.1:100..202,1..5)") == (1, [(0, 5)])
+    assert genbank.location("123^124") == (1, [(123, 123)]) and genbank.location("order(1..2, complement(4..5))") == (None, [(0, 2), (3, 5)])
