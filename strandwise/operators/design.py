@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..lineage import written
-
-#: Offsets of a stretch of a gene.
-BIN = 4_096
 
+from .spacing import BIN, spaced
 
 def orientation(rows: DataFrame, kept: str = "both") -> DataFrame:
     """Targets in the gene's direction (forward), all others (reverse, intergenic ones included), or both."""
@@ -46,48 +39,13 @@ def filters(
     return rows
 
 
-def _last_taken(places: np.ndarray, begin: int, size: int) -> np.ndarray:
-    """For each threshold from ``begin`` to ``begin + size - 1``: the last place taken if the first one is the first at or after it,
-    and each further one ``size`` after the one before; -1 if none is."""
-    n, after = len(places), np.searchsorted(places, places + size)
-    last = np.arange(n)
-    for i in range(n - 1, -1, -1):
-        if after[i] < n:
-            last[i] = last[after[i]]
-    entry = np.searchsorted(places, begin + np.arange(size))
-    return np.where(entry < n, places[last[np.minimum(entry, n - 1)]], -1)
-
-
-def _taken(places: np.ndarray, begin: int, size: int) -> list[int]:
-    """Numbers of the places taken, the first at or after ``begin``."""
-    out, after = [], np.searchsorted(places, places + size)
-    i = int(np.searchsorted(places, begin))
-    while i < len(places):
-        out.append(i)
-        i = int(after[i])
-    return out
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _ends(places: pd.Series, begin: pd.Series, size: pd.Series) -> pd.Series:
-    return pd.Series([_last_taken(np.asarray(p), b, s) for p, b, s in zip(places, begin, size, strict=True)], dtype=object)
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _chosen(places: pd.Series, spacers: pd.Series, begin: pd.Series, size: pd.Series) -> pd.Series:
-    rows = zip(places, spacers, begin, size, strict=True)
-    return pd.Series([[t[i] for i in _taken(np.asarray(p), b, s)] for p, t, b, s in rows], dtype=object)
-
-
 def tile(rows: DataFrame, size: int, full_overlap: int | None = None, width: int = BIN) -> DataFrame:
     """All rows of guides chosen along each gene, ``size`` bases apart.
 
     By offset, then spacer, the first guide is taken, or the first at the least offset that has a full overlap; then
     each that lies far enough from the last. Negative sizes keep all; rows without gene or offset choose nothing.
 
-    A gene is cut into stretches of ``width`` offsets. What a stretch's last choice is depends only on where the one before
-    ends, within ``size`` offsets; from a table of these, each stretch's beginning follows, and stretches choose on their own.
-    So no gene's guides come together in one row, only as many offsets as a stretch has, and a gene's table of ends.
+    Genes are gone through in stretches of ``width`` offsets (see ``spaced``).
     """
     if size < 0:
         return rows
@@ -98,28 +56,8 @@ def tile(rows: DataFrame, size: int, full_overlap: int | None = None, width: int
     if size == 0:
         spacers = known.join(first, "locus_tag").where("offset >= first").select("spacer").distinct()
         return rows.join(spacers, "spacer", "left_semi")
-    width = max(width, size)
-    at = (F.col("offset") - F.col("first")).alias("at")
-    own = places.join(first, "locus_tag").where("offset >= first").select("locus_tag", F.floor(at / width).alias("bin"), F.struct(at, "spacer").alias("item"))
-    bins = own.groupBy("locus_tag", "bin").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    bins = bins.select("locus_tag", "bin", F.col("items.at").alias("places"), F.col("items.spacer").alias("spacers"))
-    bins = written(bins)  # used twice
-    step, begin = F.lit(size), F.col("bin") * width
-    long = bins.where("bin > 0").select("locus_tag").distinct()
-    ends = bins.join(long, "locus_tag", "left_semi").select("locus_tag", F.struct("bin", _ends("places", begin, step).alias("ends")).alias("b"))
-    genes = ends.groupBy("locus_tag").agg(F.sort_array(F.collect_list("b")).alias("bins"))
-    state = F.struct(F.lit(-size).cast("bigint").alias("last"), F.array().cast("array<struct<bin:bigint,last:bigint>>").alias("seen"))
-
-    def along(s: Column, b: Column) -> Column:
-        threshold = F.greatest(F.lit(0), s["last"] + size - b["bin"] * width)
-        end = F.get(b["ends"], threshold.cast("int"))
-        seen = F.concat(s["seen"], F.array(F.struct(b["bin"].alias("bin"), s["last"].alias("last"))))
-        return F.struct(F.when(end >= 0, end).otherwise(s["last"]).alias("last"), seen.alias("seen"))
-
-    known_last = genes.select("locus_tag", F.inline(F.aggregate("bins", state, along)["seen"]))
-    begun = bins.join(known_last, ["locus_tag", "bin"], "left").withColumn("from", F.greatest(begin, F.coalesce("last", F.lit(-size)) + size))
-    spacers = begun.select(F.explode(_chosen("places", "spacers", "from", step)).alias("spacer")).distinct()
-    return rows.join(spacers, "spacer", "left_semi")
+    own = places.join(first, "locus_tag").where("offset >= first").select("locus_tag", (F.col("offset") - F.col("first")).alias("at"), "spacer")
+    return rows.join(spaced(own, ["locus_tag"], size, width).select("spacer").distinct(), "spacer", "left_semi")
 
 
 def keep_top(rows: DataFrame, n: int, full_overlap: int | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
-from .running import running
+from .spacing import spaced
 
 LARGE, SMALL = 65_536, 1_024
 
@@ -126,14 +126,17 @@ def pam_sites(chrom: DataFrame, length: int, pam: str) -> DataFrame:
     """(chr, spacer) in front of PAMs that don't overlap each other, from left to right on each strand; spacers at an end
     may be shorter, repeated ones stay (G2).
 
-    Where a PAM begins is the sum of what stands before it; spacers come from tiles that hold the bases before them.
+    All places of a PAM are found tile by tile, those that don't overlap are chosen in stretches (see ``spaced``); spacers come
+    from tiles that hold the bases before them.
     """
     both = F.array(F.struct(F.lit("F").alias("strand"), F.upper("seq").alias("s")), F.struct(F.lit("R").alias("strand"), S.rev_comp(F.upper("seq")).alias("s")))
     strands = chrom.select("chr", F.explode(both).alias("x")).select("chr", "x.*")
     k = len(pam)
-    gaps = F.transform(F.split("s", S.pam_pattern(pam, "[ATCG]"), -1), F.length)
-    gaps = strands.select("chr", "strand", F.posexplode(F.slice(gaps, 1, F.size(gaps) - 1)).alias("n", "gap"))
-    ends = running(gaps, ["chr", "strand"], ["n"], {"upto": F.col("gap")}).select("chr", "strand", (F.col("upto") + F.col("n") * k).cast("int").alias("end"))
+    lines = strands.select(F.struct("chr", "strand").alias("chr"), F.col("s").alias("seq"), F.length("s").alias("len"), F.lit(False).alias("circular"))
+    places = tiled(lines, k, k, 0).withColumn("_at", F.explode(F.sequence(F.lit(0), "_ends")))
+    places = places.where(_has(F.col("_at") + 1, pam.upper()) & S.is_dna(F.substring("_bases", F.col("_at") + 1, F.lit(k)).cast("string")))
+    places = places.select("chr.chr", "chr.strand", (F.col("_first") + F.col("_at")).cast("bigint").alias("at"))
+    ends = spaced(places, ["chr", "strand"], k).select("chr", "strand", F.col("at").cast("int").alias("end"))
     raw = F.col("s").cast("binary")
     tile = lambda t: F.struct(t.alias("tile"), F.substring(raw, F.greatest(t * SMALL - length, F.lit(0)) + 1, F.lit(SMALL + length)).alias("bases"))
     tiles = strands.select("chr", "strand", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.length("s") / SMALL).cast("int")), tile)).alias("t"))
