@@ -279,7 +279,8 @@ def slices(column: pa.Array, most: int = 1 << 22):
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Adds ``ids`` (array<int>), the ids of each row's whole text, and ``lossless``, whether they decode to it again.
 
-    Null and empty texts have no ids; repeated rows are repeated; columns of these names are replaced, others kept.
+    Null and empty texts have no ids; repeated rows are repeated; columns of these names are replaced, others kept; an empty
+    table gives an empty table. A very long text is encoded whole.
     """
     vocabulary, made = load(docs.sparkSession, path), ("ids", "lossless")
 
@@ -301,7 +302,9 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 def decode(docs: DataFrame, path: str, name: str = "decoded") -> DataFrame:
-    """Adds the text of ``ids`` to each row (null ids: empty)."""
+    """Adds the text of ``ids`` to each row: null and empty ids give an empty text, bytes that are no UTF-8 replacement
+    characters. Repeated rows are repeated, a column of this name is replaced, others are kept, very long rows are decoded
+    whole, an empty table gives an empty table."""
     vocabulary = load(docs.sparkSession, path)
 
     def run(batches):

@@ -154,7 +154,9 @@ DIGESTS = {
 
 
 def read_back(pieces: DataFrame) -> DataFrame:
-    """One row of digests for each conversation, read from its pieces as ``format_chat`` returns them."""
+    """One row of digests for each conversation, read from its pieces as ``format_chat`` returns them. A piece at a time is
+    held, whatever a conversation's length; turns without text count as empty, rows without conv_id as one conversation;
+    no pieces give no rows."""
 
     def run(batches):
         now, reader, kind = None, None, None

@@ -78,7 +78,8 @@ def landmarks(samples: bytes) -> tuple[int, np.ndarray]:
 def store(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media) for each row: its text as WAV. A null text counts as empty and gives one block.
 
-    Repeated rows come as often as they came, equal texts give equal media, other columns are ignored.
+    Repeated rows come as often as they came, equal texts give equal media, other columns are ignored, an empty table gives
+    an empty table. A very long text is stored whole, in memory of its task.
     """
 
     def run(batches):
@@ -101,7 +102,8 @@ FEATURES = (
 def features(media: DataFrame) -> DataFrame:
     """Reads ``media`` back and adds digests of it and of its samples, the landmarks and a digest of these.
 
-    ``feature`` is the number of peaks, of pairs, and the pairs' 128-bit hash. A null medium gives nulls.
+    ``feature`` is the number of peaks, of pairs, and the pairs' 128-bit hash. A null medium gives nulls, an empty table an
+    empty table; a very long medium is read whole.
     """
 
     def row(data: bytes | None):

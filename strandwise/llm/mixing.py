@@ -210,7 +210,9 @@ def op3_mix_sources(docs: DataFrame) -> DataFrame:
     """The query: what the mix takes of each document, in training order of the first copy.
 
     position says where the first copy stands, in words that come before; it is null for a document that isn't taken,
-    and such documents come last.
+    and such documents come last. Rows come as often as they came, also those without id or source (the null source is the
+    last one); null and empty texts have size 0; very long texts are counted whole; other columns are left out; an empty
+    table gives an empty table.
     """
     place = F.try_element_at("positions", F.lit(1)).alias("position")
     rows = plan(docs).select("doc_id", "size", "source_size", "target", "taken", place)
@@ -219,7 +221,8 @@ def op3_mix_sources(docs: DataFrame) -> DataFrame:
 
 
 def op3_training_positions(docs: DataFrame) -> DataFrame:
-    """The query: every copy that the mix takes and its training position, the words that come before, in this order."""
+    """The query: every copy that the mix takes and its training position, the words that come before, in this order. Of
+    odd rows as ``op3_mix_sources``; documents that aren't taken have no row."""
     copies = plan(docs).select("doc_id", F.posexplode("positions").alias("copy", "position"))
     rows = in_order(copies, "position", "doc_id")
     return rows.select("doc_id", F.col("copy").cast("long").alias("copy"), F.round("position", 3).alias("position"))

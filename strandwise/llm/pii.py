@@ -168,7 +168,7 @@ def replace(docs: DataFrame, key: str | None = None, column: str = "text") -> Da
     """The rows with surrogates in their texts and ``n_entities``; all other columns as they came.
 
     A null text stays null, texts without entities stay as they are, repeated rows are repeated. A column n_entities of
-    the input is replaced. Whole texts of any length are searched. Words of the text's own titled names count as entities
+    the input is replaced; an empty table gives an empty table. Whole texts of any length are searched. Words of the text's own titled names count as entities
     where they stand without a title, side by side as one. The key comes from the session's KEY_SETTING unless given; set
     one and keep it secret, since OPEN_KEY, which stands in for it, lets anybody who guesses a value confirm it.
     """
