@@ -43,7 +43,10 @@ def test_design(spark):
         flows.check_pam("NXG")
 
 
-@pytest.mark.parametrize("name", ["revcomp_gc", "barcode_counts_single", "snv_variants", "gene_overlap_join"])
+@pytest.mark.parametrize(
+    "name",
+    ["revcomp_gc", "barcode_counts_single", "snv_variants", "gene_overlap_join", "lane_pairs", "mixed_length_targets", "design_tiling_full", "ring_promoters"],
+)
 def test_queries_agree_with_sql(spark, sf, name):
     duckdb = pytest.importorskip("duckdb")
     db = duckdb.connect()
@@ -58,3 +61,12 @@ def test_queries_agree_with_sql(spark, sf, name):
 def test_every_sql_has_a_query(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["spacer"]
+
+
+def test_mismatch_guides(spark):
+    """Each guide's variants nearest to the scores asked for, as the operator picks them."""
+    guides = spark.createDataFrame([("ACGTACGTACGTACGTACGT",), ("TTGACCTAGAGTTTTAGAGC",)], "spacer string")
+    rows = flows.mismatch_guides(guides, 0.0, 0.5, 0.25).collect()
+    assert {x.original for x in rows} == {x.spacer for x in guides.collect()} and len(rows) == 2 * 3
+    assert len({(x.original, x.variant) for x in rows}) == len(rows)
+    assert all(sum(a != b for a, b in zip(x.original, x.variant, strict=True)) == 1 for x in rows)
