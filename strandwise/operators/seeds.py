@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
-from .align import spans_of
+from .near import spans_of
 from .scan import windows
 
 
