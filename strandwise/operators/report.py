@@ -44,6 +44,7 @@ def genome_figures(chrom: DataFrame, features: DataFrame) -> DataFrame:
     sets = {"topology": topology, "length": F.col("len").cast("string")}
     if "organism" in chrom.columns:
         sets["organism"] = F.col("organism")
-    tables = [chrom.groupBy(c.alias("name")).agg(F.count("*").alias("value")).select(F.lit(k).alias("section"), "name", "value") for k, c in sets.items()]
+    figures = F.array(*(F.struct(F.lit(k).alias("section"), c.alias("name")) for k, c in sets.items()))
+    own = chrom.select(F.explode(figures).alias("f")).groupBy("f.section", "f.name").agg(F.count("*").alias("value"))
     genes = features.groupBy(F.col("chr").cast("string").alias("name")).agg(F.count("*").alias("value"))
-    return reduce(DataFrame.unionByName, [*tables, genes.select(F.lit("genes").alias("section"), "name", "value")])
+    return own.select("section", "name", "value").unionByName(genes.select(F.lit("genes").alias("section"), "name", "value"))
