@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import defaultdict
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
@@ -59,23 +63,49 @@ def variants(guides: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFram
 
 
 def series(guides: DataFrame, low: float = 0.0, high: float = 1.0, step: float = 0.1, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """(original, variant, change_description, y_pred, score) of the variants nearest to evenly spaced scores, each taken
+    """(original, variant, change_description, y_pred, nth) of the variants nearest to evenly spaced scores, each taken
     once: for each score in ascending order the nearest that is left, ties by place and base (W3)."""
-    scores = F.array(*map(F.lit, S.desired_scores(low, high, step))).cast("array<double>")
-    item = F.struct("place", "base", "variant", "change_description", "y_pred")
-    lists = variants(guides, weights).groupBy("original").agg(F.array_sort(F.collect_list(item)).alias("left"))
-    empty = F.struct(F.col("left").alias("left"), F.filter("left", lambda x: F.lit(False)).alias("taken"))
+    scores, bases = S.desired_scores(low, high, step), np.frombuffer(b"ACGT", np.uint8)
+
+    def of_length(texts: list[str], length: int) -> pa.RecordBatch:
+        was = np.frombuffer("".join(texts).encode("ascii"), np.uint8).reshape(-1, length)
+        n = len(was)
+        place = np.array([weights[str(i)] for i in range(length)])
+        change = np.zeros((256, 4))
+        for x in set(was.reshape(-1).tolist()):
+            change[x] = [weights[f"{chr(x)}{chr(b)}"] if x != b else 0.0 for b in bases]
+        gc = ((was == ord("G")) | (was == ord("C"))).sum(1).astype(float) / float(length)
+        # places, then bases, as one axis; the guide's own base is no variant
+        y = (weights["intercept"] + place)[None, :, None] + change[was] + (weights["GC_content"] * gc)[:, None, None]
+        y, left = y.reshape(n, -1), (was[:, :, None] != bases).reshape(n, -1)
+        most, every, out = int(left.sum(1).min()), np.arange(n), []
+        for score in scores[:most]:
+            taken = np.where(left, np.abs(y - score), np.inf).argmin(1)
+            left[every, taken] = False
+            out.append(taken)
+        rows, at = np.repeat(every, len(out)), np.array(out, int).reshape(len(out), n).T.reshape(-1)
+        named = [(texts[r], i // 4, "ACGT"[i % 4]) for r, i in zip(rows.tolist(), at.tolist(), strict=True)]
+        columns = [
+            [t for t, _, _ in named],
+            [t[:i] + b + t[i + 1 :] for t, i, b in named],
+            [f"{t[i]}{i + 1}{b}" for t, i, b in named],
+            y[rows, at],
+            np.tile(np.arange(len(out), dtype=np.int32), n),
+        ]
+        types = (pa.string(), pa.string(), pa.string(), pa.float64(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["original", "variant", "change_description", "y_pred", "nth"])
 
-    def take(state: Column, score: Column) -> Column:
-        near = F.array_min(F.transform(state["left"], lambda x: F.struct(F.abs(x["y_pred"] - score).alias("d"), x.alias("x"))))["x"]
-        rest = F.filter(state["left"], lambda x: (x["place"] != near["place"]) | (x["base"] != near["base"]))
-        return F.when(
-            F.size(state["left"]) > 0, F.struct(rest.alias("left"), F.concat(state["taken"], F.array(near)).alias("taken"))
-        ).otherwise(state)
+    def each(batches):
+        for batch in batches:
+            by_length = defaultdict(list)
+            for text in batch["original"].to_pylist():
+                by_length[len(text), sum(b in "ACGT" for b in text)].append(text)
+            for (length, _), texts in by_length.items():
+                for i in range(0, len(texts), 2_000):
+                    yield of_length(texts[i : i + 2_000], length)
 
-    taken = lists.select("original", F.aggregate(scores, empty, take)["taken"].alias("taken"))
-    out = taken.select("original", F.posexplode("taken").alias("nth", "t"))
-    return out.select("original", "t.variant", "t.change_description", "t.y_pred", "nth")
+    own = guides.select(F.upper("spacer").alias("original")).where(F.length("spacer") > 0).distinct()
+    return own.mapInArrow(each, "original string, variant string, change_description string, y_pred double, nth int")
 
 
 def recalculate(pairs: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
