@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
-from ..lineage import cut
+from ..lineage import written
 from .align import align, lengths_of
 from .intervals import overlap_join, ring_join
 
@@ -32,18 +32,22 @@ def sites(aligned: DataFrame) -> DataFrame:
     )
 
 
+def _gated(found: DataFrame, pam: str, direction: str) -> DataFrame:
+    """Sites with their PAM, a spacer alone where none matches, and ``_off``, whether the PAM would lie off the chromosome."""
+    got = S.extract_pam("before", "after", "sp_dir", direction)
+    found = found.withColumn("pam", F.when(~F.coalesce(got.contains("-"), F.lit(False)), got))
+    ok = S.pam_matches(pam, "pam")
+    kept = [F.when(ok, F.col(c)).alias(c) if c != "spacer" else F.col(c) for c in found.columns if c not in ("before", "after")]
+    return found.select(*kept, F.col("pam").isNull().alias("_off"))
+
+
 def gate_by_pam(found: DataFrame, pam: str, direction: str = "downstream", out_of_bounds: str = "demote") -> DataFrame:
     """Sites with their PAM; one without a matching PAM keeps its spacer alone.
 
     out_of_bounds: a site whose PAM would lie off the chromosome is demoted like any other, or dropped (P1').
     """
-    got = S.extract_pam("before", "after", "sp_dir", direction)
-    found = found.withColumn("pam", F.when(~F.coalesce(got.contains("-"), F.lit(False)), got))
-    if out_of_bounds == "drop":
-        found = found.where("pam is not null")
-    ok = S.pam_matches(pam, "pam")
-    kept = [F.when(ok, F.col(c)).alias(c) if c != "spacer" else F.col(c) for c in found.columns if c not in ("before", "after")]
-    return found.select(*kept)
+    rows = _gated(found, pam, direction)
+    return (rows.where("not _off") if out_of_bounds == "drop" else rows).drop("_off")
 
 
 def drop_untargeted(rows: DataFrame) -> DataFrame:
@@ -123,17 +127,18 @@ def map_aligned(
     guides: (spacer) or (name, spacer); chrom: (chr, seq, len, circular); features: (chr, locus_tag, gene, feature_start,
     feature_end, strand). circular: "strict" joins genes by the places that sites have, "full" also across the origin of
     circles. longest: the most bases of a guide. Guides without a target have one row of nulls; with out_of_bounds "drop",
-    those whose only sites were dropped have none. Sites, then sites with genes, are checkpointed.
+    those whose only sites were dropped have none. Sites that passed the gate, then sites with genes, are written as tables.
     """
     if circular not in ("strict", "full"):
         raise ValueError(f"circular is strict or full: {circular}")
     own = guides.select(F.upper("spacer").alias("spacer")).distinct()
-    found = cut(sites(aligned))
-    gated = gate_by_pam(found, pam, direction, out_of_bounds)
+    # of a site that loses its PAM its spacer alone is kept, so sites are gated before they are written
+    found = written(_gated(sites(aligned), pam, direction))
+    gated = (found.where("not _off") if out_of_bounds == "drop" else found).drop("_off")
     missing = own.join(found.select("spacer").distinct(), "spacer", "left_anti")
     blank = missing.select(*(F.col(c) if c == "spacer" else F.lit(None).cast(gated.schema[c].dataType).alias(c) for c in gated.columns))
     rows = drop_untargeted(gated.unionByName(blank))
-    rows = cut(with_genes(rows, features, by, longest, chrom if circular == "full" else None).dropDuplicates())
+    rows = written(with_genes(rows, features, by, longest, chrom if circular == "full" else None).dropDuplicates())
     counts = guides.select("name", F.upper("spacer").alias("spacer")) if "name" in guides.columns else None
     return rows.join(notes(rows, counts, **wording), "spacer")
 
