@@ -51,14 +51,26 @@ def _taken(places: pd.Series, begin: pd.Series, size: pd.Series) -> pd.Series:
     return pd.Series([taken(np.asarray(p), b, s) for p, b, s in zip(places, begin, size, strict=True)], dtype=object)
 
 
-def spaced(places: DataFrame, key: list[str], size: int, width: int = BIN) -> DataFrame:
+def spaced(places: DataFrame, key: list[str], size: int, width: int = BIN, long: Column | None = None) -> DataFrame:
     """The rows chosen of (key, at, ...): within a key, in order of ``at`` (not negative, each once), the first, then each that
-    lies ``size`` (above 0) or more after the one chosen before."""
+    lies ``size`` (above 0) or more after the one chosen before.
+
+    long: whether a key's places may go beyond its first stretch, from the key and the stretch's number ``_bin``, where that
+    can be told without a shuffle. Of the other keys only what is chosen is written, without it all places are.
+    """
     width = max(width, size)
     item = F.struct("at", *(c for c in places.columns if c not in (*key, "at")))
     bins = places.select(*key, F.floor(F.col("at") / width).alias("_bin"), item.alias("_item"))
-    bins = written(bins.groupBy(*key, "_bin").agg(F.sort_array(F.collect_list("_item")).alias("_items")))  # used twice
+    bins = bins.groupBy(*key, "_bin").agg(F.sort_array(F.collect_list("_item")).alias("_items"))
     step, begin = F.lit(size), F.col("_bin") * width
+    done = None
+    if long is not None:
+        own = F.transform(_taken("_items.at", begin, step), lambda i: F.col("_items")[i])
+        bins = bins.withColumn("_long", long).withColumn("_items", F.when(F.col("_long"), F.col("_items")).otherwise(own))
+    bins = written(bins)  # used twice
+    if long is not None:
+        done = bins.where("not _long").select(*key, F.explode("_items").alias("_c")).select(*key, "_c.*")
+        bins = bins.where("_long")
     long = bins.where("_bin > 0").select(*key).distinct()
     ends = bins.join(long, key, "left_semi").select(*key, F.struct(F.col("_bin").alias("bin"), _ends("_items.at", begin, step).alias("ends")).alias("_b"))
     lines = ends.groupBy(*key).agg(F.sort_array(F.collect_list("_b")).alias("_bins"))
@@ -72,4 +84,5 @@ def spaced(places: DataFrame, key: list[str], size: int, width: int = BIN) -> Da
     known = lines.select(*key, F.inline(F.aggregate("_bins", state, along)["seen"]))
     begun = bins.join(known, [*key, "_bin"], "left").withColumn("_from", F.greatest(begin, F.coalesce("_last", F.lit(-size)) + size))
     chosen = begun.select(*key, "_items", F.explode(_taken("_items.at", "_from", step)).alias("_i"))
-    return chosen.select(*key, F.col("_items")[F.col("_i")].alias("_c")).select(*key, "_c.*")
+    chosen = chosen.select(*key, F.col("_items")[F.col("_i")].alias("_c")).select(*key, "_c.*")
+    return chosen if done is None else done.unionByName(chosen)

@@ -1,9 +1,10 @@
 """What keeps work in proportion to its input: how often tables are read, and what is never expanded or written."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandwise.functions import seq as S
-from strandwise.operators import align, mapping, mismatch, report
+from strandwise.operators import align, design, intervals, mapping, mismatch, report, spacing
 
 
 def plan(table):
@@ -47,3 +48,27 @@ def test_lost_sites_are_not_written_whole(spark, monkeypatch):
     rows = mapping.map_aligned(guides, align.align(guides, chrom, 20, 0, 3), chrom, features).collect()
     assert [x.note for x in rows] == ["non-targeting"]
     assert kept[0].count() == 30 and kept[0].where("target is not null or chr is not null or coords is not null").count() == 0
+
+
+def _genes(spark):
+    rows = [(c, f"g{c}_{k}", 37 * k % 9_000, 37 * k % 9_000 + 30 + k % 11 * 40) for c in (1, 2) for k in range(200)] + [(1, "long", 10, 9_990)]
+    genes = spark.createDataFrame(rows, "chr int, locus_tag string, feature_start int, feature_end int")
+    sites = genes.select("chr", F.col("locus_tag").alias("spacer"), F.col("feature_start").alias("tar_start"), (F.col("feature_start") + 1).alias("tar_end"))
+    both = intervals.overlap_join(genes, sites, ("feature_start", "feature_end"), ("tar_start", "tar_end"), "left", keep="bin", parts=3).where("spacer != locus_tag")
+    return both.select("chr", "bin", "locus_tag", "spacer", "tar_start", (F.col("tar_start") - F.col("feature_start")).alias("offset"), F.lit(20).alias("overlap"))
+
+
+def test_candidates_of_a_gene_are_chosen_where_they_are(spark, monkeypatch):
+    """Neither tiling nor ranking shuffles rows that are together; of short genes only what is chosen is written."""
+    rows, within, kept = _genes(spark), ("chr", "bin"), []
+    write = spacing.written
+    monkeypatch.setattr(spacing, "written", lambda t: kept.append((t, write(t))) or kept[-1][1])
+    physical = lambda t: t._jdf.queryExecution().executedPlan().toString()
+    for width in (64, 1_000, 20_000):
+        plain = {tuple(x) for x in design.tile_spacers(rows, 40, 20, width).collect()}
+        assert {tuple(x) for x in design.tile_spacers(rows, 40, 20, width, within).collect()} == plain and plain
+    assert physical(kept[-1][0]).count("Exchange hashpartitioning") == 2  # sites and genes
+    assert kept[-1][1].selectExpr("sum(size(_items))").first()[0] < kept[-2][1].selectExpr("sum(size(_items))").first()[0]
+    assert {tuple(x) for x in design.top_spacers(rows, 2, within).collect()} == {tuple(x) for x in design.top_spacers(rows, 2).collect()}
+    top = design.head(rows, 2, within=within)
+    assert physical(top).count("Exchange") == physical(rows).count("Exchange") and top.count() == design.head(rows, 2).count()
