@@ -72,3 +72,14 @@ def test_candidates_of_a_gene_are_chosen_where_they_are(spark, monkeypatch):
     assert {tuple(x) for x in design.top_spacers(rows, 2, within).collect()} == {tuple(x) for x in design.top_spacers(rows, 2).collect()}
     top = design.head(rows, 2, within=within)
     assert physical(top).count("Exchange") == physical(rows).count("Exchange") and top.count() == design.head(rows, 2).count()
+
+
+def test_sweep_takes_more_tasks_for_more_features(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "EDGED", 50)
+    asked, run = [], intervals.running
+    monkeypatch.setattr(intervals, "running", lambda *a, **k: asked.append(k["parts"]) or run(*a, **k))
+    rows = [(1 + k % 2, k, k + 5 + k % 7) for k in range(0, 1_200, 3)]
+    expected = {c: sum(sum(s <= x < e for o, s, e in rows if o == c) > 1 for x in range(1_300)) for c in (1, 2)}
+    table = spark.createDataFrame(rows, "chr int, feature_start int, feature_end int")
+    assert {x.chr: x.bases for x in intervals.ambiguous_coordinates(table).collect()} == {c: n for c, n in expected.items() if n}
+    assert asked == [8]
