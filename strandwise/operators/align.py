@@ -20,13 +20,38 @@ def lengths_of(guides: DataFrame) -> list[int]:
     return sorted(r.n for r in guides.select(F.length("spacer").alias("n")).where("n > 0").distinct().collect())
 
 
-def align(guides: DataFrame, chrom: DataFrame, length: int | list[int] | None = None, mismatches: int = 0, flank: int = 0) -> DataFrame:
+def _both_strands(own: DataFrame) -> DataFrame:
+    """(spacer, strand, read): each guide as it reads on either strand."""
+    strands = F.array(
+        F.struct(F.lit("F").alias("strand"), F.col("spacer").alias("read")),
+        F.struct(F.lit("R").alias("strand"), S.rev_comp("spacer").alias("read")),
+    )
+    return own.select("spacer", F.explode(strands).alias("s")).select("spacer", "s.*")
+
+
+def _pairs(windows: DataFrame, reads: DataFrame, mismatches: int) -> DataFrame:
+    """(window, spacer, strand, nm): texts of the column ``window``, each of which is there once, and the guides that they match."""
+    met = keyed(windows, "window", mismatches).join(keyed(reads, "read", mismatches), ["_block", "_key"])
+    met = met.where(F.length("window") == F.length("read")).withColumn("nm", S.hamming("window", "read"))
+    return met.where(F.col("nm") <= mismatches).select("window", "spacer", "strand", "nm").distinct()
+
+
+def align(
+    guides: DataFrame,
+    chrom: DataFrame,
+    length: int | list[int] | None = None,
+    mismatches: int = 0,
+    flank: int = 0,
+    pam: str | None = None,
+    direction: str = "downstream",
+) -> DataFrame:
     """(spacer, chr, len, start, end, strand, nm, target, before, after): each place where a guide lies on either strand
     with at most ``mismatches`` substitutions (J4).
 
     target reads in the guide's direction. On a circle, end may lie beyond the chromosome's length. All places are
     returned. length: of the guides, or several; None: those that they have. Guides of all lengths are aligned in one
     pass over the chromosomes' tiles, each as if it were aligned with its like alone; another length than said is an error.
+    pam (``flank`` bases): only places that have it; others are left out where tiles are read, as most places of guides are.
     """
     own = guides.select(F.upper("spacer").alias("spacer")).where("length(spacer) > 0")
     sizes = sorted({length} if isinstance(length, int) else set(length) if length is not None else lengths_of(own))
@@ -34,22 +59,18 @@ def align(guides: DataFrame, chrom: DataFrame, length: int | list[int] | None =
         sizes = [1]
     other = F.raise_error(F.concat(F.lit(f"guides must have {sizes} bases: "), F.col("spacer"))).cast("string")
     own = own.select(F.when(F.length("spacer").isin(sizes), F.col("spacer")).otherwise(other).alias("spacer")).distinct()
-    strands = F.array(
-        F.struct(F.lit("F").alias("strand"), F.col("spacer").alias("read")),
-        F.struct(F.lit("R").alias("strand"), S.rev_comp("spacer").alias("read")),
-    )
-    own = own.select("spacer", F.explode(strands).alias("s")).select("spacer", "s.*")
-    own = written(own)  # used several times
-    found = near_windows(chrom, own, sizes, mismatches, flank)
+    own = written(_both_strands(own))  # used several times
+    found = near_windows(chrom, own, sizes, mismatches, flank, pam, direction)
     if mismatches == 0:
         pairs = own.select(F.col("read").alias("window"), "spacer", "strand", F.lit(0).alias("nm"))
     else:
         # texts of windows meet guides once, however often they stand in the chromosomes
         found = written(found)
-        met = keyed(found.select("window").distinct(), "window", mismatches).join(keyed(own, "read", mismatches), ["_block", "_key"])
-        met = met.where(F.length("window") == F.length("read")).withColumn("nm", S.hamming("window", "read"))
-        pairs = met.where(F.col("nm") <= mismatches).select("window", "spacer", "strand", "nm").distinct()
+        pairs = _pairs(found.select("window").distinct(), own, mismatches)
     hits = found.join(pairs, "window")
+    if pam is not None:
+        got = S.extract_pam("before", "after", "strand", direction)
+        hits = hits.where(~got.contains("-") & S.pam_matches(pam, got))
     return hits.select(
         "spacer",
         "chr",
@@ -64,6 +85,28 @@ def align(guides: DataFrame, chrom: DataFrame, length: int | list[int] | None =
     )
 
 
+def beyond_ends(guides: DataFrame, chrom: DataFrame, sizes: list[int], mismatches: int, k: int, direction: str = "downstream") -> DataFrame:
+    """(spacer): guides that have a place at which a PAM of ``k`` bases would lie off a linear chromosome.
+
+    Only windows at the ends of chromosomes are looked at, a few of each.
+    """
+    size = F.explode(F.array(*map(F.lit, sizes))).alias("_n")
+    ends = chrom.where("not circular").select("seq", "len", size).where(F.col("len") >= F.col("_n") + k)
+    first, last = ("R", "F") if direction == "downstream" else ("F", "R")
+    last_start = F.col("len") - F.col("_n")
+    off = lambda strand, starts: F.transform(starts, lambda x: F.struct(F.lit(strand).alias("strand"), x.cast("int").alias("at")))
+    # a window fits beside a PAM, so there are k of them at each end but for a chromosome that is shorter than both
+    places = F.concat(
+        off(first, F.filter(F.array(*map(F.lit, range(k))), lambda x: x <= last_start)),
+        off(last, F.filter(F.array(*(last_start - i for i in range(k))), lambda x: x >= 0)),
+    )
+    ends = ends.select("seq", "_n", F.explode(places).alias("p"))
+    ends = ends.select(F.expr("upper(substring(seq, p.at + 1, _n))").alias("window"), F.col("p.strand").alias("strand")).distinct()
+    ends = written(ends)
+    own = written(_both_strands(guides.select("spacer")))
+    return _pairs(ends.select("window").distinct(), own, mismatches).join(ends, ["window", "strand"]).select("spacer").distinct()
+
+
 def placed(alignments: DataFrame, chrom: DataFrame, flank: int = 0) -> DataFrame:
     """Alignments made elsewhere (spacer, chr, start, end, strand, nm, target), in the form that ``align`` gives.
 

@@ -157,9 +157,25 @@ def near(raw: np.ndarray, length: int, mismatches: int, words: np.ndarray) -> np
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def near_windows(chrom: DataFrame, reads: DataFrame, sizes: list[int], mismatches: int = 0, flank: int = 0) -> DataFrame:
+def _reads_there(raw: np.ndarray, place: np.ndarray, pattern: str) -> np.ndarray:
+    """Whether the bytes from each place on have the bases of a pattern, other letters than those of bases standing for any."""
+    ok = np.ones(len(place), bool)
+    for i, base in enumerate(pattern):
+        if base in "ACGT":
+            ok &= raw[place + i] == ord(base)
+    return ok
+
+
+def near_windows(
+    chrom: DataFrame, reads: DataFrame, sizes: list[int], mismatches: int = 0, flank: int = 0, pam: str | None = None, direction: str = "downstream"
+) -> DataFrame:
     """(chr, len, start, window, before, after): of the windows of ``sizes`` bases, as ``scan.windows`` has them, all that lie
-    within ``mismatches`` of a text of the column ``read``, and a few others."""
+    within ``mismatches`` of a text of the column ``read``, and a few others. pam (``flank`` bases): only windows that have it on
+    either strand."""
+    if pam is not None:
+        if len(pam) != flank:
+            raise ValueError(f"a PAM of {flank} bases is looked for: {pam}")
+        ahead, back = pam.upper(), pam.upper()[::-1].translate(str.maketrans("ACGT", "TGCA"))
     said = chrom.sparkSession.sparkContext.broadcast(bitmap(reads, mismatches, sizes))
     tiles = tiled(chrom, sizes[0], sizes[-1], flank, (LARGE,))
 
@@ -175,6 +191,10 @@ def near_windows(chrom: DataFrame, reads: DataFrame, sizes: list[int], mismatche
                 within = place - at[tile] - flank
                 start = first[tile] + within
                 ok = (within >= 0) & (within <= ends[tile]) & (lens[tile] >= n + flank) & (ring[tile] | (start + n <= lens[tile]))
+                if pam is not None:
+                    at_end, at_start = (ahead, back) if direction == "downstream" else (back, ahead)
+                    kept = np.flatnonzero(ok)
+                    ok[kept] = _reads_there(raw, place[kept] + n, at_end) | _reads_there(raw, place[kept] - flank, at_start)
                 place, tile, start = place[ok], tile[ok], start[ok].astype(np.int32)
                 for i in range(0, len(place), BATCH):
                     p, own = place[i : i + BATCH, None], pa.array(tile[i : i + BATCH])

@@ -1,10 +1,12 @@
 """What keeps work in proportion to its input: how often tables are read, and what is never expanded or written."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from strandwise.functions import seq as S
-from strandwise.operators import align, design, intervals, mapping, mismatch, report, spacing
+from strandwise.operators import align, design, intervals, library, mapping, mismatch, report, spacing
 
 
 def plan(table):
@@ -50,6 +52,90 @@ def test_lost_sites_are_not_written_whole(spark, monkeypatch):
     assert kept[0].count() == 30 and kept[0].where("target is not null or chr is not null or coords is not null").count() == 0
 
 
+def _genomes(spark):
+    """Lines and circles, repeats of a few words so that guides have many places, some of them at the ends of lines."""
+    r, rows = random.Random(5), []
+    words = ["ACGTTGCAACTG", "GATTACAGGCAT", "TTGGCCAAGGTC", "CCATGGACCTAA"]
+    for c in range(24):
+        seq = "".join(r.choice(words) for _ in range(r.choice((2, 3, 9, 40))))[r.randrange(5) :]
+        rows.append((c, seq, len(seq), c % 3 == 0))
+    rows.append((25, words[0] * 3 + "TATATCGCGTAT", 48, False))  # whose end is found nowhere else
+    guides = sorted({s[i : i + 12] for _, s, n, _ in rows for i in (0, n - 12, n // 2) if len(s[i : i + 12]) == 12} | {"A" * 12, "C" * 12})
+    genes = [(c, f"g{c}_{i}", "", i * 7, i * 7 + 30, 1 - 2 * (i % 2)) for c, _, n, _ in rows for i in range(n // 7)]
+    chrom = spark.createDataFrame(rows, "chr int, seq string, len int, circular boolean")
+    features = spark.createDataFrame(genes, "chr int, locus_tag string, gene string, feature_start int, feature_end int, strand int")
+    return rows, spark.createDataFrame([(g,) for g in guides], "spacer string"), chrom, features
+
+
+@pytest.mark.parametrize("direction", ["downstream", "upstream"])
+def test_places_without_pam_do_not_leave_tiles(spark, monkeypatch, direction):
+    """Aligned with a PAM: the places that have it, and no window without it on either strand goes on."""
+    _, guides, chrom, _ = _genomes(spark)
+    got = S.extract_pam("before", "after", "strand", direction)
+    wanted = sorted(align.align(guides, chrom, 12, 1, 3).where(S.pam_matches("NGG", got) & ~got.contains("-")).collect())
+    kept, near_windows = [], align.near_windows
+    monkeypatch.setattr(align, "near_windows", lambda *a: kept.append(near_windows(*a)) or kept[-1])
+    assert sorted(align.align(guides, chrom, 12, 1, 3, "NGG", direction).collect()) == wanted and wanted
+    ahead, back = ("after", "before") if direction == "downstream" else ("before", "after")
+    assert kept[0].where(~(F.col(ahead).rlike("^.GG") | F.col(back).rlike("^CC."))).count() == 0
+    with pytest.raises(ValueError, match="a PAM of 3 bases"):
+        align.align(guides, chrom, 12, 1, 3, "GG")
+
+
+@pytest.mark.parametrize("direction", ["downstream", "upstream"])
+@pytest.mark.parametrize("out_of_bounds", ["demote", "drop"])
+def test_map_of_sites_with_pam_alone(spark, monkeypatch, direction, out_of_bounds):
+    """The map is that of all alignments; sites without a PAM aren't written; what is together isn't shuffled again."""
+    _, guides, chrom, features = _genomes(spark)
+    how = {"direction": direction, "out_of_bounds": out_of_bounds}
+    wanted = mapping.map_aligned(guides, align.align(guides, chrom, 12, 1, 3), chrom, features, "NGG", **how)
+    kept, write = [], mapping.written
+    monkeypatch.setattr(mapping, "written", lambda rows: kept.append((rows, write(rows))) or kept[-1][1])
+    found = mapping.map_targets(guides, chrom, features, 12, "NGG", 1, **how)
+    by = lambda rows: sorted(map(repr, rows.collect()))
+    assert found.columns == wanted.columns and by(found) == by(wanted)
+    sites = [table for _, table in kept if "pam" in table.columns]
+    assert all(table.where("pam is null").count() == 0 for table in sites)
+    joined = next(rows for rows, _ in kept if "_first" in rows.columns)
+    assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # sites and genes
+
+
+def test_dropped_guides_against_a_loop(spark):
+    """A guide none of whose places has room for a PAM has no row; all others have one."""
+    rows, guides, chrom, features = _genomes(spark)
+    back = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    inside, beyond = set(), set()
+    for g in (x.spacer for x in guides.collect()):
+        for _, seq, n, ring in rows:
+            for i in range(n if ring else n - 11) if n >= 15 else ():
+                w = (seq + seq)[i : i + 12] if ring else seq[i : i + 12]
+                for strand, read in (("F", g), ("R", back(g))):
+                    if sum(a != b for a, b in zip(w, read, strict=True)) <= 1:
+                        room = ring or (i + 15 <= n if strand == "F" else i >= 3)
+                        (inside if room else beyond).add(g)
+    found = mapping.map_targets(guides, chrom, features, 12, "NGG", 1, out_of_bounds="drop")
+    assert {x.spacer for x in found.collect()} == {x.spacer for x in guides.collect()} - (beyond - inside)
+    assert beyond - inside and beyond & inside
+
+
+def test_first_gene_is_a_combined_minimum(spark):
+    """The first row of a guide is found without gathering or sorting its rows; a tag of null comes last."""
+    _, guides, chrom, features = _genomes(spark)
+    features = features.withColumn("locus_tag", F.when(F.col("feature_start") % 2 > 0, F.col("locus_tag"))).withColumn("type", F.lit("gene"))
+    features = features.unionByName(features.where("feature_start = 14").withColumn("locus_tag", F.lit(None).cast("string")))
+    source = chrom.where("chr % 4 > 0").selectExpr("chr", "'source' locus_tag", "'' gene", "0 feature_start", "len feature_end", "1 strand", "'source' type")
+    found = align.align(guides, chrom, 12, 0, 3).select("spacer", "chr", "start", "end", "strand", "before", "after", "nm")
+    own = library.GuideLibrary(found, features.unionByName(source), "NGG")
+    best, key = {}, lambda x: tuple((x[c] is None, x[c]) if x[c] is not None else (True, "") for c in library.GuideLibrary.ORDER)
+    targeted = {x.spacer for x in own.targets.where("type = 'source' and targeting").collect()}
+    for x in own.targets.where("type = 'gene' and targeting").collect():
+        if x.spacer in targeted and (x.spacer not in best or key(x) < key(best[x.spacer])):
+            best[x.spacer] = x
+    first = own.unambiguous()
+    assert {x.spacer: key(x) for x in first.collect()} == {s: key(x) for s, x in best.items()} and best
+    assert "Window" not in plan(first) and "Sort" not in plan(first)
+
+
 def _genes(spark):
     rows = [(c, f"g{c}_{k}", 37 * k % 9_000, 37 * k % 9_000 + 30 + k % 11 * 40) for c in (1, 2) for k in range(200)] + [(1, "long", 10, 9_990)]
     genes = spark.createDataFrame(rows, "chr int, locus_tag string, feature_start int, feature_end int")
