@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
-from .spacing import spaced
+from .spacing import spaced, taken
 
 LARGE, SMALL = 65_536, 1_024
+DNA = np.frombuffer(b"ACGT", np.uint8)
 
 
 def _padded(before: int, after: int) -> Column:
@@ -123,24 +126,72 @@ def guides(chrom: DataFrame, length: int, pam: str, direction: str = "downstream
     return guide_sites(chrom, length, pam, direction).select("spacer").distinct()
 
 
+def _chains(batches, length: int, pam: str):
+    """From tiles of a strand that has ``length`` dashes before it: places of a PAM that don't overlap, and their spacers.
+
+    Places closer than a PAM form chains, each of which is chosen from on its own. Of a chain that may go on in the tile before
+    or behind, all places are given, with ``edge``.
+    """
+    k = len(pam)
+    for batch in batches:
+        columns = [batch[c].to_pylist() for c in ("chr", "strand", "len", "_first", "_bases", "_ends")]
+        ends, text, named = [0], [], []
+        for chr, strand, n, first, bases, last in zip(*columns, strict=True):
+            raw = np.frombuffer(bases, np.uint8)
+            ok = np.ones(last + 1, bool)
+            for i, base in enumerate(pam):
+                there = raw[length + i : length + i + last + 1]
+                ok &= np.isin(there, DNA) if base == "N" else there == ord(base)
+            at = np.flatnonzero(ok)
+            if not len(at):
+                continue
+            begins = np.flatnonzero(np.diff(at, prepend=-k) >= k)
+            edge = np.zeros(len(begins), bool)
+            if first > 0:
+                edge |= at[begins] < k
+            if first + last < n - length - k:
+                edge |= at[np.append(begins[1:], len(at)) - 1] > last - k
+            chain = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(at))))
+            kept = edge[chain]
+            alone = np.diff(np.append(begins, len(at))) == 1
+            kept[begins] = True
+            for c in np.flatnonzero(~alone & ~edge):
+                own = np.arange(begins[c], begins[c + 1] if c + 1 < len(begins) else len(at))
+                kept[own[taken(at[own], int(at[own[0]]), k)]] = True
+            edges, at = edge[chain][kept], at[kept]
+            named.append((chr, strand, first + at, edges))
+            short = np.minimum(first + at, length)
+            cut = np.arange(length) >= length - short[:, None]
+            text.append(raw[at[:, None] + np.arange(length)][cut])
+            ends.extend((ends[-1] + np.cumsum(short)).tolist())
+        whole = np.concatenate(text) if text else np.zeros(0, np.uint8)
+        spacers = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(np.array(ends, np.int64)), pa.py_buffer(whole)).cast(pa.string())
+        numbers = np.repeat(np.arange(len(named)), [len(x[2]) for x in named])
+        many = lambda i, kind: pa.array([x[i] for x in named], kind).take(pa.array(numbers))  # noqa: B023, E731
+        joined = lambda i, kind: np.concatenate([x[i] for x in named] or [np.zeros(0, kind)]).astype(kind)  # noqa: B023, E731
+        made = [many(0, batch.schema.field("chr").type), many(1, pa.string()), pa.array(joined(2, np.int64)), pa.array(joined(3, bool)), spacers]
+        yield pa.RecordBatch.from_arrays(made, ["chr", "strand", "at", "edge", "spacer"])
+
+
 def pam_sites(chrom: DataFrame, length: int, pam: str) -> DataFrame:
     """(chr, spacer) in front of PAMs that don't overlap each other, from left to right on each strand; spacers at an end
     may be shorter, repeated ones stay (G2).
 
-    All places of a PAM are found tile by tile, those that don't overlap are chosen in stretches (see ``spaced``); spacers come
-    from tiles that hold the bases before them.
+    Places and the spacers before them are found and chosen tile by tile; places at the edges of tiles, of which only long
+    chromosomes have some, are chosen in stretches (see ``spaced``).
     """
     both = F.array(F.struct(F.lit("F").alias("strand"), F.upper("seq").alias("s")), F.struct(F.lit("R").alias("strand"), S.rev_comp(F.upper("seq")).alias("s")))
     strands = chrom.select("chr", F.explode(both).alias("x")).select("chr", "x.*")
-    k = len(pam)
-    lines = strands.select(F.struct("chr", "strand").alias("chr"), F.col("s").alias("seq"), F.length("s").alias("len"), F.lit(False).alias("circular"))
-    places = tiled(lines, k, k, 0).withColumn("_at", F.explode(F.sequence(F.lit(0), "_ends")))
-    places = places.where(_has(F.col("_at") + 1, pam.upper()) & S.is_dna(F.substring("_bases", F.col("_at") + 1, F.lit(k)).cast("string")))
-    places = places.select("chr.chr", "chr.strand", (F.col("_first") + F.col("_at")).cast("bigint").alias("at"))
-    ends = spaced(places, ["chr", "strand"], k).select("chr", "strand", F.col("at").cast("int").alias("end"))
-    raw = F.col("s").cast("binary")
-    tile = lambda t: F.struct(t.alias("tile"), F.substring(raw, F.greatest(t * SMALL - length, F.lit(0)) + 1, F.lit(SMALL + length)).alias("bases"))
-    tiles = strands.select("chr", "strand", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.length("s") / SMALL).cast("int")), tile)).alias("t"))
-    found = ends.withColumn("tile", F.floor(F.col("end") / SMALL).cast("int")).join(tiles.select("chr", "strand", "t.*"), ["chr", "strand", "tile"])
-    first = F.greatest(F.col("end") - length, F.lit(0)) - F.greatest(F.col("tile") * SMALL - length, F.lit(0))
-    return found.select("chr", F.substring("bases", first + 1, F.least("end", F.lit(length))).cast("string").alias("spacer"))
+    k, size = len(pam), length + len(pam)
+    lines = strands.select(
+        F.struct("chr", "strand").alias("chr"), F.concat(F.lit("-" * length), "s").alias("seq"), (F.length("s") + length).alias("len"), F.lit(False).alias("circular")
+    )
+    kind = chrom.schema["chr"].dataType.simpleString()
+
+    def found(lines: DataFrame) -> DataFrame:
+        tiles = tiled(lines, size, size, 0, (LARGE,)).select("chr.chr", "chr.strand", "len", "_first", "_bases", "_ends")
+        return tiles.mapInArrow(lambda batches: _chains(batches, length, pam.upper()), f"chr {kind}, strand string, at bigint, edge boolean, spacer string")
+
+    edges = found(lines.where(F.col("len") > LARGE)).where("edge").select("chr", "strand", "at", "spacer")
+    chosen = spaced(edges, ["chr", "strand"], k)
+    return found(lines).where("not edge").select("chr", "spacer").unionByName(chosen.select("chr", "spacer"))

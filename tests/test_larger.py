@@ -1,12 +1,14 @@
 """What keeps work in proportion to its input: how often tables are read, and what is never expanded or written."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from strandwise import queries
 from strandwise.functions import seq as S
-from strandwise.operators import align, design, intervals, library, mapping, mismatch, report, spacing
+from strandwise.operators import align, design, intervals, library, mapping, mismatch, report, scan, spacing
 
 
 def plan(table):
@@ -136,6 +138,33 @@ def test_first_gene_is_a_combined_minimum(spark):
     assert "Window" not in plan(first) and "Sort" not in plan(first)
 
 
+@pytest.mark.parametrize("size", [7, 64, 65_536])
+def test_pam_sites_from_tiles(spark, monkeypatch, size):
+    """Places are chosen within tiles, and long runs over the edges of tiles as on the whole strand; sequences aren't shuffled again."""
+    monkeypatch.setattr(scan, "LARGE", size)
+    r = random.Random(3)
+    seqs = ["".join(r.choice("ACGGGGN") for _ in range(n)) for n in (300, 90, 22, 5, 3, 2)] + ["G" * 200, "A" * 64 + "GG" * 40]
+    chrom = spark.createDataFrame([(i, s, len(s), False) for i, s in enumerate(seqs)], "chr int, seq string, len int, circular boolean")
+    for pam in ("NGG", "GGG"):
+        expected = []
+        for i, s in enumerate(seqs):
+            for x in (s, s[::-1].translate(str.maketrans("ACGT", "TGCA"))):
+                expected += [(i, x[max(m.start() - 8, 0) : m.start()]) for m in re.finditer(pam.replace("N", "[ACGT]"), x)]
+        found = scan.pam_sites(chrom, 8, pam)
+        assert sorted((x.chr, x.spacer) for x in found.collect()) == sorted(expected)
+    assert plan(found).count("MapInArrow") == 1  # spaced writes what comes from edges
+
+
+def test_barcodes_are_looked_up_in_one_pass(spark, sf, monkeypatch):
+    """Documents are read once; what is looked up is what the library has."""
+    kept, write = [], queries.written
+    monkeypatch.setattr(queries, "written", lambda rows: kept.append(write(rows)) or kept[-1])
+    found = queries.QUERIES["sense_lookup"](spark, sf)
+    assert [t.columns for t in kept] == [["chr", "bc"]] and "documents" not in plan(found) and "MapInArrow" not in plan(found)
+    least = spark.table("library").agg(F.min("bc")).first()[0]
+    assert least in {x.bc for x in found.collect()}
+
+
 def _genes(spark):
     rows = [(c, f"g{c}_{k}", 37 * k % 9_000, 37 * k % 9_000 + 30 + k % 11 * 40) for c in (1, 2) for k in range(200)] + [(1, "long", 10, 9_990)]
     genes = spark.createDataFrame(rows, "chr int, locus_tag string, feature_start int, feature_end int")
