@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seq as S
 from ..lineage import written
-from .near import keyed, near_windows
+from .near import bitmap, keyed, near_windows
 from .scan import SMALL, tiled
 
 
@@ -29,9 +29,13 @@ def _both_strands(own: DataFrame) -> DataFrame:
     return own.select("spacer", F.explode(strands).alias("s")).select("spacer", "s.*")
 
 
-def _pairs(windows: DataFrame, reads: DataFrame, mismatches: int) -> DataFrame:
-    """(window, spacer, strand, nm): texts of the column ``window``, each of which is there once, and the guides that they match."""
-    met = keyed(windows, "window", mismatches).join(keyed(reads, "read", mismatches), ["_block", "_key"])
+def _pairs(windows: DataFrame, reads: DataFrame, mismatches: int, said) -> DataFrame:
+    """(window, spacer, strand, nm): texts of the column ``window``, each of which is there once, and the guides that they match.
+
+    Of windows, only keys that the bitmap of the reads has are dealt out; a key's rows are sorted, since Spark takes both sides
+    for as small as before they were multiplied by their keys, and would gather one at the driver.
+    """
+    met = keyed(windows, "window", mismatches, said).join(keyed(reads, "read", mismatches).hint("merge"), ["_block", "_key"])
     met = met.where(F.length("window") == F.length("read")).withColumn("nm", S.hamming("window", "read"))
     return met.where(F.col("nm") <= mismatches).select("window", "spacer", "strand", "nm").distinct()
 
@@ -60,14 +64,15 @@ def align(
     other = F.raise_error(F.concat(F.lit(f"guides must have {sizes} bases: "), F.col("spacer"))).cast("string")
     own = own.select(F.when(F.length("spacer").isin(sizes), F.col("spacer")).otherwise(other).alias("spacer")).distinct()
     own = written(_both_strands(own))  # used several times
-    found = near_windows(chrom, own, sizes, mismatches, flank, pam, direction)
+    said = chrom.sparkSession.sparkContext.broadcast(bitmap(own, mismatches, sizes))
+    found = near_windows(chrom, own, sizes, mismatches, flank, pam, direction, said)
     if mismatches == 0:
         pairs = own.select(F.col("read").alias("window"), "spacer", "strand", F.lit(0).alias("nm"))
     else:
         # texts of windows meet guides once, however often they stand in the chromosomes
         found = written(found)
-        pairs = _pairs(found.select("window").distinct(), own, mismatches)
-    hits = found.join(pairs, "window")
+        pairs = _pairs(found.select("window").distinct(), own, mismatches, said)
+    hits = found.join(pairs.hint("merge"), "window")
     if pam is not None:
         got = S.extract_pam("before", "after", "strand", direction)
         hits = hits.where(~got.contains("-") & S.pam_matches(pam, got))
@@ -104,7 +109,9 @@ def beyond_ends(guides: DataFrame, chrom: DataFrame, sizes: list[int], mismatche
     ends = ends.select(F.expr("upper(substring(seq, p.at + 1, _n))").alias("window"), F.col("p.strand").alias("strand")).distinct()
     ends = written(ends)
     own = written(_both_strands(guides.select("spacer")))
-    return _pairs(ends.select("window").distinct(), own, mismatches).join(ends, ["window", "strand"]).select("spacer").distinct()
+    said = chrom.sparkSession.sparkContext.broadcast(bitmap(own, mismatches, sizes))
+    met = _pairs(ends.select("window").distinct(), own, mismatches, said)
+    return met.join(ends.hint("merge"), ["window", "strand"]).select("spacer").distinct()
 
 
 def placed(alignments: DataFrame, chrom: DataFrame, flank: int = 0) -> DataFrame:

@@ -105,8 +105,9 @@ def _strings(matrix: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(n, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(matrix)))
 
 
-def keyed(texts: DataFrame, column: str, mismatches: int) -> DataFrame:
-    """Adds ``_block`` (the number of a choice of blocks) and ``_key``: a row for each choice."""
+def keyed(texts: DataFrame, column: str, mismatches: int, said=None) -> DataFrame:
+    """Adds ``_block`` (the number of a choice of blocks) and ``_key``: a row for each choice. said: a broadcast bitmap, if only
+    keys that have their bits set in it are wanted."""
 
     def each(batches):
         for batch in batches:
@@ -117,8 +118,12 @@ def keyed(texts: DataFrame, column: str, mismatches: int) -> DataFrame:
                 own = batch.take(pa.array(rows))
                 whole = raw[at[rows][:, None] + np.arange(n)].reshape(-1)
                 for block, key in enumerate(keys(whole, int(n), mismatches)):
-                    made = [pa.array(np.full(len(rows), block, np.int32)), pa.array(key[:: int(n)].view(np.int64))]
-                    yield pa.RecordBatch.from_arrays([*own.columns, *made], [*own.schema.names, "_block", "_key"])
+                    key, some = key[:: int(n)], own
+                    if said is not None:
+                        there = there_in(key, said.value)
+                        key, some = key[there], own.take(pa.array(there))
+                    made = [pa.array(np.full(len(key), block, np.int32)), pa.array(np.ascontiguousarray(key).view(np.int64))]
+                    yield pa.RecordBatch.from_arrays([*some.columns, *made], [*own.schema.names, "_block", "_key"])
 
     fields = [*texts.schema.fields, T.StructField("_block", T.IntegerType()), T.StructField("_key", T.LongType())]
     return texts.mapInArrow(each, T.StructType(fields))
@@ -142,17 +147,22 @@ def bitmap(reads: DataFrame, mismatches: int, sizes: list[int]) -> np.ndarray:
     return out
 
 
+def there_in(key: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Where the keys are that have their bits set."""
+    word = words[(key >> np.uint64(64 - (len(words).bit_length() - 1))).astype(np.int64)]
+    at = np.flatnonzero(word >> (key & np.uint64(63)) & np.uint64(1))
+    bits = _bits(key[at])
+    return at[word[at] & bits == bits]
+
+
 def near(raw: np.ndarray, length: int, mismatches: int, words: np.ndarray) -> np.ndarray:
     """Places of texts of ``length`` bytes of which some key has its bits set."""
-    shift, found = np.uint64(64 - (len(words).bit_length() - 1)), []
+    found = []
     for begin in range(0, len(raw) - length + 1, STEP):
         part = raw[begin : begin + STEP + length - 1]
         hit = np.zeros(len(part) - length + 1, bool)
         for key in keys(part, length, mismatches):
-            word = words[(key >> shift).astype(np.int64)]
-            at = np.flatnonzero(word >> (key & np.uint64(63)) & np.uint64(1))
-            bits = _bits(key[at])
-            hit[at[word[at] & bits == bits]] = True
+            hit[there_in(key, words)] = True
         found.append(np.flatnonzero(hit) + begin)
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
@@ -167,16 +177,16 @@ def _reads_there(raw: np.ndarray, place: np.ndarray, pattern: str) -> np.ndarray
 
 
 def near_windows(
-    chrom: DataFrame, reads: DataFrame, sizes: list[int], mismatches: int = 0, flank: int = 0, pam: str | None = None, direction: str = "downstream"
+    chrom: DataFrame, reads: DataFrame, sizes: list[int], mismatches: int = 0, flank: int = 0, pam: str | None = None, direction: str = "downstream", said=None
 ) -> DataFrame:
     """(chr, len, start, window, before, after): of the windows of ``sizes`` bases, as ``scan.windows`` has them, all that lie
     within ``mismatches`` of a text of the column ``read``, and a few others. pam (``flank`` bases): only windows that have it on
-    either strand."""
+    either strand. said: the broadcast bitmap of ``read``, if there is one already."""
     if pam is not None:
         if len(pam) != flank:
             raise ValueError(f"a PAM of {flank} bases is looked for: {pam}")
         ahead, back = pam.upper(), pam.upper()[::-1].translate(str.maketrans("ACGT", "TGCA"))
-    said = chrom.sparkSession.sparkContext.broadcast(bitmap(reads, mismatches, sizes))
+    said = said or chrom.sparkSession.sparkContext.broadcast(bitmap(reads, mismatches, sizes))
     tiles = tiled(chrom, sizes[0], sizes[-1], flank, (LARGE,))
 
     def each(batches):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from strandwise.operators import align
 from strandwise.plans import fixtures
 
 
@@ -13,3 +14,18 @@ def test_features_need_no_subquery_and_no_broadcast(spark, sf):
     """A subquery in a key may not have finished where its side is broadcast; line items are estimated too low for it."""
     plan = plan_of(fixtures.view(spark, sf, "feature"))
     assert "ubquery" not in plan and "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def few(spark):
+    """Two guides and the chromosomes that they lie in, one of them at an end without room for a PAM."""
+    guides = [("ACGTTGCAAGCTTGACCATG",), ("TTGACCATGGGACGTTGCAA",)]
+    chrom = [(0, "G" * 90 + guides[0][0] + "TGG" + "C" * 90, 203, False), (1, "C" * 180 + guides[1][0], 200, False)]
+    return spark.createDataFrame(guides, "spacer string"), spark.createDataFrame(chrom, "chr long, seq string, len int, circular boolean")
+
+
+def test_keys_of_windows_and_guides_are_not_broadcast(spark):
+    """Texts are multiplied by their keys within a task, which Spark's estimate of their size leaves out."""
+    guides, chrom = few(spark)
+    found = align.align(guides, chrom, 20, 1, 3)
+    assert "BroadcastHashJoin" not in plan_of(found)
+    assert sorted((r.spacer, r.chr, r.start, r.strand, r.nm) for r in found.collect()) == [(guides.first()[0], 0, 90, "F", 0), ("TTGACCATGGGACGTTGCAA", 1, 180, "F", 0)]
