@@ -29,3 +29,11 @@ def test_keys_of_windows_and_guides_are_not_broadcast(spark):
     found = align.align(guides, chrom, 20, 1, 3)
     assert "BroadcastHashJoin" not in plan_of(found)
     assert sorted((r.spacer, r.chr, r.start, r.strand, r.nm) for r in found.collect()) == [(guides.first()[0], 0, 90, "F", 0), ("TTGACCATGGGACGTTGCAA", 1, 180, "F", 0)]
+
+
+def test_places_beyond_ends_are_not_found_by_broadcast(spark):
+    """The guides that promoter_map and insertion_map drop are found among windows at ends, by the same keys."""
+    guides, chrom = few(spark)
+    found = align.beyond_ends(guides, chrom, [20], 1, 3)
+    assert "BroadcastHashJoin" not in plan_of(found)
+    assert [r.spacer for r in found.collect()] == ["TTGACCATGGGACGTTGCAA"]
