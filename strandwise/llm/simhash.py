@@ -123,7 +123,8 @@ def links(fps: DataFrame, radius: int = 4, blocks: int = 7, free: int = 8) -> Da
         & (F.bit_count(xor) <= radius)
         & (at == F.col("t_a"))
     )
-    return left.join(right, on).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+    # sorted, whatever Spark takes their size for: it leaves out that each fingerprint has a row for each table
+    return left.hint("merge").join(right.hint("merge"), on).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
 
 
 def classes(vertices: DataFrame, radius: int, blocks: int) -> DataFrame:
@@ -136,9 +137,9 @@ def classes(vertices: DataFrame, radius: int, blocks: int) -> DataFrame:
     ends = links(vertices, radius, blocks)
     for end in "ab":
         named = vertices.select(F.col("fp").alias(end), F.col("vertex").alias(f"vertex_{end}"))
-        ends = ends.join(named, end)
+        ends = ends.join(named.hint("merge"), end)
     roots = connected_components(ends.select(F.col("vertex_a").alias("a"), F.col("vertex_b").alias("b")))
-    return cut(vertices.join(roots, "vertex", "left").select("fp", F.coalesce("root", "vertex").alias("root")))
+    return cut(vertices.join(roots.hint("merge"), "vertex", "left").select("fp", F.coalesce("root", "vertex").alias("root")))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, blocks: int = 7) -> DataFrame:
@@ -151,7 +152,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, blocks: in
     """
     fps = cut(fingerprints(docs, width))
     vertices = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    return fps.join(classes(vertices, radius, blocks), "fp").select("doc_id", "fp", F.col("root.least").alias("component_id"))
+    return fps.join(classes(vertices, radius, blocks).hint("merge"), "fp").select("doc_id", "fp", F.col("root.least").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, radius: int = 4, width: int = 4, blocks: int = 7) -> DataFrame:
@@ -167,9 +168,9 @@ def keep_one(docs: DataFrame, radius: int = 4, width: int = 4, blocks: int = 7)
     fps = cut(fingerprints(known.select(F.struct("doc_id", "_digest").alias("doc_id"), "text"), width))
     fps = fps.select("doc_id.*", "fp")
     roots = classes(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), radius, blocks)
-    own = fps.join(roots, "fp").where(F.col("doc_id") == F.col("root.least")).groupBy("root")
+    own = fps.join(roots.hint("merge"), "fp").where(F.col("doc_id") == F.col("root.least")).groupBy("root")
     kept = own.agg(F.min(F.struct("doc_id", "fp", "_digest")).alias("kept")).select("kept.doc_id", "kept._digest")
-    rows = known.join(kept, ["doc_id", "_digest"], "left_semi").groupBy("doc_id", "_digest").agg(F.min("_row").alias("_row"))
+    rows = known.join(kept.hint("merge"), ["doc_id", "_digest"], "left_semi").groupBy("doc_id", "_digest").agg(F.min("_row").alias("_row"))
     return rows.select("_row.*").unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 

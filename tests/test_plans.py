@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from strandwise.llm import simhash
 from strandwise.operators import align
 from strandwise.plans import fixtures
 
@@ -37,3 +38,13 @@ def test_places_beyond_ends_are_not_found_by_broadcast(spark):
     found = align.beyond_ends(guides, chrom, [20], 1, 3)
     assert "BroadcastHashJoin" not in plan_of(found)
     assert [r.spacer for r in found.collect()] == ["TTGACCATGGGACGTTGCAA"]
+
+
+def test_fingerprints_and_their_links_are_not_broadcast(spark):
+    """Each fingerprint has a row for each of 35 tables, which Spark's estimate of their size leaves out."""
+    fps = spark.createDataFrame([(0, 1), (1, 3), (2, -1)], "doc_id long, fp long")
+    found = simhash.links(fps)
+    assert "BroadcastHashJoin" not in plan_of(found)
+    assert [(r.a, r.b) for r in found.collect()] == [(1, 3)]
+    docs = spark.createDataFrame([(0, "a b c d e"), (1, "A B C D E"), (2, "x")], "doc_id long, text string")
+    assert "BroadcastHashJoin" not in plan_of(simhash.near_duplicates(docs)) + plan_of(simhash.keep_one(docs))
