@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandwise.llm import simhash
+from strandwise.llm import pii, simhash
 from strandwise.operators import align
 from strandwise.plans import fixtures
 
@@ -48,3 +48,11 @@ def test_fingerprints_and_their_links_are_not_broadcast(spark):
     assert [(r.a, r.b) for r in found.collect()] == [(1, 3)]
     docs = spark.createDataFrame([(0, "a b c d e"), (1, "A B C D E"), (2, "x")], "doc_id long, text string")
     assert "BroadcastHashJoin" not in plan_of(simhash.near_duplicates(docs)) + plan_of(simhash.keep_one(docs))
+
+
+def test_surrogates_of_a_text_are_not_broadcast(spark):
+    docs = spark.createDataFrame([(0, "Mail ana@example.com or ana@example.com"), (1, "nothing")], "doc_id long, text string")
+    found = pii.replace(docs)
+    assert {r.doc_id: r.n_entities for r in found.collect()} == {0: 2, 1: 0}
+    run = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in run and "BroadcastHashJoin" not in run
