@@ -122,7 +122,7 @@ def placed(alignments: DataFrame, chrom: DataFrame, flank: int = 0) -> DataFrame
     which meet only the places that lie in them. Rows without a place, or on unknown chromosomes, are left out.
     """
     lengths = chrom.select("chr", "len", "circular")
-    own = alignments.where("chr is not null").withColumn("chr", F.col("chr").cast(chrom.schema["chr"].dataType)).join(lengths, "chr")
+    own = alignments.where("chr is not null").withColumn("chr", F.col("chr").cast(chrom.schema["chr"].dataType)).join(lengths.hint("merge"), "chr")
     start = F.when(F.col("circular"), F.pmod("start", "len")).otherwise(F.col("start")).cast("int")
     own = own.select("spacer", "chr", start.alias("start"), (F.col("end") - F.col("start")).alias("_n"), "strand", F.col("nm").cast("int").alias("nm"), "target")
     own = own.dropDuplicates(["spacer", "chr", "start", "_n", "strand"])

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from strandwise.llm import pii, simhash
 from strandwise.operators import align
+from strandwise import queries as core
+from strandwise.functions import seq as S
 from strandwise.plans import fixtures
+from strandwise.sources import tables
 
 
 def plan_of(df) -> str:
@@ -56,3 +59,13 @@ def test_surrogates_of_a_text_are_not_broadcast(spark):
     assert {r.doc_id: r.n_entities for r in found.collect()} == {0: 2, 1: 0}
     run = found._jdf.queryExecution().executedPlan().toString()
     assert "isFinalPlan=true" in run and "BroadcastHashJoin" not in run
+
+
+def test_alignments_written_as_text_have_their_pam(spark, sf, monkeypatch):
+    """The map of SAM text shows places with a PAM only: others, of which there are very many, aren't written, guides without any are."""
+    kept, write_sam = [], tables.write_sam
+    monkeypatch.setattr(tables, "write_sam", lambda rows, path: kept.append(rows) or write_sam(rows, path))
+    mapped = {(r.spacer, r.target is None) for r in core.QUERIES["sam_target_map"](spark, sf).collect()}
+    there = kept[0].where("target is not null")
+    assert there.count() and there.where(~S.pam_matches("NGG", S.extract_pam("before", "after", "strand"))).count() == 0
+    assert {(r.spacer, r.target is None) for r in kept[0].select("spacer", "target").collect()} == mapped
